@@ -148,7 +148,7 @@ def sum_expr(values: str) -> str:
 
 
 def bad_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded rows, some with a null, ragged or empty layer, length or text."""
+    """Encoded rows, some with a null, ragged or empty layer, a null code, length or text."""
     kind = F.col("doc_id") % 50
     layers = {
         "nano_layer_1": F.when(kind == 3, empty_ints()).otherwise(F.col("nano_layer_1")),
@@ -158,7 +158,9 @@ def bad_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
         "nano_layer_3": F.when(kind == 3, empty_ints())
         .when(kind == 2, F.slice("nano_layer_3", 1, F.size("nano_layer_3") - 1))
         .otherwise(F.col("nano_layer_3")),
-        "nano_layer_4": F.when(kind == 3, empty_ints()).otherwise(F.col("nano_layer_4")),
+        "nano_layer_4": F.when(kind == 3, empty_ints())
+        .when(kind == 6, F.concat(F.slice("nano_layer_4", 2, F.size("nano_layer_4") - 1), F.array(F.lit(None).cast("int"))))
+        .otherwise(F.col("nano_layer_4")),
         "encoded_len": F.when(kind != 4, F.col("encoded_len")),
         "text": F.when(kind != 5, F.col("text")),
     }
@@ -176,7 +178,8 @@ bad AS (
     CASE doc_id % 50 WHEN 1 THEN NULL WHEN 3 THEN [] ELSE nano_layer_2 END AS nano_layer_2,
     CASE doc_id % 50 WHEN 3 THEN [] WHEN 2 THEN nano_layer_3[1:len(nano_layer_3) - 1]
          ELSE nano_layer_3 END AS nano_layer_3,
-    CASE doc_id % 50 WHEN 3 THEN [] ELSE nano_layer_4 END AS nano_layer_4
+    CASE doc_id % 50 WHEN 3 THEN [] WHEN 6 THEN nano_layer_4[2:len(nano_layer_4)] || [NULL]
+         ELSE nano_layer_4 END AS nano_layer_4
   FROM encoded),
 checked AS (
   SELECT *, CASE
@@ -186,6 +189,8 @@ checked AS (
     WHEN len(nano_layer_2) <> len(nano_layer_1) OR len(nano_layer_3) <> len(nano_layer_1)
       OR len(nano_layer_4) <> len(nano_layer_1) THEN 'ragged_layers'
     WHEN len(nano_layer_1) = 0 THEN 'empty_layers'
+    WHEN len(list_filter(nano_layer_1 || nano_layer_2 || nano_layer_3 || nano_layer_4, lambda c: c IS NULL)) > 0
+      THEN 'null_code'
     WHEN text IS NULL THEN 'null_text' END AS error
   FROM bad)
 """

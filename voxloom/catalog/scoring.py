@@ -117,10 +117,11 @@ def mean_pool_matrix(spark, sf):
 
 def matrix(vec: str, height: int):
     """A vector as ``height`` features by frames, without padding."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(height - 1)),
-        lambda k: F.filter(F.col(vec), lambda _, i: i % height == k),
-    )
+    return F.array(*[F.filter(vec, _every(height, k)) for k in range(height)])
+
+
+def _every(step: int, k: int):
+    return lambda _, i: i % step == k
 
 
 @register(

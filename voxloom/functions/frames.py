@@ -8,9 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxloom.functions.arrays import as_column, empty_ints, int_range
+from voxloom.functions.arrays import as_column
 from voxloom.vocab import DEFAULT_LAYOUT, FRAMES_PER_SECOND, LAYERS, TokenLayout
 
+INT_MIN = -(2**31)
+
 
 def frames_to_seconds(length: Column | str) -> Column:
     return as_column(length) / F.lit(FRAMES_PER_SECOND)
@@ -41,18 +43,30 @@ def zip_frames(layers: Sequence[str] = LAYERS) -> Column:
     return F.arrays_zip(*[F.col(name) for name in layers])
 
 
-def drop_repeated_frames(frames: str) -> Column:
-    """Frames that differ from the frame just before them; the first stays.
+def distinct_frames(layers: Sequence[str] = LAYERS) -> Column:
+    """As ``zip_frames``, without the frames that equal the frame just before them.
 
-    ``frames`` must be a column name: the lambda looks back into the array, so
-    an inlined expression would be evaluated once per frame.
+    Each frame is zipped with its predecessor's codes, so the lambda reads
+    nothing but its argument: a lambda that looks back into the whole array
+    would make the work quadratic wherever the optimizer inlines that array.
     """
-    whole = F.col(frames)
-    return F.filter(
-        whole,
-        lambda frame, i: (i == 0) | (frame != F.get(whole, i - 1)),
+    before = [f"_before_{name}" for name in layers]
+    shifted = [
+        F.concat(F.array(F.lit(None).cast("int")), F.slice(name, 1, F.greatest(F.size(name) - 1, F.lit(0))))
+        for name in layers
+    ]
+    pairs = F.arrays_zip(
+        *[F.col(name) for name in layers], *[c.alias(b) for c, b in zip(shifted, before)]
     )
 
+    def differs(pair: Column) -> Column:
+        out = F.lit(False)
+        for name, b in zip(layers, before):
+            out = out | ~pair[name].eqNullSafe(pair[b])
+        return out
+
+    return F.when(F.size(layers[0]) > 0, F.filter(pairs, differs)).otherwise(F.slice(pairs, 1, 0))
+
 
 def interleave(
     frames: Column | str,
@@ -69,21 +83,31 @@ def interleave(
     return F.flatten(F.transform(as_column(frames), tokens))
 
 
+def _any_of(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for condition in conditions[1:]:
+        out = out | condition
+    return out
+
+
+def has_null_item(values: Column | str) -> Column:
+    """Whether an int array holds a null.
+
+    A search that finds nothing is null, not false, if there are null items;
+    no code is the smallest int.
+    """
+    return F.array_contains(as_column(values), INT_MIN).isNull()
+
+
 def layer_error(layers: Sequence[str] = LAYERS) -> Column:
-    """``null_layer``, ``ragged_layers``, ``empty_layers`` or null."""
+    """``null_layer``, ``ragged_layers``, ``empty_layers``, ``null_code`` or null."""
     cols = [F.col(name) for name in layers]
     first = F.size(cols[0])
-
-    def any_of(conditions: list[Column]) -> Column:
-        out = conditions[0]
-        for condition in conditions[1:]:
-            out = out | condition
-        return out
-
     return (
-        F.when(any_of([c.isNull() for c in cols]), F.lit("null_layer"))
-        .when(any_of([F.size(c) != first for c in cols[1:]]), F.lit("ragged_layers"))
+        F.when(_any_of([c.isNull() for c in cols]), F.lit("null_layer"))
+        .when(_any_of([F.size(c) != first for c in cols[1:]]), F.lit("ragged_layers"))
         .when(first == 0, F.lit("empty_layers"))
+        .when(_any_of([has_null_item(c) for c in cols]), F.lit("null_code"))
     )
 
 
@@ -93,16 +117,8 @@ def deinterleave(
     layout: TokenLayout = DEFAULT_LAYOUT,
 ) -> Column:
     """Codes of codebook ``k`` (0-based) from a flat run of audio tokens."""
-    tokens = as_column(tokens)
-    step = layout.codebooks
-    frames = F.floor(F.size(tokens) / step).cast("int")
-    return F.when(
-        frames > 0,
-        F.transform(
-            int_range(F.lit(0), frames),
-            lambda j: F.get(tokens, j * step + k) - F.lit(layout.codebook_start(k)),
-        ),
-    ).otherwise(empty_ints())
+    own = F.filter(as_column(tokens), lambda _, i: i % layout.codebooks == k)
+    return F.transform(own, lambda token: token - F.lit(layout.codebook_start(k)))
 
 
 def mono_downmix(samples: Column | str) -> Column:

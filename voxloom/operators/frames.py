@@ -52,8 +52,8 @@ def require_sound(df: DataFrame, error: str = "error") -> DataFrame:
 
 def add_frames(df: DataFrame, *, layers: Sequence[str] = LAYERS, dedup: bool = True, into: str = "frames") -> DataFrame:
     """Replace the layer columns by one array of frames, repeats dropped."""
-    zipped = df.withColumn(into, fx.zip_frames(layers)).drop(*layers)
-    return zipped.withColumn(into, fx.drop_repeated_frames(into)) if dedup else zipped
+    frames = fx.distinct_frames(layers) if dedup else fx.zip_frames(layers)
+    return df.withColumn(into, frames).drop(*layers)
 
 
 def add_codes(
