@@ -201,45 +201,44 @@ checked AS (
 
 
 def corrupted(built: DataFrame) -> DataFrame:
-    """``ids`` from ``input_ids``, damaged in one of seven ways by ``doc_id``."""
-    ids, kind = F.col("input_ids"), F.col("doc_id") % 8
+    """``ids`` from ``input_ids``, damaged in one of seven ways by ``doc_id``.
+
+    A sequence is head, start marker, audio, end marker, last token.  Each way
+    replaces a marker or leaves out some audio tokens.
+    """
     layout = DEFAULT_LAYOUT
-    start, end = F.lit(layout.start_of_speech), F.lit(layout.end_of_speech)
-    at = F.array_position(ids, layout.start_of_speech).cast("int")
-    size = F.size(ids)
-    damaged = (
-        F.when(
-            kind == 1,
-            F.array_remove(F.array_remove(ids, layout.start_of_speech), layout.end_of_speech),
-        )
-        .when(
-            kind == 2,
-            F.concat(
-                F.slice(ids, 1, at - 1),
-                F.array(end),
-                F.slice(ids, at + 1, size - at - 2),
-                F.array(start),
-                F.slice(ids, size, 1),
-            ),
-        )
-        .when(kind == 3, F.concat(F.slice(ids, 1, at), F.slice(ids, at + 2, size - at - 1)))
-        .when(kind == 4, F.concat(F.slice(ids, 1, at), F.slice(ids, size - 1, 2)))
-        .when(kind == 5, F.concat(F.slice(ids, 1, at), F.array(start), F.slice(ids, at + 1, size)))
-        .when(
-            kind == 6,
-            F.concat(
-                F.slice(ids, 1, at),
-                F.array(F.get(ids, at + 1), F.get(ids, at)),
-                F.slice(ids, at + 3, size),
-            ),
-        )
-        .when(
-            kind == 7,
-            F.concat(F.slice(ids, 1, size - 3), int_array([99999]), F.slice(ids, size - 1, 2)),
-        )
-        .otherwise(ids)
+    start, end = layout.start_of_speech, layout.end_of_speech
+    located = built.select(
+        "doc_id",
+        (F.col("doc_id") % 8).alias("kind"),
+        "input_ids",
+        F.array_position("input_ids", start).cast("int").alias("at"),
+        F.size("input_ids").alias("size"),
+    ).withColumn("n", F.expr("size - 2 - at"))
+    first, second = F.get("input_ids", F.col("at")), F.get("input_ids", F.col("at") + 1)
+    opening = (
+        F.when(F.col("kind") == 1, empty_ints())
+        .when(F.col("kind") == 2, int_array([end]))
+        .when(F.col("kind") == 5, int_array([start, start]))
+        .when(F.col("kind") == 6, F.array(F.lit(start), second, first))
+        .otherwise(int_array([start]))
+    )
+    closing = (
+        F.when(F.col("kind") == 1, empty_ints())
+        .when(F.col("kind") == 2, int_array([start]))
+        .when(F.col("kind") == 7, int_array([99999, end]))
+        .otherwise(int_array([end]))
+    )
+    skipped = F.expr("CASE kind WHEN 3 THEN 1 WHEN 4 THEN n WHEN 6 THEN 2 ELSE 0 END")
+    dropped = F.expr("CASE kind WHEN 7 THEN 1 ELSE 0 END")
+    ids = F.concat(
+        F.slice("input_ids", 1, F.col("at") - 1),
+        opening,
+        F.slice("input_ids", F.col("at") + 1 + skipped, F.col("n") - skipped - dropped),
+        closing,
+        F.slice("input_ids", F.col("size"), 1),
     )
-    return built.select("doc_id", damaged.alias("ids"))
+    return located.select("doc_id", ids.alias("ids"))
 
 
 CORRUPTED_SQL = """,

@@ -141,7 +141,7 @@ def mono_downmix(spark, sf):
         lambda v: F.array((v % 256 - 128) / F.lit(128.0), ((v * 7) % 256 - 128) / F.lit(128.0)),
     )
     mono = table(spark, sf, "documents").select("doc_id", samples.alias("samples"))
-    mono = mono.select("doc_id", fx.mono_downmix("samples").alias("wave"))
+    mono = mono.select("doc_id", fx.mono_downmix("samples", channels=2).alias("wave"))
     return mono.select(
         "doc_id",
         F.size("wave").alias("n_samples"),

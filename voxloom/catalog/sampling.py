@@ -8,6 +8,7 @@ from voxloom.catalog.fixtures import table
 from voxloom.catalog.registry import register
 from voxloom.operators import sampling
 from voxloom.operators.rows import categorical_filter, union_sources
+from voxloom.sources.readers import with_sample_index
 
 SAMPLE_SIZES = {"en": 150, "fr": 40, "de": 1_000_000}
 
@@ -50,6 +51,21 @@ def shard(spark, sf):
     return sampling.shard(table(spark, sf, "documents"), 4, key=["doc_id"]).select("doc_id", "shard")
 
 
+@register(
+    "shard_ranges",
+    "SELECT doc_id, CAST(ntile(7) OVER (ORDER BY doc_id) - 1 AS INT) AS shard FROM documents",
+)
+def shard_ranges(spark, sf):
+    """Seven consecutive runs of the stored rows, which lie in doc_id order."""
+    rows = with_sample_index(table(spark, sf, "documents"))
+    return sampling.shard_ranges(rows, 7, index="sample_index").select("doc_id", "shard")
+
+
+@register("sample_index", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS sample_index FROM documents")
+def sample_index(spark, sf):
+    return with_sample_index(table(spark, sf, "documents")).select("doc_id", "sample_index")
+
+
 @register(
     "ordered_restore",
     """

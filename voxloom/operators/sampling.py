@@ -89,12 +89,30 @@ def global_shuffle(
 
 
 def shard(df: DataFrame, n: int, *, key: Sequence[str], into: str = "shard") -> DataFrame:
-    """Add the shard 0..n-1 of each row."""
-    if not 1 <= n:
+    """Add the shard 0..n-1 of each row, from a hash of its key: no pass over other rows."""
+    if n < 1:
         raise ValueError("n must be at least 1")
     return df.withColumn(into, hash_modulo(key, n))
 
 
+def shard_ranges(df: DataFrame, n: int, *, index: str, into: str = "shard") -> DataFrame:
+    """Add the shard 0..n-1 of each row: ``n`` runs of consecutive row numbers.
+
+    ``index`` numbers the rows from 0.  Sizes differ by at most one, the longer
+    runs first.  The row count is the only thing taken from the whole data.
+    """
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    counted = df.withColumn("_small", F.floor(total / n)).withColumn("_long", total % n)
+    i, small, long = F.col(index), F.col("_small"), F.col("_long")
+    in_long = i < long * (small + 1)
+    number = F.when(in_long, F.floor(i / (small + 1))).otherwise(
+        long + F.floor((i - long * (small + 1)) / F.greatest(small, F.lit(1)))
+    )
+    return counted.withColumn(into, number.cast("int")).drop("_small", "_long")
+
+
 def ordered_restore(df: DataFrame, *, order: Sequence[str]) -> DataFrame:
     """Rows in source order, e.g. by ``(source_idx, row_key)``."""
     return df.orderBy(*order)

@@ -11,7 +11,7 @@ from voxloom.functions.audio import AudioLoader
 from voxloom.operators.encode import Extractor, extract_features
 from voxloom.operators.rows import attach_text, eval_speaker
 from voxloom.operators.scoring import compare_pairs, eval_samples, eval_summary, pair_reference_generated
-from voxloom.sources.readers import load_raw_audio
+from voxloom.sources.readers import load_raw_audio, with_sample_index
 from voxloom.sources.writers import write_evaluation
 from voxloom.specs import EvaluationRequest
 
@@ -74,8 +74,14 @@ def run_evaluation(
     *,
     loader: AudioLoader = AudioLoader(),
 ) -> DataFrame:
-    """Score a dataset below ``root``, write rows and summary, return the summary."""
+    """Score a dataset below ``root``, write rows and summary, return the summary.
+
+    Samples are numbered in stored order unless the dataset has a
+    ``sample_index`` of its own.
+    """
     reference = load_raw_audio(spark, root, request.dataset_name, split=request.split)
+    if "sample_index" not in reference.columns:
+        reference = with_sample_index(reference)
     results = evaluate_pairs(reference, generated, request, load_extractor, loader=loader)
     rows, _ = write_evaluation(results, output)
     return eval_summary(spark.read.parquet(rows))

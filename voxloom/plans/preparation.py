@@ -54,6 +54,43 @@ def prepare_sources(
     )
 
 
+def prepare_audio_files(
+    files: DataFrame,
+    transcripts: DataFrame,
+    source: RawSource,
+    load_encoder: Callable[[], Encoder],
+    *,
+    loader: AudioLoader = AudioLoader(),
+    on: str = "file",
+) -> DataFrame:
+    """Encoded rows of a transcript table whose audio lies in files.
+
+    The files are encoded first, so the join moves codes instead of audio.  A
+    transcript without its file is a failed row.
+    """
+    codes = encode_audio(
+        files.select(on, F.col(source.audio_column).alias("audio")), load_encoder, loader=loader
+    ).withColumn("_found", F.lit(True))
+    named = resolve_speaker(
+        attach_text(transcripts, text_column=source.text_column, into="_text"),
+        speaker_column=source.speaker_column,
+        speaker_id=source.speaker_id,
+        into="_speaker",
+    ).select(
+        F.lit(source.dataset_name).alias("source"),
+        F.col(on),
+        F.col("_text").cast("string").alias("text"),
+        F.col("_speaker").cast("string").alias("speaker"),
+    )
+    missing = F.when(F.col("_found").isNull(), F.lit("missing_audio"))
+    return (
+        named.join(codes, on, "left")
+        .withColumn("error", F.coalesce("error", missing))
+        .withColumnRenamed(on, "row_key")
+        .drop("_found")
+    )
+
+
 def run_preparation(
     spark: SparkSession,
     request: PrepareRequest,

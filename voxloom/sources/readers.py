@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.operators.rows import categorical_filter, rename_columns
@@ -54,31 +54,47 @@ def load_raw_audio(spark: SparkSession, root: str, repo: str, *, split: str = "t
     return load_dataset(spark, root, repo, split=split, fmt=fmt)
 
 
-def load_audio_files(
-    spark: SparkSession,
-    path: str,
-    transcripts: DataFrame,
-    *,
-    file_column: str = "file",
-    glob: str = "*",
-    into: str = "audio",
-) -> DataFrame:
-    """Audio files below ``path`` joined to their transcripts by file name.
+def with_sample_index(df: DataFrame, into: str = "sample_index") -> DataFrame:
+    """Number the rows of a Parquet dataset 0, 1, … in file and row order.
 
-    Transcripts without a file keep a null audio value, so that the encoding
-    job counts them as failed rows.
+    ``df`` must come straight from the reader.  A row's number is its place in
+    its file plus the rows of all files before it; only the per-file counts (one
+    row per file) are ordered, never the data.
     """
+    placed = df.withColumn("_file", F.col("_metadata.file_path")).withColumn(
+        "_row", F.col("_metadata.row_index")
+    )
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     files = (
+        placed.groupBy("_file")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    )
+    return (
+        placed.join(files, "_file")
+        .withColumn(into, F.col("_offset") + F.col("_row"))
+        .drop("_file", "_row", "_offset")
+    )
+
+
+def load_audio_files(spark: SparkSession, path: str, *, glob: str = "*", into: str = "audio") -> DataFrame:
+    """Audio files below ``path``: ``file`` (the path below ``path``) and the undecoded audio.
+
+    Encode them before joining their transcripts: codes are a small part of the
+    audio's size.
+    """
+    root = path.rstrip("/") + "/"
+    full = F.col("path")
+    return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
         .select(
-            F.element_at(F.split("path", "/"), -1).alias(file_column),
-            F.struct(F.col("content").alias("bytes"), F.col("path").alias("path")).alias(into),
+            F.substring(full, F.locate(root, full) + len(root), F.length(full)).alias("file"),
+            F.struct(F.col("content").alias("bytes"), full.alias("path")).alias(into),
         )
     )
-    return transcripts.join(files, file_column, "left")
 
 
 def read_merged_json(spark: SparkSession, path: str, *, array_file: bool = False) -> DataFrame:
