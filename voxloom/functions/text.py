@@ -12,8 +12,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voxloom.functions.arrays import INT_ARRAY, as_column, empty_ints, int_array
+from voxloom.functions.arrays import as_column, empty_ints, int_array
 from voxloom.vocab import DEFAULT_LAYOUT, TokenLayout
 
 Tokenizer = Callable[[Column], Column]
@@ -76,7 +77,7 @@ def arrow_tokenizer(load: Callable[[], Callable[[list[str]], Sequence[Sequence[i
     texts to a list of id lists.
     """
 
-    @F.arrow_udf(INT_ARRAY)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode_texts = load()
         for batch in batches:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.functions.arrays import as_column, truncate_to_shorter
 
@@ -127,7 +128,7 @@ def _chunks(order: np.ndarray, cells: np.ndarray) -> Iterator[np.ndarray]:
         start = stop
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _alignment_similarity(ref: pa.Array, gen: pa.Array) -> pa.Array:
     valid = ref.is_valid().to_numpy(zero_copy_only=False) & gen.is_valid().to_numpy(zero_copy_only=False)
     out = np.full(len(valid), np.nan)

@@ -23,7 +23,7 @@ def categorical_filter(df: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """Rename source columns to their standard names."""
+    """Rename source columns to their standard names, all at once, so names may swap."""
     missing = [old for old in names if old not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}")
@@ -33,7 +33,7 @@ def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     taken = [new for new in targets if new in kept or targets.count(new) > 1]
     if taken:
         raise ValueError(f"rename would duplicate columns: {sorted(set(taken))}")
-    return df.withColumnsRenamed(moves)
+    return df.select(*[F.col(f"`{c}`").alias(moves.get(c, c)) for c in df.columns])
 
 
 def union_sources(frames: Sequence[DataFrame]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,7 +12,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 def local_session(cpus: int | str = "*", *, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; a cluster supplies its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("voxloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -20,26 +21,25 @@ def local_session(cpus: int | str = "*", *, shuffle_partitions: int = 8, memory:
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    if not spark.conf.get(CHECKPOINT_KEY, None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxloom-"))
+    return spark
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The folder every executor can reach, as the session names it.
-
-    ``fallback`` is for local runs whose session names none.
-    """
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir() or fallback
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach, as the session names it."""
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not named:
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     return named.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str, fallback: str | None = None) -> str:
+def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark, fallback)}/voxloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/voxloom/{name}-{uuid.uuid4().hex}"
