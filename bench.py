@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR   tables to run on (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
-BENCH_REPEATS  runs per job; the best counts (default 3)
+BENCH_REPEATS  runs per job; the best counts (default 5)
 
 Stored inputs (encoded rows, token sequences) are written before the clock
 starts, because the jobs read datasets that already exist.  Every job runs to a
@@ -77,7 +77,7 @@ def jobs(spark: SparkSession, sf_dir: str, cpus: int) -> dict[str, Callable[[],
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     spark = local_session(cpus, shuffle_partitions=cpus)
     spark.sparkContext.setLogLevel("ERROR")
 
