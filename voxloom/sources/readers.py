@@ -13,6 +13,9 @@ ENCODED_SCHEMA = (
     ", ".join(f"{layer} array<int>" for layer in LAYERS) + ", encoded_len int, text string, speaker string"
 )
 
+# A file's path and offset take some 200 bytes, so this stays near 20 MB.
+BROADCAST_FILES = 100_000
+
 
 def dataset_path(root: str, repo: str, name: str | None, split: str) -> str:
     return "/".join(p for p in (root.rstrip("/"), repo, name, split) if p)
@@ -59,7 +62,8 @@ def with_sample_index(df: DataFrame, into: str = "sample_index") -> DataFrame:
 
     ``df`` must come straight from the reader.  A row's number is its place in
     its file plus the rows of all files before it; only the per-file counts (one
-    row per file) are ordered, never the data.
+    row per file) are ordered, never the data.  The counts are broadcast up to
+    ``BROADCAST_FILES`` files; beyond that the join is left to the optimizer.
     """
     placed = df.withColumn("_file", F.col("_metadata.file_path")).withColumn(
         "_row", F.col("_metadata.row_index")
@@ -70,6 +74,8 @@ def with_sample_index(df: DataFrame, into: str = "sample_index") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
+    if len(df.inputFiles()) <= BROADCAST_FILES:
+        files = F.broadcast(files)
     return (
         placed.join(files, "_file")
         .withColumn(into, F.col("_offset") + F.col("_row"))
