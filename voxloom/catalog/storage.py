@@ -8,20 +8,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxloom.catalog.fixtures import ENCODED_SQL, MAX_SECONDS, derived_layers, encoded, md5_expr, speakers, table
-from voxloom.catalog.preparation import LOADER, PREPARED_COLUMNS, PREPARED_SQL, prepared, prepared_digests, spoken
+from voxloom.catalog.build import BATCH, MERGED_SQL, padded_digests, padded_sql, sources
+from voxloom.catalog.fixtures import (
+    ENCODED_SQL,
+    MAX_SECONDS,
+    derived_layers,
+    encoded,
+    load_reshape_extractor,
+    md5_expr,
+    speakers,
+    table,
+)
+from voxloom.catalog.preparation import PREPARED_COLUMNS, PREPARED_SQL, prepared, prepared_digests, spoken
 from voxloom.catalog.registry import register
 from voxloom.catalog.scoring import COMPARED_SQL, REQUEST, generated, recordings, summary_sql
-from voxloom.catalog.fixtures import load_reshape_extractor, load_sum_encoder
 from voxloom.catalog.sequences import BUILT_SQL
 from voxloom.functions.arrays import digest
 from voxloom.operators import report
-from voxloom.plans import evaluation, preparation, training
+from voxloom.plans import evaluation, training
 from voxloom.session import scratch_path
 from voxloom.sources import readers, writers
-from voxloom.specs import BuildRequest, CategoricalFilter, EncodedSource, RawSource
+from voxloom.specs import BuildRequest, CategoricalFilter, EncodedSource
 from voxloom.streaming.build import stream_training_rows, write_available
-from voxloom.vocab import ENCODED_COLUMNS, LAYERS, TRAINING_COLUMNS
+from voxloom.vocab import LAYERS, TRAINING_COLUMNS
 
 LAYER_DIGESTS = ", ".join(f"{md5_expr(name)} AS {name}" for name in LAYERS)
 
@@ -73,6 +82,44 @@ def requested_training_set(spark, sf):
     return rows.select(digest("input_ids").alias("input_ids"), digest("position_ids").alias("position_ids"))
 
 
+@register(
+    "batch_stored_set",
+    f"""WITH {MERGED_SQL}, batched AS (
+      SELECT *, (row_number() OVER (ORDER BY md5('42:' || source_idx || ':' || row_key), source_idx, row_key) - 1)
+        // {BATCH} AS batch_id FROM built)
+    {padded_sql("source_idx, row_key, batch_id", "batched")}""",
+)
+def batch_stored_set(spark, sf):
+    """The training set written first, then batched from its table."""
+    path = writers.write_training_set(
+        training.training_set(sources(spark, sf), max_seconds=MAX_SECONDS), scratch_path(spark, "train")
+    )
+    return padded_digests(
+        training.batch_training_set(spark.read.parquet(path), batch_size=BATCH), "source_idx", "row_key", "batch_id"
+    )
+
+
+@register(
+    "build_report",
+    f"""WITH {BUILT_SQL}
+    SELECT 0 AS source_idx, 'corpora/documents' AS reponame, (SELECT count(*) FROM documents) AS rows_before,
+           count(*) AS rows_after, 0 AS rejected, count(*) AS built FROM built
+    UNION ALL
+    SELECT 1, 'corpora/documents', count(*) FILTER (lang = 'en'),
+           count(*) FILTER (lang = 'en' AND encoded_len / 12.5 <= 30), 0,
+           least(100, count(*) FILTER (lang = 'en' AND encoded_len / 12.5 <= 30)) FROM encoded""",
+)
+def build_report(spark, sf):
+    """A whole build run over two stored sources, one filtered and sampled."""
+    root = _published(spark, sf, "run")
+    english = CategoricalFilter("lang", "en")
+    request = BuildRequest(
+        [_spec(key_column="doc_id"), _spec(key_column="doc_id", categorical_filter=english, max_len=100)],
+        max_duration_sec=MAX_SECONDS,
+    )
+    return training.run_build(spark, request, root, f"{root}/built")
+
+
 @register(
     "merged_json",
     f"""WITH {PREPARED_SQL} SELECT md5(text) AS text, speaker, encoded_len, {LAYER_DIGESTS}

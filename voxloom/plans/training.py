@@ -9,14 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.frames import within_duration
-from voxloom.functions.sequences import sequence_length
+from voxloom.functions.sequences import ones_like, sequence_length
 from voxloom.functions.text import Tokenizer
 from voxloom.operators.batching import pad_to, with_batch_length
-from voxloom.operators.frames import add_codes, add_frames, build_errors, duration_filter, require_sound
+from voxloom.operators.frames import (
+    add_codes,
+    add_frames,
+    build_errors,
+    duration_filter,
+    filter_report,
+    require_sound,
+)
 from voxloom.operators.rows import union_sources
 from voxloom.operators.sampling import SAMPLE_SEED, global_shuffle, subsample
 from voxloom.operators.sequences import add_training_columns, tokenize_text, training_projection
 from voxloom.sources.readers import load_encoded
+from voxloom.sources.writers import write_training_set
 from voxloom.specs import BuildRequest
 from voxloom.vocab import DEFAULT_LAYOUT, TokenLayout
 
@@ -143,6 +151,28 @@ def batches(
     return training_projection(padded, "batch_id", *ROW_KEY)
 
 
+def batch_training_set(
+    stored: DataFrame,
+    *,
+    batch_size: int,
+    key: Sequence[str] = ROW_KEY,
+    layout: TokenLayout = DEFAULT_LAYOUT,
+    seed: int = SAMPLE_SEED,
+    buckets: int | None = None,
+) -> DataFrame:
+    """Padded batches of a training set that has already been written.
+
+    Ranking reads only the key columns of the stored table.  Labels and masks
+    follow from the ids, so only ids and positions are shuffled.
+    """
+    compact = stored.select(*key, "input_ids", "position_ids")
+    sized = with_batch_length(
+        compact, key=key, batch_size=batch_size, length=F.size("input_ids"), seed=seed, buckets=buckets
+    )
+    full = sized.withColumn("labels", F.col("input_ids")).withColumn("attention_mask", ones_like("input_ids"))
+    return training_projection(pad_to(full, F.col("max_length"), layout=layout), "batch_id", *key)
+
+
 def build_training_set(
     spark: SparkSession, request: BuildRequest, root: str, *, tokenizer: Tokenizer | None = None, **options
 ) -> DataFrame:
@@ -169,3 +199,49 @@ def make_batches(
     )
     step = F.floor(F.col("batch_id") / request.gradient_accumulation_steps).cast("bigint")
     return padded.withColumn("step_id", step)
+
+
+def run_build(
+    spark: SparkSession,
+    request: BuildRequest,
+    root: str,
+    output: str,
+    *,
+    tokenizer: Tokenizer | None = None,
+    **options,
+) -> DataFrame:
+    """Write the training set and its rejects below ``output``; returns one report row per source.
+
+    The report counts the rows a source has, those within the duration limit,
+    those rejected, and those in the written training set.
+    """
+    limit = request.max_duration_sec
+    loaded = [load_encoded(spark, root, s) for s in request.sources]
+    train = write_training_set(
+        training_set(
+            [(df, s.max_len) for df, s in zip(loaded, request.sources)],
+            max_seconds=limit,
+            tokenizer=tokenizer,
+            **options,
+        ),
+        f"{output.rstrip('/')}/train",
+    )
+
+    def tagged(frames: Sequence[DataFrame]) -> DataFrame:
+        return union_sources(
+            [
+                df.withColumn("source_idx", F.lit(i)).withColumn("reponame", F.lit(s.reponame))
+                for i, (df, s) in enumerate(zip(frames, request.sources))
+            ]
+        )
+
+    rejects = f"{output.rstrip('/')}/rejects"
+    tagged([rejected_rows(df, max_seconds=limit) for df in loaded]).write.mode("overwrite").parquet(rejects)
+
+    def counted(path: str, into: str) -> DataFrame:
+        return spark.read.parquet(path).groupBy("source_idx").agg(F.count(F.lit(1)).alias(into))
+
+    report = tagged([filter_report(df, limit) for df in loaded])
+    report = report.join(counted(rejects, "rejected"), "source_idx", "left")
+    report = report.join(counted(train, "built"), "source_idx", "left").fillna(0, ["rejected", "built"])
+    return report.select("source_idx", "reponame", "rows_before", "rows_after", "rejected", "built")
