@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.catalog.fixtures import CORRUPTED_SQL, corrupted, md5_expr
+from voxloom.catalog.fixtures import CORRUPTED_SQL, corrupted, load_sum_decoder, md5_expr
 from voxloom.catalog.registry import register
 from voxloom.catalog.sequences import BUILT_SQL, built
 from voxloom.functions.arrays import digest
@@ -34,7 +34,7 @@ judged AS (
     WHEN len(list_filter(codes, lambda c: c < 0)) > 0 THEN 'negative_code' END AS error
   FROM raw),
 decoded AS (
-  SELECT doc_id, ids, error, CASE WHEN error IS NULL THEN len(codes) // 4 END AS num_frames,
+  SELECT doc_id, ids, error, CAST(CASE WHEN error IS NULL THEN len(codes) // 4 END AS INT) AS num_frames,
     """
     + ",\n    ".join(
         f"CASE WHEN error IS NULL THEN list_filter(codes, lambda c, i: (i - 1) % 4 = {k}) END"
@@ -70,7 +70,7 @@ def damaged(spark, sf) -> DataFrame:
 @register(
     "rebuild_positions",
     f"""WITH {CORRUPT_SQL} {POSITIONS_SQL}
-    SELECT doc_id, len(position_ids) AS n_positions, {md5_expr("position_ids")} AS md5_positions
+    SELECT doc_id, CAST(len(position_ids) AS INT) AS n_positions, {md5_expr("position_ids")} AS md5_positions
     FROM rebuilt""",
 )
 def rebuild_positions(spark, sf):
@@ -126,7 +126,7 @@ TEXT_SQL = "array_to_string(list_transform(span[2:len(span) - 1], lambda x: chr(
 @register(
     "extract_text_span",
     f"""WITH {CORRUPT_SQL}, spanned AS (SELECT doc_id, {SPAN_SQL} AS span FROM corrupted)
-    SELECT doc_id, len(span) AS n_span, {md5_expr("span")} AS md5_span, md5({TEXT_SQL}) AS md5_text
+    SELECT doc_id, CAST(len(span) AS INT) AS n_span, {md5_expr("span")} AS md5_span, md5({TEXT_SQL}) AS md5_text
     FROM spanned""",
 )
 def extract_text_span(spark, sf):
@@ -158,3 +158,17 @@ def decode_sequences(spark, sf):
         F.md5("text").alias("md5_text"),
         digest("position_ids").alias("md5_positions"),
     )
+
+
+@register(
+    "decode_waveforms",
+    f"""WITH {DECODED_SQL}, waves AS (
+      SELECT doc_id, error, list_transform(range(1, num_frames + 1), lambda i: nano_layer_1[i]
+        + 2 * nano_layer_2[i] + 3 * nano_layer_3[i] + 4 * nano_layer_4[i]) AS levels FROM decoded)
+    SELECT doc_id, error, CASE WHEN error IS NULL THEN 22050 END AS sampling_rate,
+           CASE WHEN error IS NULL THEN {md5_expr("levels")} END AS levels FROM waves""",
+)
+def decode_waveforms(spark, sf):
+    out = decoding.decode_waveforms(damaged(spark, sf), load_sum_decoder)
+    levels = F.transform("audio.array", lambda x: (x * 65536).cast("int"))
+    return out.select("doc_id", "error", F.col("audio.sampling_rate"), digest(levels).alias("levels"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import empty_ints, int_array
-from voxloom.operators.encode import Encoder, Extractor
+from voxloom.operators.encode import CodecDecoder, Encoder, Extractor, Generator
 from voxloom.vocab import DEFAULT_LAYOUT, LAYERS, SAMPLE_RATE
 
 MAX_SECONDS = 30
@@ -47,7 +47,11 @@ docs AS (
 
 
 def derived_layers(docs: DataFrame) -> DataFrame:
-    """Documents as encoded rows: 1 to 500 frames, runs of 1 to 3 equal frames."""
+    """Documents as encoded rows: 1 to 500 frames, runs of 1 to 3 equal frames.
+
+    The layers come out of a one-element ``inline``: like stored columns, they
+    are computed once, and no predicate on them is pushed into their formulas.
+    """
     n = (F.lit(1) + (F.col("doc_id") * 7) % 500).cast("int")
     run = F.lit(1) + F.col("doc_id") % 3
 
@@ -59,12 +63,9 @@ def derived_layers(docs: DataFrame) -> DataFrame:
             ).cast("int"),
         )
 
-    return (
-        docs.withColumn("encoded_len", n)
-        .withColumn("_run", run)
-        .withColumns({name: layer(k) for k, name in enumerate(LAYERS, start=1)})
-        .drop("_run")
-    )
+    layers = F.struct(*[layer(k).alias(name) for k, name in enumerate(LAYERS, start=1)])
+    sized = docs.withColumn("encoded_len", n).withColumn("_run", run)
+    return sized.select(*docs.columns, "encoded_len", F.inline(F.array(layers)))
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,6 +283,21 @@ def load_sum_encoder() -> Encoder:
     return encode
 
 
+def load_sum_decoder() -> CodecDecoder:
+    """Stand-in decoder: one sample per frame, a weighted sum of its codes."""
+    return lambda codes: (codes * np.array([[1], [2], [3], [4]])).sum(axis=0) / 65536.0
+
+
+def load_echo_generator() -> Generator:
+    """Stand-in speech: the characters of speaker and text as samples."""
+
+    def generate(text: str, speaker: str | None) -> np.ndarray:
+        points = np.frombuffer(f"{speaker or ''}{text}".encode("utf-32-le"), np.uint32)
+        return (points % 256) / 256.0
+
+    return generate
+
+
 def load_reshape_extractor() -> Extractor:
     """Stand-in features: the waveform itself, cut into columns of fixed height."""
 

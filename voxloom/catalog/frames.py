@@ -57,7 +57,7 @@ def _frame_digest(column: str):
 @register(
     "dedup_consecutive_frames",
     f"""WITH {ENCODED_SQL} {frames_sql("encoded", "framed")}
-    SELECT doc_id, len(frames) AS n_frames, {md5_expr("flatten(frames)")} AS frames_md5 FROM framed""",
+    SELECT doc_id, CAST(len(frames) AS INT) AS n_frames, {md5_expr("flatten(frames)")} AS frames_md5 FROM framed""",
 )
 def dedup_consecutive_frames(spark, sf):
     framed = frames.add_frames(encoded(spark, sf))
@@ -69,7 +69,7 @@ def dedup_consecutive_frames(spark, sf):
 @register(
     "frame_count",
     f"""WITH {ENCODED_SQL} {frames_sql("encoded", "framed")}
-    SELECT doc_id, encoded_len, len(frames) AS num_audio_frames FROM framed""",
+    SELECT doc_id, encoded_len, CAST(len(frames) AS INT) AS num_audio_frames FROM framed""",
 )
 def frame_count(spark, sf):
     return frames.add_codes(frames.add_frames(encoded(spark, sf))).select(
@@ -81,7 +81,7 @@ def frame_count(spark, sf):
     "interleave_layers",
     f"""WITH {ENCODED_SQL} {frames_sql("encoded", "framed", dedup=False)},
     coded AS (SELECT *, {CODES_EXPR} AS codes FROM framed)
-    SELECT doc_id, len(codes) AS n_codes, {sum_expr("codes")} AS sum_codes,
+    SELECT doc_id, CAST(len(codes) AS INT) AS n_codes, {sum_expr("codes")} AS sum_codes,
            {md5_expr("codes")} AS codes_md5 FROM coded""",
 )
 def interleave_layers(spark, sf):
@@ -100,7 +100,7 @@ def interleave_layers(spark, sf):
     coded AS (
       SELECT doc_id, CASE doc_id % 50 WHEN 1 THEN NULL WHEN 3 THEN [] ELSE {CODES_EXPR} END AS codes_list
       FROM framed)
-    SELECT doc_id, len(codes_list) AS n_codes FROM coded
+    SELECT doc_id, CAST(len(codes_list) AS INT) AS n_codes FROM coded
     WHERE codes_list IS NOT NULL AND len(codes_list) > 0""",
 )
 def drop_empty_codes(spark, sf):
@@ -128,7 +128,7 @@ def build_errors(spark, sf):
       FROM documents),
     mono AS (
       SELECT doc_id, list_transform(samples, lambda c: (c[1] + c[2]) / 2) AS wave FROM stereo)
-    SELECT doc_id, len(wave) AS n_samples, list_sum(wave) AS sum_wave,
+    SELECT doc_id, CAST(len(wave) AS INT) AS n_samples, list_sum(wave) AS sum_wave,
            {md5_expr("list_transform(wave, lambda x: CAST(x * 256 AS INT))")} AS wave_md5
     FROM mono
     """,

@@ -10,7 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.catalog.fixtures import ENCODED_SQL, encoded, load_reshape_extractor, md5_expr, table
+from voxloom.catalog.fixtures import (
+    ENCODED_SQL,
+    encoded,
+    load_echo_generator,
+    load_reshape_extractor,
+    md5_expr,
+    table,
+)
 from voxloom.catalog.registry import register
 from voxloom.functions import vectors as vx
 from voxloom.functions.arrays import digest, truncate_to_shorter as cut_both
@@ -90,7 +97,7 @@ def dtw_steps_sql(source: str, keys: str, a: str = "a", b: str = "b") -> str:
     "mean_pool",
     """
     SELECT label, coeff, round(avg(value), 6) AS pooled FROM (
-      SELECT label, unnest(range(0, 64)) AS coeff, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)
+      SELECT label, CAST(unnest(range(0, 64)) AS INT) AS coeff, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)
     GROUP BY label, coeff
     """,
 )
@@ -131,7 +138,7 @@ def _every(step: int, k: int):
       SELECT doc_id, nano_layer_1 AS a, list_transform(string_split(text, ''), lambda c: 3 + unicode(c) % 64000) AS b
       FROM encoded),
     cut AS (SELECT doc_id, a[1:least(len(a), len(b))] AS a, b[1:least(len(a), len(b))] AS b FROM both_sides)
-    SELECT doc_id, len(a) AS n_a, len(b) AS n_b, {md5_expr("a")} AS md5_a, {md5_expr("b")} AS md5_b FROM cut""",
+    SELECT doc_id, CAST(len(a) AS INT) AS n_a, CAST(len(b) AS INT) AS n_b, {md5_expr("a")} AS md5_a, {md5_expr("b")} AS md5_b FROM cut""",
 )
 def truncate_to_shorter(spark, sf):
     df = encoded(spark, sf).select("doc_id", F.col("nano_layer_1").alias("a"), char_ids("text").alias("b"))
@@ -333,7 +340,7 @@ def features(df: DataFrame) -> DataFrame:
       SELECT sample_index, wave, {cut_sql("wave", 13)} AS mfcc, {cut_sql("wave", 12)} AS chroma,
         {cut_sql("wave", 1)} AS centroid FROM recordings)
     SELECT sample_index, CASE WHEN wave IS NULL THEN 'unsupported_audio' END AS error,
-      len(mfcc[1]) AS mfcc_frames, len(chroma[1]) AS chroma_frames, len(centroid[1]) AS centroid_frames,
+      CAST(len(mfcc[1]) AS INT) AS mfcc_frames, CAST(len(chroma[1]) AS INT) AS chroma_frames, CAST(len(centroid[1]) AS INT) AS centroid_frames,
       round(list_sum(mfcc[5]), 5) AS mfcc_5, round(list_sum(chroma[12]), 5) AS chroma_12,
       round(list_sum(centroid[1]), 5) AS centroid_1
     FROM (SELECT sample_index, wave, CASE WHEN wave IS NOT NULL THEN mfcc END AS mfcc,
@@ -367,7 +374,7 @@ def extract_features(spark, sf):
       UNION ALL
       SELECT sample_index, 'centroid', {cut_sql("wave", 1)} FROM recordings WHERE wave IS NOT NULL),
     coeffs AS (
-      SELECT sample_index, feature, unnest(range(0, len(matrix))) AS coeff, unnest(matrix) AS row FROM cut)
+      SELECT sample_index, feature, CAST(unnest(range(0, len(matrix))) AS INT) AS coeff, unnest(matrix) AS row FROM cut)
     SELECT sample_index, feature, coeff, round(list_sum(row) / len(row), 6) AS pooled FROM coeffs
     """,
 )
@@ -415,3 +422,20 @@ def evaluate_pairs(spark, sf):
 @register("evaluation_summary", f"WITH RECURSIVE {COMPARED_SQL} {summary_sql('evaluated')}")
 def evaluation_summary(spark, sf):
     return scoring.eval_summary(_evaluated(spark, sf))
+
+
+@register(
+    "generate_audio",
+    f"""
+    WITH {RECORDINGS_SQL}, said AS (
+      SELECT sample_index, list_transform(string_split(speaker || text, ''), lambda c: unicode(c) % 256) AS levels
+      FROM recordings WHERE text <> '')
+    SELECT sample_index, CAST(NULL AS VARCHAR) AS error, 22050 AS sampling_rate,
+           {md5_expr("levels")} AS levels FROM said
+    """,
+)
+def generate_audio(spark, sf):
+    """Audio generated for every sample with text, by a stand-in model."""
+    out = evaluation.generated_samples(recordings(spark, sf), REQUEST, load_echo_generator)
+    levels = F.transform("audio.array", lambda x: (x * 256).cast("int"))
+    return out.select("sample_index", "error", F.col("audio.sampling_rate"), digest(levels).alias("levels"))

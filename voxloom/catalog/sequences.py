@@ -47,7 +47,7 @@ def summarise(df: DataFrame, column: str, *keys: str) -> DataFrame:
 def summary_sql(column: str, name: str | None = None) -> str:
     name = name or column
     return (
-        f"len({column}) AS n_{name}, {sum_expr(column)} AS sum_{name}, {md5_expr(column)} AS md5_{name}"
+        f"CAST(len({column}) AS INT) AS n_{name}, {sum_expr(column)} AS sum_{name}, {md5_expr(column)} AS md5_{name}"
     )
 
 

@@ -103,7 +103,7 @@ def batch_stored_set(spark, sf):
     "build_report",
     f"""WITH {BUILT_SQL}
     SELECT 0 AS source_idx, 'corpora/documents' AS reponame, (SELECT count(*) FROM documents) AS rows_before,
-           count(*) AS rows_after, 0 AS rejected, count(*) AS built FROM built
+           count(*) AS rows_after, CAST(0 AS BIGINT) AS rejected, count(*) AS built FROM built
     UNION ALL
     SELECT 1, 'corpora/documents', count(*) FILTER (lang = 'en'),
            count(*) FILTER (lang = 'en' AND encoded_len / 12.5 <= 30), 0,

@@ -1,4 +1,5 @@
-"""Arrow jobs over audio rows: codec encoding and feature extraction.
+"""Arrow jobs that call a model per row: codec encoding and decoding, feature
+extraction, and speech generation.
 
 A failing row never fails the job: it comes out with nulls and an ``error``.
 The callables are loaded once per task.  Spark cuts batches by bytes
@@ -18,12 +19,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.functions.audio import AudioLoader
-from voxloom.vocab import LAYERS
+from voxloom.vocab import LAYERS, SAMPLE_RATE
 
 # waveform -> (one code sequence per layer, number of frames)
 Encoder = Callable[[np.ndarray], tuple[Sequence[Sequence[int]], int]]
+# (layers, frames) codes -> waveform
+CodecDecoder = Callable[[np.ndarray], np.ndarray]
 # waveform -> feature name -> (features, frames) matrix
 Extractor = Callable[[np.ndarray], Mapping[str, np.ndarray]]
+# (text, speaker or None) -> waveform
+Generator = Callable[[str, str | None], np.ndarray]
 
 FEATURES = ("mfcc", "chroma", "centroid")
 
@@ -46,38 +51,70 @@ def _audio_parts(df: DataFrame, audio: str) -> dict[str, Column]:
     }
 
 
-def _audio_job(
+def _row_job(
     df: DataFrame,
     *,
-    audio: str,
-    loader: AudioLoader,
-    load: Callable[[], Callable[[np.ndarray], dict[str, Any]]],
+    inputs: Mapping[str, Column],
+    consumed: Sequence[str],
+    load: Callable[[], Callable[..., dict[str, Any]]],
     produced: Sequence[T.StructField],
     error: str,
 ) -> DataFrame:
-    """Run a per-waveform callable over an audio column, keeping all other columns."""
-    keep = [f for f in df.schema.fields if f.name != audio]
+    """Call ``load()``'s function on the ``inputs`` of every row, keeping other columns.
+
+    The function gets the input values in order and returns the produced values.
+    A row that already has an error is passed on with nulls.
+    """
+    had_error = error in df.columns
+    keep = [f for f in df.schema.fields if f.name not in {*consumed, error}]
     kept = [f.name for f in keep]
     names = [f.name for f in produced]
+    given = list(inputs)
     schema = T.StructType([*keep, *produced, T.StructField(error, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         work = load()
         for batch in batches:
             out: dict[str, list[Any]] = {name: [] for name in [*names, error]}
-            for data, array, rate in zip(batch["_bytes"], batch["_array"], batch["_rate"]):
-                try:
-                    wave = loader.load(data, array, None if pd.isna(rate) else int(rate))
-                    row = work(wave)
-                    reason = None
-                except Exception as exc:  # isolate the row
-                    row, reason = {}, str(exc) or type(exc).__name__
+            for before, *values in zip(batch["_error"], *[batch[n] for n in given]):
+                row: dict[str, Any] = {}
+                reason = before
+                if before is None:
+                    try:
+                        row = work(*values)
+                    except Exception as exc:  # isolate the row
+                        reason = str(exc) or type(exc).__name__
                 for name in names:
                     out[name].append(row.get(name))
                 out[error].append(reason)
             yield batch[kept].assign(**{k: pd.Series(v, index=batch.index, dtype=object) for k, v in out.items()})
 
-    return df.select(*kept, *[c.alias(n) for n, c in _audio_parts(df, audio).items()]).mapInPandas(run, schema)
+    earlier = F.col(error) if had_error else F.lit(None).cast("string")
+    return df.select(*kept, *[c.alias(n) for n, c in inputs.items()], earlier.alias("_error")).mapInPandas(run, schema)
+
+
+def _audio_job(
+    df: DataFrame,
+    *,
+    audio: str,
+    loader: AudioLoader,
+    load: Callable[[], Callable[[np.ndarray], dict[str, Any]]],
+    produced: Sequence[T.StructField],
+    error: str,
+) -> DataFrame:
+    """Run a per-waveform callable over an audio column."""
+
+    def load_work() -> Callable[..., dict[str, Any]]:
+        work = load()
+
+        def run(data: bytes | None, array: Any, rate: Any) -> dict[str, Any]:
+            return work(loader.load(data, array, None if pd.isna(rate) else int(rate)))
+
+        return run
+
+    return _row_job(
+        df, inputs=_audio_parts(df, audio), consumed=[audio], load=load_work, produced=produced, error=error
+    )
 
 
 def encode_audio(
@@ -136,6 +173,70 @@ def extract_features(
     return _audio_job(df, audio=audio, loader=loader, load=load, produced=produced, error=error)
 
 
+def _produced_audio(audio: str) -> T.StructField:
+    value = T.StructType(
+        [T.StructField("array", T.ArrayType(T.FloatType())), T.StructField("sampling_rate", T.IntegerType())]
+    )
+    return T.StructField(audio, value)
+
+
+def _audio_value(wave: np.ndarray) -> dict[str, Any]:
+    return {"array": np.asarray(wave, dtype=np.float32).ravel(), "sampling_rate": SAMPLE_RATE}
+
+
+def decode_audio(
+    df: DataFrame,
+    load_decoder: Callable[[], CodecDecoder],
+    *,
+    layers: Sequence[str] = LAYERS,
+    audio: str = "audio",
+    error: str = "error",
+) -> DataFrame:
+    """Replace the code layers by decoded audio at the codec's rate, and ``error``."""
+
+    def load() -> Callable[..., dict[str, Any]]:
+        decoder = load_decoder()
+
+        def work(*codes: Sequence[int]) -> dict[str, Any]:
+            return {audio: _audio_value(decoder(np.stack([np.asarray(c, dtype=np.int64) for c in codes])))}
+
+        return work
+
+    return _row_job(
+        df,
+        inputs={f"_in_{n}": F.col(n) for n in layers},
+        consumed=layers,
+        load=load,
+        produced=[_produced_audio(audio)],
+        error=error,
+    )
+
+
+def generate_audio(
+    df: DataFrame,
+    load_generator: Callable[[], Generator],
+    *,
+    text: str = "text",
+    speaker: str = "speaker",
+    audio: str = "audio",
+    error: str = "error",
+) -> DataFrame:
+    """Add generated speech for each row's text and speaker, and ``error``."""
+
+    def load() -> Callable[..., dict[str, Any]]:
+        generate = load_generator()
+        return lambda said, who: {audio: _audio_value(generate(said, who))}
+
+    return _row_job(
+        df,
+        inputs={"_in_text": F.col(text), "_in_speaker": F.col(speaker)},
+        consumed=[],
+        load=load,
+        produced=[_produced_audio(audio)],
+        error=error,
+    )
+
+
 def long_features(df: DataFrame, *, sample: str, features: Sequence[str] = FEATURES) -> DataFrame:
     """Feature matrices as ``(sample, feature, coeff, frame, value)`` rows."""
     named = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("matrix")) for n in features])
@@ -150,8 +251,6 @@ def librosa_extractor() -> Extractor:
     """MFCC (13), chroma and spectral centroid, if that library is installed."""
     import librosa
 
-    from voxloom.vocab import SAMPLE_RATE
-
     def extract(wave: np.ndarray) -> dict[str, np.ndarray]:
         return {
             "mfcc": librosa.feature.mfcc(y=wave, sr=SAMPLE_RATE, n_mfcc=13),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators.encode import CodecDecoder, decode_audio
 from voxloom.operators.sequences import deinterleave_codes, extract_text_span, rebuild_positions
 from voxloom.vocab import DEFAULT_LAYOUT, LAYERS, TokenLayout
 
@@ -35,3 +38,18 @@ def decode_sequences(
     out = out.withColumns({c: F.when(sound, F.col(c)) for c in blank})
     out = out.withColumn("num_frames", F.when(sound, F.size(LAYERS[0])))
     return rebuild_positions(out, ids=ids, layout=layout)
+
+
+def decode_waveforms(
+    df: DataFrame,
+    load_decoder: Callable[[], CodecDecoder],
+    *,
+    ids: str = "ids",
+    with_text: bool = True,
+    strict: bool = False,
+    layout: TokenLayout = DEFAULT_LAYOUT,
+) -> DataFrame:
+    """Token sequences to audio through a codec decoder; rows with an error have none."""
+    return decode_audio(
+        decode_sequences(df, ids=ids, with_text=with_text, strict=strict, layout=layout), load_decoder
+    )

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.audio import AudioLoader
-from voxloom.operators.encode import Extractor, extract_features
-from voxloom.operators.rows import attach_text, eval_speaker
+from voxloom.operators.encode import Extractor, Generator, extract_features, generate_audio
+from voxloom.operators.rows import attach_text, eval_speaker, skip_empty_text
 from voxloom.operators.scoring import compare_pairs, eval_samples, eval_summary, pair_reference_generated
 from voxloom.sources.readers import load_raw_audio, with_sample_index
 from voxloom.sources.writers import write_evaluation
@@ -58,17 +58,35 @@ def evaluate_pairs(
     matrices and no audio.
     """
     ref = reference_samples(reference, request, load_extractor, loader=loader)
+    kept = [c for c in ("error",) if c in generated.columns]
     gen = extract_features(
-        generated.select("sample_index", F.col(audio).alias("audio")), load_extractor, loader=loader
+        generated.select("sample_index", F.col(audio).alias("audio"), *kept), load_extractor, loader=loader
     )
     return eval_samples(compare_pairs(pair_reference_generated(ref, gen)))
 
 
+def generated_samples(
+    reference: DataFrame, request: EvaluationRequest, load_generator: Callable[[], Generator]
+) -> DataFrame:
+    """Audio generated for every reference sample that has text."""
+    named = eval_speaker(
+        attach_text(reference, text_column=request.text_column, into="_text"),
+        speaker_column=request.speaker_column,
+        speaker_id=request.speaker_id,
+        into="_speaker",
+    ).select(
+        "sample_index",
+        F.col("_text").cast("string").alias("text"),
+        F.col("_speaker").cast("string").alias("speaker"),
+    )
+    return generate_audio(skip_empty_text(named), load_generator).drop("text", "speaker")
+
+
 def run_evaluation(
     spark: SparkSession,
     request: EvaluationRequest,
     root: str,
-    generated: DataFrame,
+    generated: DataFrame | Callable[[], Generator],
     load_extractor: Callable[[], Extractor],
     output: str,
     *,
@@ -76,12 +94,17 @@ def run_evaluation(
 ) -> DataFrame:
     """Score a dataset below ``root``, write rows and summary, return the summary.
 
+    ``generated`` is a table of audio by ``sample_index``, or the loader of a
+    model that generates it.
+
     Samples are numbered in stored order unless the dataset has a
     ``sample_index`` of its own.
     """
     reference = load_raw_audio(spark, root, request.dataset_name, split=request.split)
     if "sample_index" not in reference.columns:
         reference = with_sample_index(reference)
+    if not isinstance(generated, DataFrame):
+        generated = generated_samples(reference, request, generated)
     results = evaluate_pairs(reference, generated, request, load_extractor, loader=loader)
     rows, _ = write_evaluation(results, output)
     return eval_summary(spark.read.parquet(rows))
