@@ -163,3 +163,35 @@ def test_layers_feed_the_build(spark):
     sound, _ = report.split_rejects(prepared)
     built = build_rows(sound_rows(sound.select("row_key", *LAYERS, "encoded_len", "text", "speaker"), max_seconds=30)).first()
     assert built.input_ids[-10:] == [64415, 68448, 72481, 76514, 64417, 68450, 72483, 76516, 64402, 64406]
+
+
+def test_codec_decoding(spark):
+    from voxloom.plans.decoding import decode_waveforms
+
+    ids = [1, 5, 2, 64401, 64415, 68443, 72476, 76509, 64402]
+    df = spark.createDataFrame([(0, ids), (1, ids[:-1]), (2, ids)], "id int, ids array<int>")
+
+    def load_decoder():
+        return lambda codes: codes.sum(axis=0) / 100.0
+
+    out = {r.id: r for r in decode_waveforms(df, load_decoder).collect()}
+    assert out[0].audio.sampling_rate == SAMPLE_RATE
+    assert out[0].audio.array == pytest.approx([0.11])
+    assert out[0].error is None
+    assert out[1].error == "missing_marker" and out[1].audio is None
+
+
+def test_models_run_once_per_row_under_filters(spark):
+    """A filter on the result must not make the model run again."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def run(samples):
+            calls.add(1)
+            return [[1]] * 4, 1
+
+        return run
+
+    out = encode.encode_audio(rows(spark, *[wav([1])] * 6), load).where("error IS NULL AND encoded_len = 1")
+    assert len(out.select("id", "nano_layer_1").collect()) == 6
+    assert calls.value == 6

@@ -171,3 +171,42 @@ def test_request_to_training_set(spark, tmp_path):
     # stripping the padding gives the training rows back
     stripped = sorted([t for t in r.input_ids if t != 64407] for r in made)
     assert stripped == sorted(r.input_ids for r in rows_)
+
+
+def test_build_run(spark, tmp_path):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    broken = encoded(spark, 10).withColumn(
+        "nano_layer_2", F.when(F.col("id") != 3, F.col("nano_layer_2"))
+    ).withColumn("encoded_len", F.when(F.col("id") == 4, F.lit(9999)).otherwise(F.col("encoded_len")))
+    writers.publish_encoded(broken, root, "org/set")
+    request = BuildRequest([EncodedSource("org/set", key_column="id"), EncodedSource("org/set", key_column="id", max_len=2)])
+    report = {r.source_idx: r for r in training.run_build(spark, request, root, out).collect()}
+    assert [(r.rows_before, r.rows_after, r.rejected, r.built) for r in (report[0], report[1])] == [(10, 9, 1, 8), (10, 9, 1, 2)]
+    rejects = spark.read.parquet(f"{out}/rejects").collect()
+    assert {(r.source_idx, r.row_key, r.error) for r in rejects} == {(0, "3", "null_layer"), (1, "3", "null_layer")}
+    stored = spark.read.parquet(f"{out}/train")
+    made = training.batch_training_set(stored, batch_size=4).collect()
+    assert sorted(r.batch_id for r in made) == [0] * 4 + [1] * 4 + [2] * 2
+
+
+def test_generated_by_a_model(spark, tmp_path):
+    from voxloom.catalog.fixtures import load_reshape_extractor
+
+    def load_generator():
+        def speak(text, speaker):
+            if text == "fail":
+                raise RuntimeError("no voice")
+            return [0.1 * len(text), 0.2]
+
+        return speak
+
+    root = str(tmp_path)
+    audio = rows(spark, wav([1, 2]), wav([3, 4]), wav([5])).join(
+        spark.createDataFrame([(0, "hi"), (1, "fail"), (2, "")], "id int, text string"), "id"
+    )
+    writers.publish_encoded(audio.orderBy("id").coalesce(1), root, "org/test", "test")
+    evaluation.run_evaluation(spark, EvaluationRequest("org/test", speaker_id="ann"), root, load_generator, load_reshape_extractor, f"{root}/scores")
+    got = {r.sample_index: r for r in spark.read.parquet(f"{root}/scores/results").collect()}
+    assert set(got) == {0, 1}
+    assert got[0].error is None and 0 < got[0].overall_score <= 1
+    assert got[1].error == "no voice"

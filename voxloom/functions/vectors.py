@@ -151,6 +151,6 @@ def dtw_similarity(ref: Column | str, gen: Column | str) -> Column:
     counts.  Frames are compared by Euclidean distance.  One pair is one row,
     so the work is spread by row and needs no grouping.
     """
-    return _alignment_similarity(
-        as_column(ref).cast("array<array<double>>"), as_column(gen).cast("array<array<double>>")
-    )
+    # Not deterministic to the optimizer, so that no filter on the result aligns twice.
+    align = _alignment_similarity.asNondeterministic()
+    return align(as_column(ref).cast("array<array<double>>"), as_column(gen).cast("array<array<double>>"))

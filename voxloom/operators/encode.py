@@ -36,25 +36,21 @@ _INTS = T.ArrayType(T.IntegerType())
 _MATRIX = T.ArrayType(T.ArrayType(T.DoubleType()))
 
 
-def _audio_parts(df: DataFrame, audio: str) -> dict[str, Column]:
-    """The fields of an audio struct as flat columns; missing ones are null."""
+def _audio_parts(df: DataFrame, audio: str) -> list[Column]:
+    """Bytes, samples and rate of an audio struct; fields it lacks are null."""
     present = set(df.schema[audio].dataType.fieldNames())
 
     def part(name: str, as_type: str) -> Column:
         value = F.col(audio)[name] if name in present else F.lit(None)
         return value.cast(as_type)
 
-    return {
-        "_bytes": part("bytes", "binary"),
-        "_array": part("array", "array<float>"),
-        "_rate": part("sampling_rate", "int"),
-    }
+    return [part("bytes", "binary"), part("array", "array<float>"), part("sampling_rate", "int")]
 
 
 def _row_job(
     df: DataFrame,
     *,
-    inputs: Mapping[str, Column],
+    inputs: Sequence[Column],
     consumed: Sequence[str],
     load: Callable[[], Callable[..., dict[str, Any]]],
     produced: Sequence[T.StructField],
@@ -63,20 +59,18 @@ def _row_job(
     """Call ``load()``'s function on the ``inputs`` of every row, keeping other columns.
 
     The function gets the input values in order and returns the produced values.
-    A row that already has an error is passed on with nulls.
+    A row that already has an error is passed on with nulls.  Only the inputs go
+    to Python; all other columns stay in the JVM.
     """
-    had_error = error in df.columns
-    keep = [f for f in df.schema.fields if f.name not in {*consumed, error}]
-    kept = [f.name for f in keep]
     names = [f.name for f in produced]
-    given = list(inputs)
-    schema = T.StructType([*keep, *produced, T.StructField(error, T.StringType())])
+    returned = T.StructType([*produced, T.StructField(error, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(returned)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         work = load()
-        for batch in batches:
+        for columns in batches:
             out: dict[str, list[Any]] = {name: [] for name in [*names, error]}
-            for before, *values in zip(batch["_error"], *[batch[n] for n in given]):
+            for before, *values in zip(*columns):
                 row: dict[str, Any] = {}
                 reason = before
                 if before is None:
@@ -87,10 +81,13 @@ def _row_job(
                 for name in names:
                     out[name].append(row.get(name))
                 out[error].append(reason)
-            yield batch[kept].assign(**{k: pd.Series(v, index=batch.index, dtype=object) for k, v in out.items()})
+            yield pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
 
-    earlier = F.col(error) if had_error else F.lit(None).cast("string")
-    return df.select(*kept, *[c.alias(n) for n, c in inputs.items()], earlier.alias("_error")).mapInPandas(run, schema)
+    earlier = F.col(error) if error in df.columns else F.lit(None).cast("string")
+    # Not deterministic to the optimizer, so that no filter on the result makes it run the model twice.
+    made = run.asNondeterministic()(earlier, *inputs)
+    kept = [c for c in df.columns if c not in {*consumed, error}]
+    return df.withColumn("_made", made).select(*kept, "_made.*")
 
 
 def _audio_job(
@@ -204,7 +201,7 @@ def decode_audio(
 
     return _row_job(
         df,
-        inputs={f"_in_{n}": F.col(n) for n in layers},
+        inputs=[F.col(n) for n in layers],
         consumed=layers,
         load=load,
         produced=[_produced_audio(audio)],
@@ -229,7 +226,7 @@ def generate_audio(
 
     return _row_job(
         df,
-        inputs={"_in_text": F.col(text), "_in_speaker": F.col(speaker)},
+        inputs=[F.col(text), F.col(speaker)],
         consumed=[],
         load=load,
         produced=[_produced_audio(audio)],
