@@ -51,7 +51,7 @@ def build_request() -> BuildRequest:
                 "bench/documents",
                 key_column="doc_id",
                 categorical_filter=CategoricalFilter("lang", "en"),
-                speaker_id="Simon",
+                speaker_id="Robin",
             ),
             EncodedSource("bench/documents", key_column="doc_id", max_len=2000),
         ],

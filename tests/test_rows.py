@@ -52,7 +52,7 @@ def test_prompt_rules(spark):
     df = spark.createDataFrame([("T", "Ann"), ("T", ""), ("T", None)], "text string, speaker string")
     shown = [r[0] for r in df.select(speaker_prompt("text", F.col("speaker"))).collect()]
     assert shown == ["ann: T", ": T", "T"]
-    assert df.select(speaker_prompt("text", F.col("speaker"), "Simon")).first()[0] == "simon: T"
+    assert df.select(speaker_prompt("text", F.col("speaker"), "Robin")).first()[0] == "robin: T"
 
 
 @pytest.mark.parametrize("limit", [0, 1, 2, 7, 30, 0.5, 29.99])

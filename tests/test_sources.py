@@ -152,7 +152,7 @@ def test_request_to_training_set(spark, tmp_path):
         {
             "sources": [
                 {"reponame": "org/set", "key_column": "id", "categorical_filter": {"column_name": "speaker", "value": "ann"}},
-                {"reponame": "org/set", "key_column": "id", "max_len": 4, "speaker_id": "Simon"},
+                {"reponame": "org/set", "key_column": "id", "max_len": 4, "speaker_id": "Robin"},
             ],
             "max_duration_sec": 1,
             "per_device_train_batch_size": 3,

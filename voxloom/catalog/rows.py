@@ -77,7 +77,7 @@ def attach_text(spark, sf):
     """
     SELECT doc_id,
            md5(CASE WHEN lang <> 'es' THEN lower(upper(source)) || ': ' || text ELSE text END) AS row_prompt,
-           md5('simon: ' || text) AS fixed_prompt,
+           md5('robin: ' || text) AS fixed_prompt,
            md5(text) AS bare_prompt
     FROM documents
     """,
@@ -86,7 +86,7 @@ def speaker_prompt(spark, sf):
     return documents(spark, sf).select(
         "doc_id",
         F.md5(prompt_of("text", F.upper("speaker"))).alias("row_prompt"),
-        F.md5(prompt_of("text", F.col("speaker"), "Simon")).alias("fixed_prompt"),
+        F.md5(prompt_of("text", F.col("speaker"), "Robin")).alias("fixed_prompt"),
         F.md5(prompt_of("text")).alias("bare_prompt"),
     )
 
