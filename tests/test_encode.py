@@ -8,6 +8,7 @@ import wave
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from voxloom.functions.audio import AudioError, AudioLoader, wav_decoder
@@ -134,8 +135,8 @@ def test_counters_add_up(spark):
     assert counts == {"x/one": (2, 1, 1), "x/two": (2, 2, 0), None: (4, 3, 1)}
     row = report.run_report(prepared, datasets_total=2).first()
     assert (row.status, row.total, row.processed, row.failed_samples) == ("completed", 4, 3, 1)
-    observed, counters = report.observed(prepared, "t")
-    observed.collect()
+    counters = Observation("t")
+    report.observed(prepared, counters).collect()
     assert counters.get == {"total": 4, "processed": 3, "failed_samples": 1}
 
 

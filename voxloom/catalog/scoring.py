@@ -23,6 +23,7 @@ from voxloom.functions import vectors as vx
 from voxloom.functions.arrays import digest, truncate_to_shorter as cut_both
 from voxloom.functions.text import char_ids
 from voxloom.operators import encode, scoring
+from voxloom.operators.report import eval_report
 from voxloom.plans import evaluation
 from voxloom.specs import EvaluationRequest
 from voxloom.vocab import SAMPLE_RATE
@@ -419,6 +420,16 @@ def evaluate_pairs(spark, sf):
     return _evaluated(spark, sf)
 
 
+@register(
+    "evaluation_report",
+    f"""WITH {PAIRED_SQL}
+    SELECT 'completed' AS status, (SELECT count(*) FROM embeddings) AS total, count(*) AS processed,
+           CAST(NULL AS VARCHAR) AS error FROM paired""",
+)
+def evaluation_report(spark, sf):
+    return eval_report(recordings(spark, sf), _evaluated(spark, sf))
+
+
 @register("evaluation_summary", f"WITH RECURSIVE {COMPARED_SQL} {summary_sql('evaluated')}")
 def evaluation_summary(spark, sf):
     return scoring.eval_summary(_evaluated(spark, sf))

@@ -23,7 +23,7 @@ from voxloom.catalog.preparation import PREPARED_COLUMNS, PREPARED_SQL, prepared
 from voxloom.catalog.registry import register
 from voxloom.catalog.scoring import COMPARED_SQL, REQUEST, generated, recordings, summary_sql
 from voxloom.catalog.sequences import BUILT_SQL
-from voxloom.functions.arrays import digest
+from voxloom.functions.arrays import digest, int_sum
 from voxloom.operators import report
 from voxloom.plans import evaluation, training
 from voxloom.session import scratch_path
@@ -120,6 +120,30 @@ def build_report(spark, sf):
     return training.run_build(spark, request, root, f"{root}/built")
 
 
+@register(
+    "requested_batches",
+    f"""WITH {BUILT_SQL}, batched AS (
+      SELECT 0 AS source_idx, *,
+        (row_number() OVER (ORDER BY md5('42:0:' || row_key), row_key) - 1) // 4 AS batch_id FROM built)
+    SELECT source_idx, row_key, batch_id, batch_id // 3 AS step_id, CAST(len(input_ids) AS INT) AS n_tokens,
+           CAST(max(len(input_ids)) OVER (PARTITION BY batch_id) AS INT) AS padded_length
+    FROM batched""",
+)
+def requested_batches(spark, sf):
+    """Batches of a build request: padded per device batch, grouped into update steps."""
+    request = BuildRequest(
+        [_spec(key_column="doc_id")],
+        max_duration_sec=MAX_SECONDS,
+        per_device_train_batch_size=4,
+        gradient_accumulation_steps=3,
+    )
+    rows = training.make_batches(spark, request, _published(spark, sf, "batches"))
+    return rows.select(
+        "source_idx", "row_key", "batch_id", "step_id",
+        int_sum("attention_mask").cast("int").alias("n_tokens"), F.size("labels").alias("padded_length"),
+    )
+
+
 @register(
     "merged_json",
     f"""WITH {PREPARED_SQL} SELECT md5(text) AS text, speaker, encoded_len, {LAYER_DIGESTS}

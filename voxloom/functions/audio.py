@@ -57,6 +57,15 @@ def installed_decoders() -> list[Decoder]:
     return [*found, wav_decoder]
 
 
+def installed_resampler() -> Resampler | None:
+    """A resampler, if its library is present."""
+    try:
+        import librosa
+    except ImportError:
+        return None
+    return lambda samples, rate, target: librosa.resample(samples, orig_sr=rate, target_sr=target)
+
+
 @dataclass(frozen=True)
 class AudioLoader:
     """Bytes or decoded samples to a mono float32 waveform at the codec's rate."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.audio import AudioLoader
@@ -98,18 +98,22 @@ def run_preparation(
     load_encoder: Callable[[], Encoder],
     *,
     loader: AudioLoader = AudioLoader(),
+    progress: Observation | None = None,
     staging: str | None = None,
 ) -> DataFrame:
     """Encode and merge the sources below ``root``; returns the one-row run report.
 
     The codec runs once per row: its output is staged as a table in the shared
     folder, and the merged JSON, the published dataset, the rejects and the
-    counters all read that table.  The report carries the live counters too.
+    report all read that table.  ``progress`` is filled with the run's counters
+    as soon as the models are done.
     """
     sources = [
         (load_raw_audio(spark, root, s.dataset_name, split=s.split), s) for s in request.datasets
     ]
-    encoded, _ = observed(prepare_sources(sources, load_encoder, loader=loader), "prepare")
+    encoded = prepare_sources(sources, load_encoder, loader=loader)
+    if progress is not None:
+        encoded = observed(encoded, progress)
     stage = staging or scratch_path(spark, "prepare")
     encoded.write.mode("overwrite").parquet(stage)
 

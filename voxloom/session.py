@@ -27,6 +27,7 @@ def local_session(cpus: int | str = "*", *, shuffle_partitions: int = 8, memory:
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .getOrCreate()
     )
     if not spark.conf.get(CHECKPOINT_KEY, None):

@@ -22,15 +22,42 @@ def dataset_path(root: str, repo: str, name: str | None, split: str) -> str:
 
 
 def load_dataset(
-    spark: SparkSession, root: str, repo: str, *, name: str | None = None, split: str = "train", fmt: str = "parquet"
+    spark: SparkSession,
+    root: str,
+    repo: str,
+    *,
+    name: str | None = None,
+    split: str = "train",
+    fmt: str = "parquet",
+    schema: str | None = None,
 ) -> DataFrame:
     """``root/repo[/name]/split`` in the given format."""
-    return spark.read.format(fmt).load(dataset_path(root, repo, name, split))
+    reader = spark.read.format(fmt)
+    return (reader.schema(schema) if schema else reader).load(dataset_path(root, repo, name, split))
+
+
+def _json_schema(source: EncodedSource) -> str:
+    """The columns a source names; stating them saves the pass that would infer them."""
+    columns = {getattr(source, layer): "array<int>" for layer in LAYERS}
+    columns |= {source.encoded_len: "int", source.text_col_name: "string", "speaker": "string"}
+    if source.key_column is not None:
+        columns.setdefault(source.key_column, "string")
+    if source.categorical_filter is not None:
+        columns.setdefault(source.categorical_filter.column_name, "string")
+    return ", ".join(f"`{c}` {t}" for c, t in columns.items())
 
 
 def load_encoded(spark: SparkSession, root: str, source: EncodedSource) -> DataFrame:
     """One encoded dataset with a row key, filtered and in standard column names."""
-    df = load_dataset(spark, root, source.reponame, name=source.name, split=source.split, fmt=source.format)
+    df = load_dataset(
+        spark,
+        root,
+        source.reponame,
+        name=source.name,
+        split=source.split,
+        fmt=source.format,
+        schema=_json_schema(source) if source.format == "json" else None,
+    )
     if source.key_column is None:
         df = df.withColumn(
             "row_key", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index")
@@ -49,7 +76,8 @@ def standard_columns(df: DataFrame, source: EncodedSource) -> DataFrame:
         df = df.withColumn("speaker", F.lit(source.speaker_id))
     elif "speaker" not in df.columns:
         df = df.withColumn("speaker", F.lit(None).cast("string"))
-    return df.select("row_key", *LAYERS, "encoded_len", "text", "speaker")
+    codes = [F.col(layer).cast("array<int>").alias(layer) for layer in LAYERS]
+    return df.select("row_key", *codes, "encoded_len", "text", "speaker")
 
 
 def load_raw_audio(spark: SparkSession, root: str, repo: str, *, split: str = "train", fmt: str = "parquet") -> DataFrame:

@@ -99,6 +99,7 @@ class BuildRequest:
     """A training set: its sources, the duration limit, and the batch shape.
 
     ``max_duration_sec`` of 0 or None keeps every duration.
+    ``n_shards_per_dataset`` is checked but decides nothing: partitions do.
     """
 
     sources: Sequence[EncodedSource]
