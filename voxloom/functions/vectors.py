@@ -93,27 +93,30 @@ def alignment_cost(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     m = np.array([len(y) for y in ys])
     height, width, depth = int(n.max()), int(m.max()), xs[0].shape[1]
     x = np.zeros((pairs, height, depth))
+    # Reversed, so that the columns of an anti-diagonal are one slice.
     y = np.zeros((pairs, width, depth))
     for p in range(pairs):
         x[p, : n[p]] = xs[p]
-        y[p, : m[p]] = ys[p]
+        y[p, width - m[p] :] = ys[p][::-1]
     cost = np.full(pairs, np.nan)
-    # Slot i + 1 holds row i of the current anti-diagonal; slot 0 stays infinite.
-    before = np.full((pairs, height + 1), np.inf)
-    last = np.full((pairs, height + 1), np.inf)
+    # Slot i + 1 holds row i of an anti-diagonal; cells outside the grid are infinite.
+    before, last, now = (np.full((pairs, height + 1), np.inf) for _ in range(3))
     for d in range(height + width - 1):
         lo, hi = max(0, d - width + 1), min(height - 1, d)
-        i = np.arange(lo, hi + 1)
-        local = np.sqrt(((x[:, i] - y[:, d - i]) ** 2).sum(axis=2))
-        now = np.full((pairs, height + 1), np.inf)
+        gap = x[:, lo : hi + 1] - y[:, width - 1 - d + lo : width - d + hi]
+        local = np.sqrt(np.einsum("pkd,pkd->pk", gap, gap))
+        now[:, lo] = np.inf
         if d == 0:
             now[:, 1] = local[:, 0]
         else:
-            best = np.minimum(before[:, i], np.minimum(last[:, i], last[:, i + 1]))
-            now[:, i + 1] = local + best
+            best = np.minimum(last[:, lo : hi + 1], last[:, lo + 1 : hi + 2])
+            np.minimum(best, before[:, lo : hi + 1], out=best)
+            np.add(best, local, out=now[:, lo + 1 : hi + 2])
+        if hi + 2 <= height:
+            now[:, hi + 2] = np.inf
         done = np.nonzero(n + m - 2 == d)[0]
         cost[done] = now[done, n[done]]
-        before, last = last, now
+        before, last, now = last, now, before
     return cost
 
 
