@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from voxloom.catalog import QUERIES
 from voxloom.functions import vectors as vx
 from voxloom.operators import batching
 from voxloom.plans import training
@@ -96,3 +97,34 @@ def test_pushed_filter_does_not_make_frames_quadratic(spark):
 
     seconds(100)
     assert seconds(20_000) < 20
+
+
+STORED = {
+    "load_encoded", "requested_training_set", "requested_batches", "batch_stored_set", "build_report", "merged_json",
+    "load_raw_audio", "publish_prepared", "evaluation_results", "streamed_training_rows",
+}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STORED))
+def test_no_query_multiplies_rows(spark, small, name):
+    text = plan(QUERIES[name](spark, small))
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "collect_list"):
+        assert operator not in text
+
+
+def test_hot_groups_are_aggregated_before_the_shuffle(spark, small):
+    for name, partial in (("mean_pool", "partial_avg"), ("prep_counters", "partial_count"), ("max_batch_length", "partial_max")):
+        text = plan(QUERIES[name](spark, small))
+        assert partial in text, name
+
+
+def test_results_do_not_depend_on_ansi_mode(spark):
+    from voxloom.operators.sequences import rebuild_positions
+
+    df = spark.createDataFrame([([64402, 64401, 5],)], "ids array<int>")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        out = rebuild_positions(df).select("position_ids", F.array_size("position_ids").alias("n")).first()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    assert out.position_ids is None and out.n is None

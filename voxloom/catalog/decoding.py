@@ -76,7 +76,7 @@ def damaged(spark, sf) -> DataFrame:
 def rebuild_positions(spark, sf):
     rebuilt = sequences.rebuild_positions(damaged(spark, sf))
     return rebuilt.select(
-        "doc_id", F.size("position_ids").alias("n_positions"), digest("position_ids").alias("md5_positions")
+        "doc_id", F.array_size("position_ids").alias("n_positions"), digest("position_ids").alias("md5_positions")
     )
 
 
@@ -133,7 +133,7 @@ def extract_text_span(spark, sf):
     spanned = sequences.extract_text_span(damaged(spark, sf))
     return spanned.select(
         "doc_id",
-        F.size("text_tokens").alias("n_span"),
+        F.array_size("text_tokens").alias("n_span"),
         digest("text_tokens").alias("md5_span"),
         F.md5("text").alias("md5_text"),
     )

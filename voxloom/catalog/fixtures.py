@@ -157,10 +157,10 @@ def bad_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, empty_ints())
         .otherwise(F.col("nano_layer_2")),
         "nano_layer_3": F.when(kind == 3, empty_ints())
-        .when(kind == 2, F.slice("nano_layer_3", 1, F.size("nano_layer_3") - 1))
+        .when(kind == 2, F.slice("nano_layer_3", 1, F.array_size("nano_layer_3") - 1))
         .otherwise(F.col("nano_layer_3")),
         "nano_layer_4": F.when(kind == 3, empty_ints())
-        .when(kind == 6, F.concat(F.slice("nano_layer_4", 2, F.size("nano_layer_4") - 1), F.array(F.lit(None).cast("int"))))
+        .when(kind == 6, F.concat(F.slice("nano_layer_4", 2, F.array_size("nano_layer_4") - 1), F.array(F.lit(None).cast("int"))))
         .otherwise(F.col("nano_layer_4")),
         "encoded_len": F.when(kind != 4, F.col("encoded_len")),
         "text": F.when(kind != 5, F.col("text")),
@@ -214,7 +214,7 @@ def corrupted(built: DataFrame) -> DataFrame:
         (F.col("doc_id") % 8).alias("kind"),
         "input_ids",
         F.array_position("input_ids", start).cast("int").alias("at"),
-        F.size("input_ids").alias("size"),
+        F.array_size("input_ids").alias("size"),
     ).withColumn("n", F.expr("size - 2 - at"))
     first, second = F.get("input_ids", F.col("at")), F.get("input_ids", F.col("at") + 1)
     opening = (

@@ -62,7 +62,7 @@ def _frame_digest(column: str):
 def dedup_consecutive_frames(spark, sf):
     framed = frames.add_frames(encoded(spark, sf))
     return framed.select(
-        "doc_id", F.size("frames").alias("n_frames"), _frame_digest("frames").alias("frames_md5")
+        "doc_id", F.array_size("frames").alias("n_frames"), _frame_digest("frames").alias("frames_md5")
     )
 
 
@@ -88,7 +88,7 @@ def interleave_layers(spark, sf):
     coded = frames.add_codes(frames.add_frames(encoded(spark, sf), dedup=False))
     return coded.select(
         "doc_id",
-        F.size("codes_list").alias("n_codes"),
+        F.array_size("codes_list").alias("n_codes"),
         int_sum("codes_list").alias("sum_codes"),
         digest("codes_list").alias("codes_md5"),
     )
@@ -110,7 +110,7 @@ def drop_empty_codes(spark, sf):
         "codes_list",
         F.when(kind == 1, F.lit(None)).when(kind == 3, empty_ints()).otherwise(F.col("codes_list")),
     )
-    return frames.drop_empty_codes(damaged).select("doc_id", F.size("codes_list").alias("n_codes"))
+    return frames.drop_empty_codes(damaged).select("doc_id", F.array_size("codes_list").alias("n_codes"))
 
 
 @register("build_errors", f"WITH {BAD_ENCODED_SQL} SELECT doc_id, error FROM checked WHERE error IS NOT NULL")
@@ -144,7 +144,7 @@ def mono_downmix(spark, sf):
     mono = mono.select("doc_id", fx.mono_downmix("samples", channels=2).alias("wave"))
     return mono.select(
         "doc_id",
-        F.size("wave").alias("n_samples"),
+        F.array_size("wave").alias("n_samples"),
         F.aggregate("wave", F.lit(0.0), lambda acc, v: acc + v).alias("sum_wave"),
         digest(F.transform("wave", lambda x: (x * 256).cast("int"))).alias("wave_md5"),
     )

@@ -146,7 +146,7 @@ def truncate_to_shorter(spark, sf):
     a, b = cut_both("a", "b")
     cut = df.select("doc_id", a.alias("a"), b.alias("b"))
     return cut.select(
-        "doc_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"),
+        "doc_id", F.array_size("a").alias("n_a"), F.array_size("b").alias("n_b"),
         digest("a").alias("md5_a"), digest("b").alias("md5_b"),
     )
 
@@ -358,7 +358,7 @@ def extract_features(spark, sf):
     return found.select(
         "sample_index",
         "error",
-        *[F.size(row).alias(f"{n}_frames") for n, row in rows.items()],
+        *[F.array_size(row).alias(f"{n}_frames") for n, row in rows.items()],
         total(F.get("mfcc", F.lit(4))).alias("mfcc_5"),
         total(F.get("chroma", F.lit(11))).alias("chroma_12"),
         total(F.get("centroid", F.lit(0))).alias("centroid_1"),

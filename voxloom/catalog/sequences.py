@@ -38,7 +38,7 @@ def summarise(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """A whole array column as its size, sum and digest."""
     return df.select(
         *keys,
-        F.size(column).alias(f"n_{column}"),
+        F.array_size(column).alias(f"n_{column}"),
         int_sum(column).alias(f"sum_{column}"),
         digest(column).alias(f"md5_{column}"),
     )
@@ -113,7 +113,7 @@ def prompt_sequence(spark, sf):
     asked = sequences.prompt_sequence(documents(spark, sf))
     return asked.select(
         "doc_id",
-        F.size("input_ids").alias("n_input_ids"),
+        F.array_size("input_ids").alias("n_input_ids"),
         int_sum("input_ids").alias("sum_input_ids"),
         digest("input_ids").alias("md5_input_ids"),
         digest("attention_mask").alias("md5_attention_mask"),

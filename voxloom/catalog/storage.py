@@ -140,7 +140,7 @@ def requested_batches(spark, sf):
     rows = training.make_batches(spark, request, _published(spark, sf, "batches"))
     return rows.select(
         "source_idx", "row_key", "batch_id", "step_id",
-        int_sum("attention_mask").cast("int").alias("n_tokens"), F.size("labels").alias("padded_length"),
+        int_sum("attention_mask").cast("int").alias("n_tokens"), F.array_size("labels").alias("padded_length"),
     )
 
 

@@ -34,13 +34,13 @@ def int_range(start: Column, count: Column) -> Column:
 def occurrences(values: Column | str, item: int) -> Column:
     """How often ``item`` occurs, without an interpreted lambda."""
     values = as_column(values)
-    return F.size(values) - F.size(F.array_remove(values, item))
+    return F.array_size(values) - F.array_size(F.array_remove(values, item))
 
 
 def truncate_to_shorter(a: Column | str, b: Column | str) -> tuple[Column, Column]:
     """Both vectors cut to the length of the shorter one."""
     a, b = as_column(a), as_column(b)
-    n = F.least(F.size(a), F.size(b))
+    n = F.least(F.array_size(a), F.array_size(b))
     return F.slice(a, 1, n), F.slice(b, 1, n)
 
 

@@ -52,7 +52,7 @@ def distinct_frames(layers: Sequence[str] = LAYERS) -> Column:
     """
     before = [f"_before_{name}" for name in layers]
     shifted = [
-        F.concat(F.array(F.lit(None).cast("int")), F.slice(name, 1, F.greatest(F.size(name) - 1, F.lit(0))))
+        F.concat(F.array(F.lit(None).cast("int")), F.slice(name, 1, F.greatest(F.array_size(name) - 1, F.lit(0))))
         for name in layers
     ]
     pairs = F.arrays_zip(
@@ -65,7 +65,7 @@ def distinct_frames(layers: Sequence[str] = LAYERS) -> Column:
             out = out | ~pair[name].eqNullSafe(pair[b])
         return out
 
-    return F.when(F.size(layers[0]) > 0, F.filter(pairs, differs)).otherwise(F.slice(pairs, 1, 0))
+    return F.when(F.array_size(layers[0]) > 0, F.filter(pairs, differs)).otherwise(F.slice(pairs, 1, 0))
 
 
 def interleave(
@@ -102,10 +102,10 @@ def has_null_item(values: Column | str) -> Column:
 def layer_error(layers: Sequence[str] = LAYERS) -> Column:
     """``null_layer``, ``ragged_layers``, ``empty_layers``, ``null_code`` or null."""
     cols = [F.col(name) for name in layers]
-    first = F.size(cols[0])
+    first = F.array_size(cols[0])
     return (
         F.when(_any_of([c.isNull() for c in cols]), F.lit("null_layer"))
-        .when(_any_of([F.size(c) != first for c in cols[1:]]), F.lit("ragged_layers"))
+        .when(_any_of([F.array_size(c) != first for c in cols[1:]]), F.lit("ragged_layers"))
         .when(first == 0, F.lit("empty_layers"))
         .when(_any_of([has_null_item(c) for c in cols]), F.lit("null_code"))
     )
@@ -129,7 +129,7 @@ def mono_downmix(samples: Column | str, channels: int | None = None) -> Column:
 
     def mean(sample: Column) -> Column:
         if channels is None:
-            return F.aggregate(sample, F.lit(0.0), lambda acc, v: acc + v) / F.size(sample)
+            return F.aggregate(sample, F.lit(0.0), lambda acc, v: acc + v) / F.array_size(sample)
         total = F.get(sample, F.lit(0))
         for c in range(1, channels):
             total = total + F.get(sample, F.lit(c))

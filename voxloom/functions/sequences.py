@@ -25,7 +25,7 @@ def input_ids(text_tokens: Column | str, codes: Column | str, layout: TokenLayou
 
 def prefix_length(text_tokens: Column | str) -> Column:
     """Tokens before the first audio token."""
-    return F.size(as_column(text_tokens)) + 4
+    return F.array_size(as_column(text_tokens)) + 4
 
 
 def sequence_length(text_tokens: Column | str, frame_count: Column | str, layout: TokenLayout = DEFAULT_LAYOUT) -> Column:
@@ -51,7 +51,7 @@ def frame_position_ids(
 
 
 def ones_like(values: Column | str) -> Column:
-    return F.array_repeat(F.lit(1), F.size(as_column(values)))
+    return F.array_repeat(F.lit(1), F.array_size(as_column(values)))
 
 
 def prompt_ids(text_tokens: Column | str, layout: TokenLayout = DEFAULT_LAYOUT) -> Column:
@@ -64,7 +64,7 @@ def prompt_ids(text_tokens: Column | str, layout: TokenLayout = DEFAULT_LAYOUT)
 
 
 def plain_positions(ids: Column | str) -> Column:
-    return int_range(F.lit(0), F.size(as_column(ids)))
+    return int_range(F.lit(0), F.array_size(as_column(ids)))
 
 
 def rebuild_positions(ids: Column | str, layout: TokenLayout = DEFAULT_LAYOUT) -> Column:
@@ -78,13 +78,13 @@ def rebuild_positions(ids: Column | str, layout: TokenLayout = DEFAULT_LAYOUT) -
     width = layout.codebooks
     begin = F.array_position(ids, layout.start_of_speech).cast("int")
     end_at = F.array_position(ids, layout.end_of_speech).cast("int")
-    end = F.when(end_at > 0, end_at - 1).otherwise(F.size(ids))
+    end = F.when(end_at > 0, end_at - 1).otherwise(F.array_size(ids))
     audio = end - begin
     frames = F.ceil(audio / width).cast("int")
     framed = F.concat(
         int_range(F.lit(0), begin),
         F.slice(repeat_per_frame(begin, frames, width), 1, F.greatest(audio, F.lit(0))),
-        int_range(begin + frames, F.size(ids) - end),
+        int_range(begin + frames, F.array_size(ids) - end),
     )
     return F.when(begin == 0, plain_positions(ids)).when(end >= begin, framed)
 

@@ -32,7 +32,7 @@ def mean_pool(matrix: Column | str) -> Column:
     """``(features, frames)`` matrix to one mean per feature row."""
     return F.transform(
         as_column(matrix),
-        lambda row: F.aggregate(row, F.lit(ZERO), lambda acc, v: acc + v) / F.size(row),
+        lambda row: F.aggregate(row, F.lit(ZERO), lambda acc, v: acc + v) / F.array_size(row),
     )
 
 

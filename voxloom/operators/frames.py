@@ -66,11 +66,11 @@ def add_codes(
     """Replace frames by ``codes_list`` and ``num_audio_frames``."""
     return (
         df.withColumn("codes_list", fx.interleave(frames, layers, layout))
-        .withColumn("num_audio_frames", F.size(frames))
+        .withColumn("num_audio_frames", F.array_size(frames))
         .drop(frames)
     )
 
 
 def drop_empty_codes(df: DataFrame, codes: str = "codes_list") -> DataFrame:
     """Rows whose code list is neither null nor empty."""
-    return df.where(F.col(codes).isNotNull() & (F.size(codes) > 0))
+    return df.where(F.col(codes).isNotNull() & (F.array_size(codes) > 0))

@@ -106,7 +106,7 @@ def deinterleave_codes(
     )
     layered = marked.withColumns(
         {
-            name: F.when(F.size("_audio") % width == 0, fx.deinterleave("_audio", k, layout))
+            name: F.when(F.array_size("_audio") % width == 0, fx.deinterleave("_audio", k, layout))
             for k, name in enumerate(LAYERS)
         }
     )
@@ -114,7 +114,7 @@ def deinterleave_codes(
     highest = F.greatest(*[F.coalesce(F.array_max(name), F.lit(0)) for name in LAYERS])
     reason = (
         F.when(F.col(error).isNotNull(), F.col(error))
-        .when(F.size("_audio") % width != 0, F.lit("partial_frame"))
+        .when(F.array_size("_audio") % width != 0, F.lit("partial_frame"))
         .when(lowest < 0, F.lit("negative_code"))
     )
     if strict:

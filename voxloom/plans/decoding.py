@@ -36,7 +36,7 @@ def decode_sequences(
     sound = F.col("error").isNull()
     blank = [*LAYERS, "text", "text_tokens"] if with_text else [*LAYERS]
     out = out.withColumns({c: F.when(sound, F.col(c)) for c in blank})
-    out = out.withColumn("num_frames", F.when(sound, F.size(LAYERS[0])))
+    out = out.withColumn("num_frames", F.when(sound, F.array_size(LAYERS[0])))
     return rebuild_positions(out, ids=ids, layout=layout)
 
 

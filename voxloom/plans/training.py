@@ -167,7 +167,7 @@ def batch_training_set(
     """
     compact = stored.select(*key, "input_ids", "position_ids")
     sized = with_batch_length(
-        compact, key=key, batch_size=batch_size, length=F.size("input_ids"), seed=seed, buckets=buckets
+        compact, key=key, batch_size=batch_size, length=F.array_size("input_ids"), seed=seed, buckets=buckets
     )
     full = sized.withColumn("labels", F.col("input_ids")).withColumn("attention_mask", ones_like("input_ids"))
     return training_projection(pad_to(full, F.col("max_length"), layout=layout), "batch_id", *key)
