@@ -164,6 +164,8 @@ def test_request_to_training_set(spark, tmp_path):
     )
     assert isinstance(request.sources[0].categorical_filter, CategoricalFilter)
     rows_ = training.build_training_set(spark, request, root).collect()
+    training.run_batches(spark, request, root, f"{root}/out")
+    written = spark.read.parquet(f"{root}/out/batches").collect()
     assert sorted(r.source_idx for r in rows_) == [0] * 15 + [1] * 4
     made = training.make_batches(spark, request, root).collect()
     assert sorted({(r.batch_id, r.step_id) for r in made}) == [(b, b // 2) for b in range(7)]
@@ -171,6 +173,7 @@ def test_request_to_training_set(spark, tmp_path):
         group = [r for r in made if r.batch_id == b]
         assert len(group) == (3 if b < 6 else 1)
         assert len({len(r[c]) for r in group for c in ("input_ids", "labels", "attention_mask", "position_ids")}) == 1
+    assert sorted(tuple(map(str, r.asDict().items())) for r in written) == sorted(tuple(map(str, r.asDict().items())) for r in made)
     # stripping the padding gives the training rows back
     stripped = sorted([t for t in r.input_ids if t != 64407] for r in made)
     assert stripped == sorted(r.input_ids for r in rows_)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Literal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.frames import within_duration
@@ -197,8 +197,12 @@ def make_batches(
         tokenizer=tokenizer,
         **options,
     )
-    step = F.floor(F.col("batch_id") / request.gradient_accumulation_steps).cast("bigint")
-    return padded.withColumn("step_id", step)
+    return padded.withColumn("step_id", _step(request))
+
+
+def _step(request: BuildRequest) -> Column:
+    """The update step that a batch is accumulated into."""
+    return F.floor(F.col("batch_id") / request.gradient_accumulation_steps).cast("bigint")
 
 
 def run_build(
@@ -245,3 +249,29 @@ def run_build(
     report = report.join(counted(rejects, "rejected"), "source_idx", "left")
     report = report.join(counted(train, "built"), "source_idx", "left").fillna(0, ["rejected", "built"])
     return report.select("source_idx", "reponame", "rows_before", "rows_after", "rejected", "built")
+
+
+def run_batches(
+    spark: SparkSession,
+    request: BuildRequest,
+    root: str,
+    output: str,
+    *,
+    tokenizer: Tokenizer | None = None,
+    **options,
+) -> DataFrame:
+    """``run_build``, then the padded batches of the written set below ``output``.
+
+    The sources are read and built once: ranking reads the key columns of the
+    written training set.
+    """
+    report = run_build(spark, request, root, output, tokenizer=tokenizer, **options)
+    stored = spark.read.parquet(f"{output.rstrip('/')}/train")
+    padded = batch_training_set(
+        stored,
+        batch_size=request.per_device_train_batch_size,
+        layout=options.get("layout", DEFAULT_LAYOUT),
+        seed=options.get("seed", SAMPLE_SEED),
+    )
+    write_training_set(padded.withColumn("step_id", _step(request)), f"{output.rstrip('/')}/batches")
+    return report
