@@ -196,3 +196,12 @@ def test_models_run_once_per_row_under_filters(spark):
     out = encode.encode_audio(rows(spark, *[wav([1])] * 6), load).where("error IS NULL AND encoded_len = 1")
     assert len(out.select("id", "nano_layer_1").collect()) == 6
     assert calls.value == 6
+
+
+def test_installed_helpers_always_read_wav():
+    from voxloom.functions.audio import installed_decoders, installed_resampler
+
+    decoders = installed_decoders()
+    assert decoders[-1] is wav_decoder
+    loader = AudioLoader(tuple(decoders), installed_resampler())
+    assert loader.load(wav([0, 16384])).tolist() == [0.0, 0.5]
