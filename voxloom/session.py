@@ -46,10 +46,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it."""
+    """The folder every executor can reach, as the session names it.
+
+    Without one, a local master gets a temporary folder; a cluster must name one,
+    and may not name a path of the local file system by mistake: a path without a
+    scheme is refused unless the master is local.
+    """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if not named and local:
+        named = tempfile.mkdtemp(prefix="voxloom-")
+        spark.sparkContext.setCheckpointDir(named)
     if not named:
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+    if not local and ":" not in named.split("/")[0]:
+        raise ValueError(f"{CHECKPOINT_KEY} is {named!r}: off a local master it needs a scheme, such as hdfs:// or file://")
     return named.rstrip("/")
 
 
