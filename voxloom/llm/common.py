@@ -96,6 +96,22 @@ def labelled_sample(
     return [t for t, _ in pairs], np.array([y for _, y in pairs], np.float32), share
 
 
+def logistic_fit(features: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Ridge-regularised logistic regression by Newton steps."""
+    x = np.column_stack((np.ones(len(features)), features)).astype(np.float64)
+    beta = np.zeros(x.shape[1])
+    ridge = np.diag([1e-3] + [1e-2] * (x.shape[1] - 1))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        grad = x.T @ (weight * (p - labels)) + ridge @ beta
+        hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge
+        step = np.linalg.solve(hess, grad)
+        beta -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 

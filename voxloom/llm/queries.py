@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import held_out, read
+from voxloom.llm.compression import fit_quality, score_quality
 from voxloom.llm.jaccard import JaccardJoin, jaccard_classes
 from voxloom.llm.mixing import mix
+from voxloom.llm.ownership import printed, scan_secrets
 from voxloom.llm.pieces import Pieces, decode, encode
+from voxloom.llm.syncmers import edited_by_next, fingerprint, likeness, with_anchors
 from voxloom.llm.templates import drop_recurring_lines
 from voxloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -69,3 +72,51 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@_query
+def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = edited_by_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = rows.select("row", "text", "next_text", "edited", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    found = with_anchors(rows, {"own": "text", "changed": "edited", "other": "next_text"})
+    return found.select(
+        "row.doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint(F.col("own")).alias("fingerprint"),
+        fingerprint(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        likeness(F.col("own"), F.col("other")).alias("near_next"),
+        F.size("own").alias("n_anchors"),
+    )
+
+
+@_query
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, read(spark, sf_dir, "labels"))
+    scored = score_quality(docs, model)
+    return scored.select(
+        "row.doc_id",
+        held_out("row.doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "difference",
+    )
+
+
+@_query
+def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is an owner, its documents of one language a repository."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = scan_secrets(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
+    return found.select(
+        "row.doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(printed(F.col("base")), 256).alias("base_sha256"),
+        printed(F.col("spans")).alias("spans"),
+        "n_live",
+        "n_copied",
+    )

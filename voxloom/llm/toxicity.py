@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import blocks, labelled_sample, map_arrow
+from voxloom.llm.common import blocks, labelled_sample, logistic_fit, map_arrow
 
 BLOCK_BYTES = 1_000_000
 # Punctuation and white space part words; A-Z are lower-cased; bytes from 128 on are letters.
@@ -295,22 +295,6 @@ def text_logits(weights: dict, texts: Texts) -> tuple[np.ndarray, np.ndarray, np
     return best, place, texts.counts
 
 
-def _calibrate(features: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Ridge-regularised logistic regression by Newton steps."""
-    x = np.column_stack((np.ones(len(features)), features)).astype(np.float64)
-    beta = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3] + [1e-2] * (x.shape[1] - 1))
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (weight * (p - labels)) + ridge @ beta
-        hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge
-        step = np.linalg.solve(hess, grad)
-        beta -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
-
-
 def calibration_features(best: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.column_stack((np.clip(best, -15, 15), np.log1p(counts)))
 
@@ -386,7 +370,7 @@ def train(texts: list[str], labels: np.ndarray, how: ToxicityModel = ToxicityMod
     features = calibration_features(best[held], counts[held])
     mine = labels.mean()
     share = mine if share is None else share
-    beta = _calibrate(features, labels[held], np.where(labels[held] == 1, share / mine, (1 - share) / (1 - mine)))
+    beta = logistic_fit(features, labels[held], np.where(labels[held] == 1, share / mine, (1 - share) / (1 - mine)))
     return weights | {"calibration": beta}
 
 
