@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import held_out, read
+from voxloom.session import scratch_path
 from voxloom.llm.compression import fit_quality, score_quality
 from voxloom.llm.jaccard import JaccardJoin, jaccard_classes
 from voxloom.llm.mixing import mix
@@ -15,7 +16,9 @@ from voxloom.llm.ownership import printed, scan_secrets
 from voxloom.llm.pieces import Pieces, decode, encode
 from voxloom.llm.syncmers import edited_by_next, fingerprint, likeness, with_anchors
 from voxloom.llm.templates import drop_recurring_lines
+from voxloom.llm.topk import top_products
 from voxloom.llm.toxicity import fit_toxicity, score_toxicity
+from voxloom.llm.warc import page_of, read_warc, write_warc
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # read on the driver only
 
@@ -43,6 +46,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives in the shared folder, and what the salvage reader finds in them."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    files = write_warc(pages, scratch_path(spark, "warc"))
+    records = read_warc(files, payloads=False).where("reason is null")
+    return records.select(
+        page_of("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        page_of("refers_to").alias("refers_to"),
+    )
+
+
 @_query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"), JaccardJoin(words=4, percent=85)).drop("class_id")
@@ -120,3 +138,38 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_live",
         "n_copied",
     )
+
+
+@_query
+def op9_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_products(vectors, F.col("id") % 100 == 0)
+
+
+ORACLES["op9_norm_buckets"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * v.c[i])) AS BIGINT) AS score
+  FROM whole q JOIN whole v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES["op2_warc_salvage"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), h AS (
+  SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < head THEN head END AS refers_to
+FROM p LEFT JOIN h USING (payload_digest)
+"""
