@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voxloom.session import scratch_path
 
@@ -112,7 +113,12 @@ def logistic_fit(features: np.ndarray, labels: np.ndarray, weight: np.ndarray) -
     return beta
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def row_and(rows: DataFrame, more: str) -> StructType:
+    """The schema of ``rows``' struct column ``row`` and of further columns."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(more).fields])
+
+
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

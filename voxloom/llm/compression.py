@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import blocks, labelled_sample, logistic_fit
+from voxloom.llm.common import blocks, labelled_sample, logistic_fit, row_and
 
 BLOCK_BYTES = 4_000_000
 
@@ -121,4 +121,4 @@ def score_quality(docs: DataFrame, model: dict, how: QualityModel = QualityModel
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "score", "difference"])
 
     rows = docs.select(F.struct("*").alias("row"), "text")
-    return rows.mapInArrow(scored, f"row {rows.schema['row'].dataType.simpleString()}, score double, difference double")
+    return rows.mapInArrow(scored, row_and(rows, "score double, difference double"))

@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import blocks, map_arrow
+from pyspark.sql.types import StringType, StructField, StructType
+
+from voxloom.llm.common import blocks, map_arrow, row_and
 
 SPACE = "▁"
 BLOCK_BYTES = 1_000_000
@@ -325,7 +327,7 @@ def encode(docs: DataFrame, pieces: Pieces, how: Dropout = Dropout(), key: Colum
 
     number = F.coalesce((F.xxhash64("text") if key is None else key).cast("long"), F.lit(0))
     rows = docs.select(F.struct("*").alias("row"), "text", number.alias("key"))
-    return map_arrow(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
+    return map_arrow(rows, run, row_and(rows, "ids array<int>"))
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
@@ -336,5 +338,4 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
         texts = [decode_ids(shipped.value, None if not x.is_valid else x.values.to_pylist()) for x in batch.column("ids")]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return map_arrow(encoded, run, f"{kinds}, decoded string")
+    return map_arrow(encoded, run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))

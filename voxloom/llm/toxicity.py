@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import blocks, labelled_sample, logistic_fit, map_arrow
+from voxloom.llm.common import blocks, labelled_sample, logistic_fit, map_arrow, row_and
 
 BLOCK_BYTES = 1_000_000
 # Punctuation and white space part words; A-Z are lower-cased; bytes from 128 on are letters.
@@ -411,5 +411,4 @@ def score_toxicity(docs: DataFrame, model: dict[str, np.ndarray], how: ToxicityM
             yield pa.RecordBatch.from_arrays(columns, names=["row", "score", "n_windows", "top_word"])
 
     rows = docs.select(F.struct("*").alias("row"), "text")
-    kind = rows.schema["row"].dataType.simpleString()
-    return map_arrow(rows, scored, f"row {kind}, score double, n_windows long, top_word long")
+    return map_arrow(rows, scored, row_and(rows, "score double, n_windows long, top_word long"))
