@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from voxloom.llm.common import blocks, map_arrow, pick_rows, salted_join, stored
 
@@ -76,7 +77,7 @@ def _parse(batch: pa.RecordBatch, how: TemplateTree) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(columns, names=["id", "tid", "pos", "leaf", "e1", "e2"])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _shown(lines: pd.Series) -> pd.Series:
     return lines.map(line_tokens)
 
