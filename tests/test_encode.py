@@ -6,6 +6,7 @@ import sys
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import Observation
@@ -205,3 +206,54 @@ def test_installed_helpers_always_read_wav():
     assert decoders[-1] is wav_decoder
     loader = AudioLoader(tuple(decoders), installed_resampler())
     assert loader.load(wav([0, 16384])).tolist() == [0.0, 0.5]
+
+
+def test_lists_of_waveforms(spark):
+    """A model may get lists; one that fails is tried again row by row."""
+
+    def load():
+        def run(waves):
+            assert 1 <= len(waves) <= 3
+            if len(waves) > 1 and any(len(w) == 2 for w in waves):
+                raise RuntimeError("mixed")
+            if len(waves[0]) == 2:
+                raise RuntimeError("two")
+            return [([[len(w)]] * 4, 1) for w in waves]
+
+        return run
+
+    df = rows(spark, *[wav([1] * n) for n in (1, 3, 2, 4, 5, 6, 7)], b"junk").coalesce(1)
+    got = {r.id: (r.nano_layer_1, r.error) for r in encode.encode_audio(df, load, batch_rows=3).collect()}
+    assert [got[i][0] for i in range(7)] == [[1], [3], None, [4], [5], [6], [7]]
+    assert got[2][1] == "two" and got[7][0] is None and got[7][1]
+
+
+def test_output_leaves_by_bytes(spark, monkeypatch):
+    """Small inputs may make large outputs: no batch that a worker returns exceeds the limit by more than a row."""
+    from pyspark.sql import types as T
+
+    def load():
+        return (lambda n: n), (lambda values: [{"x": [1] * 25_000} for _ in values])
+
+    made_of = []
+    monkeypatch.setattr(encode.F, "arrow_udf", lambda returned: lambda f: made_of.append(f) or F.udf(lambda *x: None, returned))
+    produced = [T.StructField("x", T.ArrayType(T.IntegerType()))]
+    encode._row_job(
+        spark.range(1), inputs=[F.col("id")], consumed=[], load=load, produced=produced, error="error", output_bytes=1_000_000
+    )
+    batch = (pa.array([None] * 200, pa.string()), pa.array(range(200)))
+    out = list(made_of[0](iter([batch])))
+    assert sum(len(b) for b in out) == 200
+    assert len(out) > 10 and max(b.nbytes for b in out) < 1_000_000 + 110_000
+
+
+def test_rows_that_are_not_wanted_are_only_decoded(spark):
+    def load():
+        def run(wave):
+            raise RuntimeError("must not run")
+
+        return run
+
+    df = rows(spark, wav([1]), b"junk")
+    got = {r.id: r.error for r in encode.extract_features(df, load, wanted=F.lit(False)).collect()}
+    assert got[0] is None and got[1] is not None and "must not run" not in got[1]

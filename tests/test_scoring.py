@@ -133,3 +133,41 @@ def test_spectral_centroid_is_a_constant(spark):
     df = spark.createDataFrame([([[3.0, 5.0]], [[100.0]]), ([[0.0, 0.0]], [[1.0]])], "a array<array<double>>, b array<array<double>>")
     got = [r[0] for r in df.select(F.round(vx.cosine_similarity(vx.mean_pool("a"), vx.mean_pool("b")), 9)).collect()]
     assert got == [1.0, 0.0]
+
+
+def test_bad_features_fail_their_own_row(spark):
+    good = [[float(i + j) for j in range(4)] for i in range(13)]
+    chroma, centroid = good[:12], good[:1]
+    cases = {
+        None: {},
+        "missing_features": {"mfcc": None},
+        "empty_features": {"gen_mfcc": []},
+        "ragged_features": {"chroma": [[1.0], [1.0, 2.0]]},
+        "null_features": {"gen_centroid": [[1.0, None]]},
+        "unequal_features": {"gen_mfcc": good[:12]},
+    }
+    rows = []
+    for i, change in enumerate(cases.values()):
+        row = {"mfcc": good, "chroma": chroma, "centroid": centroid}
+        row |= {"gen_" + k: v for k, v in row.items()} | change
+        rows.append((i, None, *[row[s + n] for s in ("", "gen_") for n in ("mfcc", "chroma", "centroid")]))
+    names = ", ".join(f"{s}{n} array<array<double>>" for s in ("", "gen_") for n in ("mfcc", "chroma", "centroid"))
+    out = scoring.compare_pairs(spark.createDataFrame(rows, f"sample_index int, error string, {names}"))
+    got = {r.sample_index: r for r in out.collect()}
+    for i, reason in enumerate(cases):
+        assert got[i].error == reason
+        scores = [got[i][n] for n in vx.METRICS]
+        assert scores == [1.0] * 5 if reason is None else scores == [None] * 5
+
+
+def test_a_nan_matrix_has_no_alignment(spark):
+    df = frame(spark, [([[1.0, float("nan")]], [[1.0]]), ([[1.0, 2.0]], [[1.0, 2.0]]), ([[1.0], [2.0]], [[1.0]])])
+    got = [r.s for r in df.select("id", vx.dtw_similarity("a", "b").alias("s")).orderBy("id").collect()]
+    assert got == [None, 1.0, None]
+
+
+def test_a_sample_generated_twice_is_an_error(spark):
+    ref = spark.createDataFrame([(0, None), (1, None), (2, None)], "sample_index int, error string")
+    gen = spark.createDataFrame([(0, 5), (1, 6), (1, 7)], "sample_index int, x int")
+    got = {r.sample_index: (r.error, r.gen_x) for r in scoring.pair_reference_generated(ref, gen).collect()}
+    assert got == {0: (None, 5), 1: ("generated_twice", None), 2: ("not_generated", None)}

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.catalog.fixtures import CORRUPTED_SQL, corrupted, load_sum_decoder, md5_expr
+from voxloom.catalog.fixtures import CORRUPTED_SQL, corrupted, md5_expr
 from voxloom.catalog.registry import register
 from voxloom.catalog.sequences import BUILT_SQL, built
 from voxloom.functions.arrays import digest
+from voxloom.functions.text import arrow_detokenizer
 from voxloom.operators import sequences
 from voxloom.plans import decoding
 from voxloom.vocab import LAYERS
@@ -160,15 +161,69 @@ def decode_sequences(spark, sf):
     )
 
 
+# Text ids that spell no text, and a detokenizer of another kind ------------
+
+# Fixed cases by document modulo 10: the id that replaces the first character's.
+ODD_IDS = {1: 0, 2: 55300, 3: 60000}
+
+
+def odd_text(spark, sf) -> DataFrame:
+    """Sound sequences, some with a first text id that is no character's."""
+    kind = F.col("doc_id") % 10
+    at = F.array_position("input_ids", 1).cast("int")
+    value = F.get("input_ids", at)
+    for k, odd in ODD_IDS.items():
+        value = F.when(kind == k, F.lit(odd)).otherwise(value)
+    rest = F.slice("input_ids", at + 2, F.array_size("input_ids"))
+    return built(spark, sf).select("doc_id", F.concat(F.slice("input_ids", 1, at), F.array(value), rest).alias("ids"))
+
+
+ODD_SQL = BUILT_SQL + """,
+spelled AS (SELECT doc_id, prompt, input_ids, CAST(list_position(input_ids, 1) AS INT) AS spot FROM built),
+corrupted AS (
+  SELECT doc_id, prompt, input_ids[1:spot] || [CASE doc_id % 10 {} ELSE input_ids[spot + 1] END]
+    || input_ids[spot + 2:len(input_ids)] AS ids FROM spelled),
+texts AS (
+  SELECT doc_id, CASE WHEN doc_id % 10 NOT IN ({}) THEN prompt END AS text FROM corrupted)
+""".format(" ".join(f"WHEN {k} THEN {v}" for k, v in ODD_IDS.items()), ", ".join(map(str, ODD_IDS)))
+
+
+@register(
+    "extract_text_span_odd_ids",
+    f"WITH {ODD_SQL} SELECT doc_id, md5(text) AS md5_text FROM texts",
+)
+def extract_text_span_odd_ids(spark, sf):
+    return sequences.extract_text_span(odd_text(spark, sf)).select("doc_id", F.md5("text").alias("md5_text"))
+
+
+@register(
+    "decode_sequences_odd_ids",
+    f"WITH {ODD_SQL} SELECT doc_id, CASE WHEN text IS NULL THEN 'bad_text' END AS error, md5(text) AS md5_text FROM texts",
+)
+def decode_sequences_odd_ids(spark, sf):
+    out = decoding.decode_sequences(odd_text(spark, sf))
+    return out.select("doc_id", "error", F.md5("text").alias("md5_text"))
+
+
+def load_letters():
+    """A detokenizer from a table: id modulo 26 is a letter; id 55300 is no piece of it."""
+    letters = [chr(97 + i) for i in range(26)]
+
+    def decode(lists: list[list[int]]) -> list[str | None]:
+        return [None if 55300 in ids else "".join(letters[i % 26] for i in ids) for ids in lists]
+
+    return decode
+
+
 @register(
-    "decode_waveforms",
-    f"""WITH {DECODED_SQL}, waves AS (
-      SELECT doc_id, error, list_transform(range(1, num_frames + 1), lambda i: nano_layer_1[i]
-        + 2 * nano_layer_2[i] + 3 * nano_layer_3[i] + 4 * nano_layer_4[i]) AS levels FROM decoded)
-    SELECT doc_id, error, CASE WHEN error IS NULL THEN 22050 END AS sampling_rate,
-           CASE WHEN error IS NULL THEN {md5_expr("levels")} END AS levels FROM waves""",
+    "decode_sequences_detokenizer",
+    f"""WITH {ODD_SQL}, spans AS (SELECT doc_id, {SPAN_SQL} AS span FROM corrupted),
+    inner_ids AS (SELECT doc_id, span[2:len(span) - 1] AS v FROM spans),
+    said AS (
+      SELECT doc_id, CASE WHEN NOT list_contains(v, 55300)
+        THEN array_to_string(list_transform(v, lambda x: chr(CAST(97 + x % 26 AS INT))), '') END AS text FROM inner_ids)
+    SELECT doc_id, CASE WHEN text IS NULL THEN 'bad_text' END AS error, md5(text) AS md5_text FROM said""",
 )
-def decode_waveforms(spark, sf):
-    out = decoding.decode_waveforms(damaged(spark, sf), load_sum_decoder)
-    levels = F.transform("audio.array", lambda x: (x * 65536).cast("int"))
-    return out.select("doc_id", "error", F.col("audio.sampling_rate"), digest(levels).alias("levels"))
+def decode_sequences_detokenizer(spark, sf):
+    out = decoding.decode_sequences(odd_text(spark, sf), detokenizer=arrow_detokenizer(load_letters))
+    return out.select("doc_id", "error", F.md5("text").alias("md5_text"))

@@ -110,7 +110,7 @@ PROMPT_EXPR = "CASE WHEN speaker IS NOT NULL THEN lower(speaker) || ': ' || text
 
 
 def char_ids_expr(text: str) -> str:
-    return f"list_transform(string_split({text}, ''), lambda c: 3 + unicode(c) % 64000)"
+    return f"list_transform(string_split({text}, ''), lambda c: 3 + unicode(c))"
 
 
 TOKENS_EXPR = f"[1] || {char_ids_expr('prompt')} || [2]"

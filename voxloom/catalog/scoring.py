@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from voxloom.catalog.fixtures import (
     ENCODED_SQL,
     encoded,
-    load_echo_generator,
     load_reshape_extractor,
     md5_expr,
     table,
@@ -136,7 +135,7 @@ def _every(step: int, k: int):
     "truncate_to_shorter",
     f"""WITH {ENCODED_SQL},
     both_sides AS (
-      SELECT doc_id, nano_layer_1 AS a, list_transform(string_split(text, ''), lambda c: 3 + unicode(c) % 64000) AS b
+      SELECT doc_id, nano_layer_1 AS a, list_transform(string_split(text, ''), lambda c: 3 + unicode(c)) AS b
       FROM encoded),
     cut AS (SELECT doc_id, a[1:least(len(a), len(b))] AS a, b[1:least(len(a), len(b))] AS b FROM both_sides)
     SELECT doc_id, CAST(len(a) AS INT) AS n_a, CAST(len(b) AS INT) AS n_b, {md5_expr("a")} AS md5_a, {md5_expr("b")} AS md5_b FROM cut""",
@@ -334,35 +333,47 @@ def features(df: DataFrame) -> DataFrame:
     return encode.extract_features(df.select("sample_index", "audio"), load_reshape_extractor)
 
 
+def _totals_sql(name: str) -> str:
+    return f"list_transform({name}, lambda r: round(list_sum(r), 5)) AS {name}_sums"
+
+
 @register(
     "extract_features",
     f"""
     WITH {RECORDINGS_SQL}, cut AS (
       SELECT sample_index, wave, {cut_sql("wave", 13)} AS mfcc, {cut_sql("wave", 12)} AS chroma,
-        {cut_sql("wave", 1)} AS centroid FROM recordings)
+        {cut_sql("wave", 1)} AS centroid FROM recordings),
+    kept AS (
+      SELECT sample_index, wave, {", ".join(f"CASE WHEN wave IS NOT NULL THEN {n} END AS {n}" for n in encode.FEATURES)} FROM cut),
+    summed AS (SELECT *, {", ".join(_totals_sql(n) for n in encode.FEATURES)} FROM kept)
     SELECT sample_index, CASE WHEN wave IS NULL THEN 'unsupported_audio' END AS error,
-      CAST(len(mfcc[1]) AS INT) AS mfcc_frames, CAST(len(chroma[1]) AS INT) AS chroma_frames, CAST(len(centroid[1]) AS INT) AS centroid_frames,
-      round(list_sum(mfcc[5]), 5) AS mfcc_5, round(list_sum(chroma[12]), 5) AS chroma_12,
-      round(list_sum(centroid[1]), 5) AS centroid_1
-    FROM (SELECT sample_index, wave, CASE WHEN wave IS NOT NULL THEN mfcc END AS mfcc,
-            CASE WHEN wave IS NOT NULL THEN chroma END AS chroma,
-            CASE WHEN wave IS NOT NULL THEN centroid END AS centroid FROM cut)
+      {", ".join(f"CAST(len({n}[1]) AS INT) AS {n}_frames, CAST(len({n}) AS INT) AS {n}_rows" for n in encode.FEATURES)},
+      {", ".join(f"unnest(coalesce({n}_sums, [NULL])) AS {n}_sum" for n in ("mfcc",))},
+      unnest(range(0, CASE WHEN wave IS NULL THEN 1 ELSE 13 END)) AS coeff,
+      round(list_sum(chroma_sums), 3) AS chroma_sum, round(list_sum(centroid_sums), 3) AS centroid_sum
+    FROM summed
     """,
 )
 def extract_features(spark, sf):
+    """Every coefficient row counts: one output row for each of the first feature, sums of the others."""
+
     def total(row):
         return F.round(F.aggregate(row, F.lit(0.0), lambda acc, v: acc + v), 5)
 
     found = features(recordings(spark, sf))
     rows = {n: F.get(n, F.lit(0)) for n in encode.FEATURES}
-    return found.select(
+    counted = found.select(
         "sample_index",
         "error",
         *[F.array_size(row).alias(f"{n}_frames") for n, row in rows.items()],
-        total(F.get("mfcc", F.lit(4))).alias("mfcc_5"),
-        total(F.get("chroma", F.lit(11))).alias("chroma_12"),
-        total(F.get("centroid", F.lit(0))).alias("centroid_1"),
+        *[F.array_size(n).alias(f"{n}_rows") for n in encode.FEATURES],
+        F.posexplode_outer(F.transform("mfcc", total)).alias("coeff", "mfcc_sum"),
+        *[
+            F.round(F.aggregate(F.transform(n, total), F.lit(0.0), lambda acc, v: acc + v), 3).alias(f"{n}_sum")
+            for n in ("chroma", "centroid")
+        ],
     )
+    return counted.withColumn("coeff", F.coalesce("coeff", F.lit(0)).cast("bigint"))
 
 
 @register(
@@ -420,6 +431,79 @@ def evaluate_pairs(spark, sf):
     return _evaluated(spark, sf)
 
 
+# Fixed cases by sample index modulo 20: what is done to the features, and the error that follows.
+DAMAGES = {
+    1: "empty_features",
+    2: "unequal_features",
+    3: "ragged_features",
+    4: "null_features",
+    5: "empty_features",
+    6: "missing_features",
+}
+DAMAGED_SQL = """CASE WHEN error IS NOT NULL THEN error ELSE CASE sample_index % 20 {} END END""".format(
+    " ".join(f"WHEN {k} THEN '{reason}'" for k, reason in DAMAGES.items())
+)
+
+
+def damaged_features(ref: DataFrame, gen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    kind = F.col("sample_index") % 20
+    last = F.array_size("mfcc")
+    ragged = F.concat(F.slice("mfcc", F.lit(1), last - 1), F.transform(F.slice("mfcc", -1, 1), lambda r: F.slice(r, F.lit(2), F.array_size(r))))
+    holed = F.transform("chroma", lambda r: F.transform(r, lambda v, i: F.when(i > 0, v)))
+    none = F.array().cast("array<array<double>>")
+    ref = ref.withColumns(
+        {
+            "mfcc": F.when(kind == 3, ragged).otherwise(F.col("mfcc")),
+            "chroma": F.when(kind == 4, holed).otherwise(F.col("chroma")),
+            "centroid": F.when(kind == 5, F.array(F.array().cast("array<double>"))).otherwise(F.col("centroid")),
+        }
+    )
+    gen = gen.withColumns(
+        {
+            "mfcc": F.when(kind == 1, none).when(kind == 2, F.slice("mfcc", 1, 12)).otherwise(F.col("mfcc")),
+            "chroma": F.when(kind != 6, F.col("chroma")),
+        }
+    )
+    return ref, gen
+
+
+@register(
+    "evaluate_damaged_pairs",
+    f"""WITH RECURSIVE {COMPARED_SQL}, judged AS (SELECT *, {DAMAGED_SQL} AS reason FROM evaluated)
+    SELECT sample_index, text, {", ".join(f"CASE WHEN reason IS NULL THEN {n} END AS {n}" for n in vx.METRICS)},
+           reason AS error FROM judged""",
+)
+def evaluate_damaged_pairs(spark, sf):
+    """Features that cannot be compared fail their own row and no other."""
+    ref = evaluation.reference_samples(recordings(spark, sf), REQUEST, load_reshape_extractor)
+    ref, gen = damaged_features(ref, features(generated(spark, sf)))
+    return scoring.eval_samples(scoring.compare_pairs(scoring.pair_reference_generated(ref, gen)))
+
+
+@register(
+    "dtw_similarity_damaged",
+    f"""WITH RECURSIVE {VECTORS_SQL},
+    matrices AS (
+      SELECT sample_index, {cut_sql("a", 4)} AS a, {cut_sql("b", 4)} AS b FROM vector_pairs),
+    {dtw_steps_sql("matrices", "sample_index")}
+    SELECT sample_index, CASE WHEN sample_index % 20 NOT IN (1, 2, 3, 4) THEN round(similarity, 4) END AS similarity
+    FROM aligned""",
+)
+def dtw_similarity_damaged(spark, sf):
+    """Empty, unequal, ragged and null-holding matrices give null beside their neighbours' scores."""
+    kind = F.col("sample_index") % 20
+    a = matrix("vec", 4)
+    a = (
+        F.when(kind == 1, F.array().cast("array<array<double>>"))
+        .when(kind == 2, F.slice(a, 1, 3))
+        .when(kind == 3, F.concat(F.slice(a, 1, 3), F.array(F.slice("vec", 1, 3))))
+        .when(kind == 4, F.transform(a, lambda r: F.transform(r, lambda v, i: F.when(i != 2, v))))
+        .otherwise(a)
+    )
+    scored = vector_pairs(spark, sf).withColumn("similarity", vx.dtw_similarity(a, matrix("gen_vec", 4)))
+    return scored.select("sample_index", vx.round_metric("similarity").alias("similarity"))
+
+
 @register(
     "evaluation_report",
     f"""WITH {PAIRED_SQL}
@@ -433,20 +517,3 @@ def evaluation_report(spark, sf):
 @register("evaluation_summary", f"WITH RECURSIVE {COMPARED_SQL} {summary_sql('evaluated')}")
 def evaluation_summary(spark, sf):
     return scoring.eval_summary(_evaluated(spark, sf))
-
-
-@register(
-    "generate_audio",
-    f"""
-    WITH {RECORDINGS_SQL}, said AS (
-      SELECT sample_index, list_transform(string_split(speaker || text, ''), lambda c: unicode(c) % 256) AS levels
-      FROM recordings WHERE text <> '')
-    SELECT sample_index, CAST(NULL AS VARCHAR) AS error, 22050 AS sampling_rate,
-           {md5_expr("levels")} AS levels FROM said
-    """,
-)
-def generate_audio(spark, sf):
-    """Audio generated for every sample with text, by a stand-in model."""
-    out = evaluation.generated_samples(recordings(spark, sf), REQUEST, load_echo_generator)
-    levels = F.transform("audio.array", lambda x: (x * 256).cast("int"))
-    return out.select("sample_index", "error", F.col("audio.sampling_rate"), digest(levels).alias("levels"))

@@ -18,10 +18,16 @@ from voxloom.functions.arrays import as_column, empty_ints, int_array
 from voxloom.vocab import DEFAULT_LAYOUT, TokenLayout
 
 Tokenizer = Callable[[Column], Column]
+# From ids without markers to the text, null where the ids spell none.
+Detokenizer = Callable[[Column], Column]
 
-# Character ids start above the two text markers and stay below the text vocabulary.
+# Character ids start above the two text markers and stay below the text vocabulary.  A
+# character below CHAR_PAIRS is its code point; any other is a pair, the upper bits from
+# CHAR_PAIRS on and the lower ten bits from CHAR_LOW on, so that every text comes back.
 CHAR_BASE = 3
-CHAR_SPAN = 64000
+CHAR_PAIRS = 0xD800
+CHAR_LOW = 0xDE00
+CHAR_TOP = 0x10FFFF
 
 
 def speaker_prompt(text: Column | str, speaker: Column | None = None, speaker_id: str | None = None) -> Column:
@@ -43,12 +49,21 @@ def text_preview(text: Column | str, length: int = 100) -> Column:
 
 
 def char_ids(text: Column | str) -> Column:
-    """One id per character."""
+    """One id per character, two per character from ``CHAR_PAIRS`` on."""
     text = as_column(text)
-    return F.when(
-        F.length(text) > 0,
-        F.transform(F.split(text, ""), lambda c: F.ascii(c) % F.lit(CHAR_SPAN) + F.lit(CHAR_BASE)),
-    ).otherwise(empty_ints())
+    base, pairs, low = F.lit(CHAR_BASE), F.lit(CHAR_BASE + CHAR_PAIRS), F.lit(CHAR_BASE + CHAR_LOW)
+
+    def spelled(c: Column) -> Column:
+        point = F.ascii(c)
+        pair = F.array(F.shiftright(point, 10) + pairs, point.bitwiseAND(1023) + low)
+        return F.when(point < CHAR_PAIRS, F.array(point + base)).otherwise(pair)
+
+    chars = F.split(text, "")
+    plain = F.transform(chars, lambda c: F.ascii(c) + base)
+    # Texts with such characters are rare: only they pay for arrays of arrays.
+    rare = F.rlike(text, F.lit(r"[^\x{0}-\x{D7FF}]"))
+    ids = F.when(rare, F.flatten(F.transform(chars, spelled))).otherwise(plain)
+    return F.when(F.length(text) > 0, ids).otherwise(empty_ints())
 
 
 def char_tokenizer(*, add_start: bool = True, layout: TokenLayout = DEFAULT_LAYOUT) -> Tokenizer:
@@ -62,12 +77,72 @@ def char_tokenizer(*, add_start: bool = True, layout: TokenLayout = DEFAULT_LAYO
 
 
 def chars_from_ids(ids: Column | str) -> Column:
-    """Inverse of ``char_ids`` for ids at or above ``CHAR_BASE``.
+    """Inverse of ``char_ids``; null for ids that spell no text.
 
     Code points are written as UTF-32 hex and decoded in one go.
     """
-    points = F.transform(as_column(ids), lambda x: F.lpad(F.hex(x - F.lit(CHAR_BASE)), 8, "0"))
-    return F.decode(F.unhex(F.array_join(points, "")), "UTF-32")
+    values = F.transform(as_column(ids), lambda x: x - F.lit(CHAR_BASE))
+    n = F.array_size(values)
+    high = CHAR_PAIRS + (CHAR_TOP >> 10)
+
+    def is_high(x: Column) -> Column:
+        return (x >= CHAR_PAIRS) & (x <= high)
+
+    def is_low(x: Column) -> Column:
+        return (x >= CHAR_LOW) & (x < CHAR_LOW + 1024)
+
+    def point(x: Column, then: Column) -> Column:
+        """The code point that begins at an id; -1 inside a pair, -2 for an id that begins none."""
+        pair = F.shiftleft(x - CHAR_PAIRS, 10) + (then - CHAR_LOW)
+        return (
+            F.when((x >= 0) & (x < CHAR_PAIRS), x)
+            .when(is_high(x) & F.coalesce(is_low(then), F.lit(False)), F.when(pair >= CHAR_PAIRS + 0x800, pair).otherwise(-2))
+            .when(is_low(x), -1)
+            .otherwise(-2)
+        )
+
+    points = F.zip_with(values, F.slice(values, F.lit(2), F.greatest(n, F.lit(1))), lambda x, y: F.when(x.isNotNull(), point(x, y)))
+    pairs = F.array_size(F.filter(values, is_high)) == F.array_size(F.filter(values, is_low))
+    sound = pairs & ~F.exists(points, lambda x: x == -2) & ~F.exists(values, lambda x: x.isNull())
+    kept = F.filter(points, lambda x: x >= 0)
+    digits = F.transform(kept, lambda x: F.lpad(F.hex(x), 8, "0"))
+    return F.when(sound, F.decode(F.unhex(F.array_join(digits, "")), "UTF-32"))
+
+
+def char_detokenizer() -> Detokenizer:
+    return chars_from_ids
+
+
+def arrow_detokenizer(load: Callable[[], Callable[[list[list[int]]], Sequence[str | None]]]) -> Detokenizer:
+    """A detokenizer that runs in Python on Arrow batches.
+
+    ``load`` is called once per task and returns a function from a list of id
+    lists to a list of texts.  A list that fails is tried again one by one; what
+    still fails has no text.
+    """
+
+    @F.arrow_udf(T.StringType())
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decode_ids = load()
+
+        def one(ids: list[int]) -> str | None:
+            try:
+                return decode_ids([ids])[0]
+            except Exception:  # isolate the row
+                return None
+
+        for batch in batches:
+            lists = [x for x in batch.to_pylist() if x is not None]
+            try:
+                texts = list(decode_ids(lists))
+                if len(texts) != len(lists):
+                    raise ValueError("wrong number of texts")
+            except Exception:
+                texts = [one(ids) for ids in lists]
+            found = iter(texts)
+            yield pa.array([next(found) if ok else None for ok in batch.is_valid().to_pylist()], pa.string())
+
+    return lambda ids: decode(ids)
 
 
 def arrow_tokenizer(load: Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]]) -> Tokenizer:
@@ -104,3 +179,15 @@ def model_file_tokenizer(path: str, *, add_special_tokens: bool = True) -> Token
         return encode_texts
 
     return arrow_tokenizer(load)
+
+
+def model_file_detokenizer(path: str) -> Detokenizer:
+    """Texts through a ``tokenizers`` model file, special tokens skipped; loaded once per task."""
+
+    def load() -> Callable[[list[list[int]]], Sequence[str]]:
+        from tokenizers import Tokenizer as Model
+
+        model = Model.from_file(path)
+        return lambda lists: model.decode_batch(lists, skip_special_tokens=True)
+
+    return arrow_detokenizer(load)

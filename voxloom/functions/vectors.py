@@ -29,13 +29,36 @@ DTW_CELLS = 4_000_000
 
 
 def mean_pool(matrix: Column | str) -> Column:
-    """``(features, frames)`` matrix to one mean per feature row."""
+    """``(features, frames)`` matrix to one mean per feature row; null for a row without frames."""
     return F.transform(
         as_column(matrix),
-        lambda row: F.aggregate(row, F.lit(ZERO), lambda acc, v: acc + v) / F.array_size(row),
+        lambda row: F.try_divide(F.aggregate(row, F.lit(ZERO), lambda acc, v: acc + v), F.array_size(row)),
     )
 
 
+def matrix_fault(matrix: Column | str) -> Column:
+    """Why a feature matrix cannot be scored, or null for a sound one.
+
+    ``missing_features`` (null), ``empty_features`` (no rows, or a row that is null
+    or without frames), ``ragged_features`` (rows of different lengths),
+    ``null_features`` (a value that is null or not finite).
+    """
+    matrix = as_column(matrix)
+    sizes = F.transform(matrix, lambda row: F.coalesce(F.array_size(row), F.lit(0)))
+    odd = F.exists(matrix, lambda row: F.exists(row, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+    return (
+        F.when(matrix.isNull(), "missing_features")
+        .when((F.array_size(matrix) == 0) | F.array_contains(sizes, 0), "empty_features")
+        .when(F.array_min(sizes) != F.array_max(sizes), "ragged_features")
+        .when(odd, "null_features")
+    )
+
+
+def height_fault(ref: Column | str, gen: Column | str) -> Column:
+    """``unequal_features`` for two matrices of different heights, else null."""
+    return F.when(F.array_size(as_column(ref)) != F.array_size(as_column(gen)), "unequal_features")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
@@ -66,16 +89,23 @@ def round_metric(value: Column | str) -> Column:
 
 
 def _matrices(column: pa.Array, valid: np.ndarray) -> list[np.ndarray]:
-    """Arrow ``list<list<double>>`` (features by frames) as frames-by-features arrays."""
+    """Arrow ``list<list<double>>`` (features by frames) as frames-by-features arrays.
+
+    Empty where there is nothing sound to compare: no rows or frames, rows that are
+    null or of different lengths, values that are null or not finite.
+    """
     rows = column.values
     flat = rows.values.to_numpy(zero_copy_only=False)
     row_at = rows.offsets.to_numpy()
+    there = rows.is_valid().to_numpy(zero_copy_only=False)
     at = column.offsets.to_numpy()
     out = []
     for i, ok in enumerate(valid):
-        features = int(at[i + 1] - at[i]) if ok else 0
-        if features:
-            out.append(flat[row_at[at[i]] : row_at[at[i + 1]]].reshape(features, -1).T)
+        first, last = (int(at[i]), int(at[i + 1])) if ok else (0, 0)
+        lengths = np.diff(row_at[first : last + 1])
+        values = flat[row_at[first] : row_at[last]] if last > first else flat[:0]
+        if len(values) and there[first:last].all() and (lengths == lengths[0]).all() and np.isfinite(values).all():
+            out.append(values.reshape(last - first, -1).T)
         else:
             out.append(np.empty((0, 0)))
     return out
@@ -137,7 +167,8 @@ def _alignment_similarity(ref: pa.Array, gen: pa.Array) -> pa.Array:
     out = np.full(len(valid), np.nan)
     xs, ys = _matrices(ref, valid), _matrices(gen, valid)
     frames = np.array([len(x) + len(y) for x, y in zip(xs, ys)], dtype=np.int64)
-    depths = np.array([x.shape[1] if len(x) and len(y) else 0 for x, y in zip(xs, ys)], dtype=np.int64)
+    same = [len(x) and len(y) and x.shape[1] == y.shape[1] for x, y in zip(xs, ys)]
+    depths = np.array([x.shape[1] if ok else 0 for x, ok in zip(xs, same)], dtype=np.int64)
     for depth in np.unique(depths[depths > 0]):
         group = np.nonzero(depths == depth)[0]
         order = group[np.argsort(frames[group], kind="stable")]
@@ -152,7 +183,9 @@ def dtw_similarity(ref: Column | str, gen: Column | str) -> Column:
 
     Both sides are ``(features, frames)`` matrices; N and M are the frame
     counts.  Frames are compared by Euclidean distance.  One pair is one row,
-    so the work is spread by row and needs no grouping.
+    so the work is spread by row and needs no grouping.  A pair that cannot be
+    compared (see ``matrix_fault``, ``height_fault``) gets null; the others do not
+    notice.
     """
     # Not deterministic to the optimizer, so that no filter on the result aligns twice.
     align = _alignment_similarity.asNondeterministic()

@@ -11,6 +11,8 @@ from voxloom.functions import vectors as vx
 from voxloom.functions.text import text_preview
 
 NOT_GENERATED = "not_generated"
+GENERATED_TWICE = "generated_twice"
+FEATURES = ("mfcc", "chroma", "centroid")
 
 
 def pair_reference_generated(
@@ -20,9 +22,19 @@ def pair_reference_generated(
 
     Columns of the generated side are prefixed with ``suffix``.  The first
     error wins: the reference's, the generated side's, then the missing partner.
+    A sample that was generated more than once would come out more than once, so
+    it gets one partner without values and the error ``generated_twice``.
     """
-    right = generated.select(
-        on, *[F.col(c).alias(suffix + c) for c in generated.columns if c != on], F.lit(True).alias("_found")
+    values = [c for c in generated.columns if c != on]
+    once = generated.groupBy(on).agg(
+        F.count("*").alias("_times"), *[F.first(c).alias(c) for c in values]
+    )
+    single = F.col("_times") == 1
+    right = once.select(
+        on,
+        *[F.when(single, F.col(c)).alias(suffix + c) for c in values if c != error],
+        F.when(single, F.col(error) if error in values else F.lit(None)).otherwise(F.lit(GENERATED_TWICE)).alias(suffix + error),
+        F.lit(True).alias("_found"),
     )
     joined = reference.join(right, on, "left")
     reasons = [F.col(c) for c in (error, suffix + error) if c in joined.columns]
@@ -40,11 +52,16 @@ def compare_pairs(df: DataFrame, *, gen: str = "gen_", error: str = "error") ->
     """Add the four similarities and the overall score, rounded.
 
     The overall score is taken from the unrounded parts.  Rows with an error
-    keep null metrics.
+    keep null metrics.  A row whose features cannot be compared gets the reason as
+    its error, and null metrics; the others do not notice.
     """
     def pooled_cosine(feature: str):
         return vx.cosine_similarity(vx.mean_pool(feature), vx.mean_pool(gen + feature))
 
+    faults = [vx.matrix_fault(side + name) for name in FEATURES for side in ("", gen)]
+    # Pooled vectors of different lengths are cut to the shorter; an alignment needs equal heights.
+    reason = F.coalesce(F.col(error), *faults, vx.height_fault("mfcc", gen + "mfcc"))
+    df = df.withColumn(error, reason)
     sound = F.col(error).isNull()
     scored = df.withColumns(
         {

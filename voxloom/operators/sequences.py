@@ -131,11 +131,16 @@ def extract_text_span(
     ids: str = "ids",
     into: str = "text_tokens",
     decode_into: str | None = "text",
+    detokenizer: tx.Detokenizer | None = None,
     layout: TokenLayout = DEFAULT_LAYOUT,
 ) -> DataFrame:
-    """Text tokens with their markers and, for character ids, the text itself."""
+    """Text tokens with their markers, and the text that they spell without them.
+
+    ``detokenizer`` belongs to the tokenizer that made the sequences; without one
+    ids are characters.  Ids that spell no text give null and leave other rows alone.
+    """
     spanned = df.withColumn(into, sx.text_span(ids, layout))
     if decode_into is None:
         return spanned
     inner = F.array_remove(F.array_remove(F.col(into), layout.start_of_text), layout.end_of_text)
-    return spanned.withColumn(decode_into, tx.chars_from_ids(inner))
+    return spanned.withColumn(decode_into, (detokenizer or tx.char_detokenizer())(inner))

@@ -22,11 +22,12 @@ def reference_samples(
     load_extractor: Callable[[], Extractor],
     *,
     loader: AudioLoader = AudioLoader(),
+    batch_rows: int = 1,
 ) -> DataFrame:
     """Features, text and speaker per reference sample.
 
-    Samples without text are skipped, unless their audio failed: a failed
-    sample is reported either way.
+    Samples without text are skipped, unless their audio cannot be decoded: that
+    is reported either way.  They get no features, so no other error can keep them.
     """
     named = eval_speaker(
         attach_text(df, text_column=request.text_column, into="_text"),
@@ -39,8 +40,9 @@ def reference_samples(
         F.col("_speaker").cast("string").alias("speaker"),
         F.col(request.audio_column).alias("audio"),
     )
-    featured = extract_features(named, load_extractor, loader=loader)
-    return featured.where(F.col("error").isNotNull() | (F.coalesce("text", F.lit("")) != ""))
+    said = F.coalesce("text", F.lit("")) != ""
+    featured = extract_features(named, load_extractor, loader=loader, batch_rows=batch_rows, wanted=said)
+    return featured.where(F.col("error").isNotNull() | said)
 
 
 def evaluate_pairs(
