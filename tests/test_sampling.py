@@ -3,7 +3,6 @@ from __future__ import annotations
 import hashlib
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from voxloom.operators import batching, sampling
@@ -27,8 +26,8 @@ def test_subsample_options(spark):
     df = spark.range(50)
     assert sampling.subsample(df, None, key=["id"]) is df
     assert sampling.subsample(df, 50, key=["id"], strict=True).count() == 50
-    with pytest.raises(PySparkException, match="fewer than 51 rows"):
-        sampling.subsample(df, 51, key=["id"], strict=True).collect()
+    with pytest.raises(ValueError, match="fewer than 51 rows"):
+        sampling.subsample(df, 51, key=["id"], strict=True)
     with pytest.raises(ValueError):
         sampling.subsample(df, 0, key=["id"])
     other = {r.id for r in sampling.subsample(df, 10, key=["id"], seed=7).collect()}
@@ -104,3 +103,35 @@ def test_row_copies_get_distinct_places(spark):
     sizes = [r["count"] for r in hashed.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 900 and max(sizes) < 250
     assert hashed.groupBy("batch_id").count().where("count != 9").count() == 0
+
+
+def test_subsample_is_exact_with_equal_and_null_keys(spark):
+    rows = [(k, v) for k, v in zip(["a"] * 10 + [None] * 11 + ["b"], range(22))] + [("c", 100)] * 30
+    df = spark.createDataFrame(rows, "k string, v int").repartition(3)
+    for n in (1, 3, 10, 11, 12, 21, 22, 25, 40, 51, 52):
+        got = [tuple(r) for r in sampling.subsample(df, n, key=["k"]).collect()]
+        assert len(got) == n
+        kept = [r for r in got if r != ("c", 100)]
+        assert len(set(kept)) == len(kept) and set(got) <= set(rows)
+        assert sorted(got, key=str) == sorted((tuple(r) for r in sampling.subsample(df.repartition(5), n, key=["k"]).collect()), key=str)
+    assert sampling.subsample(df, 53, key=["k"]).count() == 52
+
+
+def test_equal_keys_spread_over_partitions(spark):
+    df = spark.range(0, 4000).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"))
+    plain = sampling.global_shuffle(df, key=["k"], partitions=8, unique=False)
+    sizes = [r["count"] for r in plain.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000 and plain.columns == ["id", "k"]
+    assert plain.select("id").distinct().count() == 4000
+
+
+def test_batches_of_equal_keys_keep_every_row_once(spark):
+    df = spark.range(0, 1003).select("id", F.when(F.col("id") % 2 == 0, "a").alias("k"), (F.col("id") % 37).alias("n"))
+    out = batching.with_batch_length(df, key=["k"], batch_size=7, length=F.col("n"), unique=False, buckets=5)
+    rows = out.collect()
+    assert sorted(r.id for r in rows) == list(range(1003))
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.batch_id, []).append(r)
+    assert sorted(groups) == list(range(144)) and all(len(g) == 7 for b, g in groups.items() if b < 143)
+    assert all({r.max_length for r in g} == {max(r.n for r in g)} for g in groups.values())

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.hashing import hash_bucket, hash_modulo, order_hash
-from voxloom.session import shuffle_partitions
+from voxloom.session import scratch_path, shuffle_partitions
 
 SAMPLE_SEED = 42  # fixed value
 
 # Buckets of the histogram that locates the n-th smallest hash.
 SAMPLE_BUCKETS = 1 << 16
 
+# Input bytes that a hash bucket should hold; what the optimizer says of inputs it knows no size of.
+BUCKET_BYTES = 256 << 20
+UNKNOWN_BYTES = 1 << 60
+
 
 def bucket_offsets(bucketed: DataFrame, bucket: str) -> DataFrame:
     """``bucket, cnt, offset``: rows per bucket and rows in all buckets before it.
@@ -32,62 +36,79 @@ def subsample(
     """The ``n`` rows with the smallest hash of their key: a reproducible sample.
 
     A sort with a limit would send up to ``n`` whole rows from every task to one
-    merging task.  Here a histogram of the hashes finds the bucket that holds
-    the n-th smallest, one bucket's hashes are ranked, and the rows themselves
-    are only filtered against that threshold: no row is shuffled.
-
-    The columns in ``key`` must identify a row.  With fewer than ``n`` rows all
-    are returned, or the job fails if ``strict``.
+    merging task.  Here one pass stores the hashes, a histogram finds the bucket
+    that holds the n-th smallest, the different values of that bucket are ranked,
+    and the rows are only filtered against the value found: no row is shuffled.
+
+    Exactly ``n`` rows come back whatever the keys hold: rows of equal keys are
+    told apart by their content, and of rows equal in everything as many copies are
+    made as the sample still needs.  With fewer than ``n`` rows all are returned,
+    or the call fails if ``strict``.  Runs jobs when called.
     """
     if n is None:
         return df
     if n < 1:
         raise ValueError("n must be at least 1")
-    hashes = df.select(order_hash(key, seed).alias("_h"), *key).withColumn(
-        "_b", hash_bucket("_h", SAMPLE_BUCKETS)
-    )
-    boundary = (
-        bucket_offsets(hashes.select("_b"), "_b")
-        .where((F.col("offset") < n) & (F.col("offset") + F.col("cnt") >= n))
-        .select("_b", (F.lit(n) - F.col("offset")).alias("_need"))
-    )
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *key))
-    threshold = (
-        hashes.join(F.broadcast(boundary), "_b")  # one row
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") == F.col("_need"))
-        .select(F.struct("_h", *key).alias("_t"))
-    )
-    own = F.struct(order_hash(key, seed).alias("_h"), *key)
-    if strict:
-        limit = F.coalesce(
-            threshold.scalar(), F.raise_error(F.lit(f"fewer than {n} rows")).cast(_type_of(threshold))
-        )
-        return df.where(own <= limit)
-    return df.where(F.coalesce(own <= threshold.scalar(), F.lit(True)))
-
-
-def _type_of(df: DataFrame):
-    return df.schema[0].dataType
+    spark = df.sparkSession
+    own = [order_hash(key, seed).alias("_h"), *key, F.xxhash64(*df.columns).alias("_content")]
+    path = scratch_path(spark, "sample")
+    df.select(*own).write.parquet(path)
+    hashes = spark.read.parquet(path).withColumn("_b", hash_bucket("_h", SAMPLE_BUCKETS))
+    offsets = bucket_offsets(hashes.select("_b"), "_b")
+    found = offsets.where((F.col("offset") < n) & (F.col("offset") + F.col("cnt") >= n)).first()
+    if found is None:
+        if strict:
+            raise ValueError(f"fewer than {n} rows")
+        return df
+    value = ["_h", *key, "_content"]
+    same = hashes.where(F.col("_b") == found._b).groupBy(*value).agg(F.count(F.lit(1)).alias("_m"))
+    upto = Window.orderBy(*value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = same.withColumn("_upto", F.sum("_m").over(upto))
+    last = ranked.where(F.col("_upto") >= n - found.offset).orderBy("_upto").first()
+    limit = F.struct(*[F.lit(last[c]).cast(hashes.schema[c].dataType).alias(c) for c in value])
+    row = F.struct(*own)
+    spare = last._upto - (n - found.offset)
+    if not spare:
+        return df.where(row <= limit)
+    one = df.where(row.eqNullSafe(limit)).limit(1)
+    copies = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(last._m - spare)))).drop("_copy")
+    return df.where(row < limit).unionByName(copies)
 
 
 def global_shuffle(
-    df: DataFrame, *, key: Sequence[str], seed: int = SAMPLE_SEED, partitions: int | None = None
+    df: DataFrame,
+    *,
+    key: Sequence[str],
+    seed: int = SAMPLE_SEED,
+    partitions: int | None = None,
+    unique: bool = True,
 ) -> DataFrame:
     """All rows in the order of their key's hash.
 
     Partition i holds the i-th slice of the hash range, so the result is in
     total order without the extra pass in which a range sort samples its input.
+    A key that may repeat (``unique=False``) is hashed together with the row's
+    content, so that rows of one key spread over the partitions.
     """
-    n = partitions or shuffle_partitions(df.sparkSession)
+    n = partitions or bucket_count(df)
+    df = df.withColumn("_content", F.lit(0) if unique else F.xxhash64(*df.columns))
     return (
-        df.withColumn("_h", order_hash(key, seed))
+        df.withColumn("_h", order_hash([*key] if unique else [*key, "_content"], seed))
         .repartitionById(n, hash_bucket("_h", n))
         .sortWithinPartitions("_h", *key)
-        .drop("_h")
+        .drop("_h", "_content")
     )
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Hash buckets for the rows of ``df``: the session's shuffle partitions, and more if the input's size
+    asks for it, because buckets of this kind are neither split nor merged at run time."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < UNKNOWN_BYTES)
+    return max(shuffle_partitions(df.sparkSession), known // BUCKET_BYTES)
+
+
 def shard(df: DataFrame, n: int, *, key: Sequence[str], into: str = "shard") -> DataFrame:
     """Add the shard 0..n-1 of each row, from a hash of its key: no pass over other rows."""
     if n < 1:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ ENCODED_SCHEMA = (
     ", ".join(f"{layer} array<int>" for layer in LAYERS) + ", encoded_len int, text string, speaker string"
 )
 
-# A file's path and offset take some 200 bytes, so this stays near 20 MB.
-BROADCAST_FILES = 100_000
+# Copies of the per-file offsets when they are joined, so that no file's rows meet in one task.
+FILE_SALTS = 16
 
 
 def dataset_path(root: str, repo: str, name: str | None, split: str) -> str:
@@ -85,47 +87,67 @@ def load_raw_audio(spark: SparkSession, root: str, repo: str, *, split: str = "t
     return load_dataset(spark, root, repo, split=split, fmt=fmt)
 
 
+def with_place(df: DataFrame) -> DataFrame:
+    """Add ``_file`` and ``_row``, where a row of a Parquet dataset is stored; ``df`` must come straight
+    from the reader."""
+    return df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
+
+
+def file_offsets(df: DataFrame) -> DataFrame:
+    """``(_file, _offset)``: how many rows the files before each one hold; one row per file, by name."""
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = with_place(df).groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    return files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+
+
+def attach_sample_index(placed: DataFrame, offsets: DataFrame, into: str = "sample_index") -> DataFrame:
+    """Number rows that kept ``_file`` and ``_row``: the rows of all files before, plus the place in the file.
+
+    Rows may be shuffled for it, so attach numbers to what was made of large
+    values rather than to the values themselves.
+    """
+    copies = offsets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(FILE_SALTS - 1))))
+    salted = placed.withColumn("_salt", F.pmod("_row", F.lit(FILE_SALTS)).cast("int"))
+    numbered = salted.join(copies, ["_file", "_salt"]).withColumn(into, F.col("_offset") + F.col("_row"))
+    return numbered.drop("_file", "_row", "_offset", "_salt")
+
+
 def with_sample_index(df: DataFrame, into: str = "sample_index") -> DataFrame:
     """Number the rows of a Parquet dataset 0, 1, … in file and row order.
 
-    ``df`` must come straight from the reader.  A row's number is its place in
-    its file plus the rows of all files before it; only the per-file counts (one
-    row per file) are ordered, never the data.  The counts are broadcast up to
-    ``BROADCAST_FILES`` files; beyond that the join is left to the optimizer.
+    ``df`` must come straight from the reader and hold no large values; for those,
+    see ``attach_sample_index``.
     """
-    placed = df.withColumn("_file", F.col("_metadata.file_path")).withColumn(
-        "_row", F.col("_metadata.row_index")
-    )
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = (
-        placed.groupBy("_file")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
-    if len(df.inputFiles()) <= BROADCAST_FILES:
-        files = F.broadcast(files)
-    return (
-        placed.join(files, "_file")
-        .withColumn(into, F.col("_offset") + F.col("_row"))
-        .drop("_file", "_row", "_offset")
-    )
+    return attach_sample_index(with_place(df), file_offsets(df), into)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A folder as Spark prints it, up to its first pattern: with scheme, absolute, single slashes."""
+    plain = re.split(r"[*?\[{]", path, maxsplit=1)[0]
+    if plain != path:
+        plain = plain.rsplit("/", 1)[0] if "/" in plain else "."
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(plain or "/")
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(hadoop).toString().rstrip("/")
 
 
 def load_audio_files(spark: SparkSession, path: str, *, glob: str = "*", into: str = "audio") -> DataFrame:
-    """Audio files below ``path``: ``file`` (the path below ``path``) and the undecoded audio.
+    """Audio files below ``path``: ``file`` (the path below ``path``, or below the folder before its
+    first pattern) and the undecoded audio.
 
     Encode them before joining their transcripts: codes are a small part of the
     audio's size.
     """
-    root = path.rstrip("/") + "/"
+    root = qualified(spark, path) + "/"
     full = F.col("path")
+    unknown = F.raise_error(F.concat(F.lit(f"not below {root}: "), full)).cast("string")
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
         .select(
-            F.substring(full, F.locate(root, full) + len(root), F.length(full)).alias("file"),
+            F.when(F.startswith(full, F.lit(root)), F.substring(full, len(root) + 1, 1 << 30)).otherwise(unknown).alias("file"),
             F.struct(F.col("content").alias("bytes"), full.alias("path")).alias(into),
         )
     )
