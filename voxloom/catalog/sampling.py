@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxloom.catalog.fixtures import table
 from voxloom.catalog.registry import register
-from voxloom.operators import sampling
+from voxloom.operators import batching, sampling
 from voxloom.operators.rows import categorical_filter, union_sources
 from voxloom.sources.readers import with_sample_index
 
@@ -32,6 +32,29 @@ def subsample_max_len(spark, sf):
     ).select("doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
+@register(
+    "subsample_equal_keys",
+    "SELECT CAST(least(count(*), 50) AS BIGINT) AS n, CAST(least(count(*), 50) AS BIGINT) AS distinct_rows FROM documents",
+)
+def subsample_equal_keys(spark, sf):
+    """Keys that many rows share, some of them null: the sample is exact all the same."""
+    docs = table(spark, sf, "documents").withColumn("kind", F.when(F.col("lang") != "fr", F.col("lang")))
+    taken = sampling.subsample(docs, 50, key=["kind"])
+    return taken.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("distinct_rows"))
+
+
+@register(
+    "assign_batches_equal_keys",
+    "SELECT doc_id, count(*) OVER () AS n FROM documents",
+)
+def assign_batches_equal_keys(spark, sf):
+    """Batches over keys that many rows share hold every row once."""
+    docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") != "fr", F.col("lang")).alias("kind"))
+    out = batching.assign_batches(docs, key=["kind"], batch_size=8, unique=False)
+    full = out.groupBy("batch_id").agg(F.collect_list("doc_id").alias("ids")).select(F.explode("ids").alias("doc_id"))
+    return full.select("doc_id", F.lit(docs.count()).cast("bigint").alias("n"))
+
+
 @register(
     "global_shuffle",
     "SELECT doc_id, md5('42:' || doc_id) AS position, md5(text) AS text_md5 FROM documents ORDER BY position, doc_id",

@@ -15,20 +15,34 @@ from voxloom.catalog.fixtures import (
     derived_layers,
     encoded,
     load_reshape_extractor,
+    load_sum_encoder,
     md5_expr,
+    raw_pcm_decoder,
     speakers,
     table,
 )
-from voxloom.catalog.preparation import PREPARED_COLUMNS, PREPARED_SQL, prepared, prepared_digests, spoken
+from voxloom.catalog.preparation import (
+    CHAT,
+    DECODED,
+    LOADER,
+    PREPARED_COLUMNS,
+    PREPARED_SQL,
+    SPOKEN,
+    decoded,
+    prepared,
+    prepared_digests,
+    spoken,
+)
 from voxloom.catalog.registry import register
 from voxloom.catalog.scoring import COMPARED_SQL, REQUEST, generated, recordings, summary_sql
 from voxloom.catalog.sequences import BUILT_SQL
 from voxloom.functions.arrays import digest, int_sum
+from voxloom.functions.audio import AudioLoader
 from voxloom.operators import report
-from voxloom.plans import evaluation, training
+from voxloom.plans import evaluation, preparation, training
 from voxloom.session import scratch_path
 from voxloom.sources import readers, writers
-from voxloom.specs import BuildRequest, CategoricalFilter, EncodedSource
+from voxloom.specs import BuildRequest, CategoricalFilter, EncodedSource, PrepareRequest, merged_name
 from voxloom.streaming.build import stream_training_rows, write_available
 from voxloom.vocab import LAYERS, TRAINING_COLUMNS
 
@@ -38,6 +52,19 @@ LAYER_DIGESTS = ", ".join(f"{md5_expr(name)} AS {name}" for name in LAYERS)
 OWN_NAMES = {**{name: f"codes_{k}" for k, name in enumerate(LAYERS)}, "encoded_len": "n_frames", "text": "sentence"}
 
 
+# What ends a text file that stands for audio.
+END_OF_FILE = "\x00"
+
+
+def failing_decoder(data: bytes):
+    raise ValueError("not my format")
+
+
+def trimmed_decoder(data: bytes):
+    """Raw samples without the byte that ends the file."""
+    return raw_pcm_decoder(data.removesuffix(END_OF_FILE.encode()))
+
+
 def _published(spark, sf, name: str) -> str:
     """The derived encoded rows as a dataset with its own column names; returns the root."""
     root = scratch_path(spark, name)
@@ -120,13 +147,22 @@ def build_report(spark, sf):
     return training.run_build(spark, request, root, f"{root}/built")
 
 
+def _padded_sql(values: str, pad: int) -> str:
+    return md5_expr(f"{values} || list_transform(range(len(input_ids), max(len(input_ids)) OVER (PARTITION BY batch_id)), lambda x: {pad})")
+
+
+REQUESTED_SQL = f"""SELECT source_idx, row_key, batch_id, batch_id // 3 AS step_id, CAST(len(input_ids) AS INT) AS n_tokens,
+           CAST(max(len(input_ids)) OVER (PARTITION BY batch_id) AS INT) AS padded_length,
+           {_padded_sql("input_ids", 64407)} AS input_ids, {_padded_sql("input_ids", -100)} AS labels,
+           {_padded_sql("position_ids", 0)} AS position_ids"""
+
+
 @register(
     "requested_batches",
     f"""WITH {BUILT_SQL}, batched AS (
       SELECT 0 AS source_idx, *,
         (row_number() OVER (ORDER BY md5('42:0:' || row_key), row_key) - 1) // 4 AS batch_id FROM built)
-    SELECT source_idx, row_key, batch_id, batch_id // 3 AS step_id, CAST(len(input_ids) AS INT) AS n_tokens,
-           CAST(max(len(input_ids)) OVER (PARTITION BY batch_id) AS INT) AS padded_length
+    {REQUESTED_SQL}
     FROM batched""",
 )
 def requested_batches(spark, sf):
@@ -137,10 +173,109 @@ def requested_batches(spark, sf):
         per_device_train_batch_size=4,
         gradient_accumulation_steps=3,
     )
-    rows = training.make_batches(spark, request, _published(spark, sf, "batches"))
+    return _batch_digests(training.make_batches(spark, request, _published(spark, sf, "batches")))
+
+
+def _batch_digests(rows):
     return rows.select(
         "source_idx", "row_key", "batch_id", "step_id",
         int_sum("attention_mask").cast("int").alias("n_tokens"), F.array_size("labels").alias("padded_length"),
+        *[digest(c).alias(c) for c in ("input_ids", "labels", "position_ids")],
+    )
+
+
+@register(
+    "run_batches",
+    f"""WITH {BUILT_SQL}, batched AS (
+      SELECT 0 AS source_idx, *,
+        (row_number() OVER (ORDER BY md5('42:0:' || row_key), row_key) - 1) // 4 AS batch_id FROM built)
+    {REQUESTED_SQL}
+    FROM batched""",
+)
+def run_batches(spark, sf):
+    """A whole run: the training set written, then its batches written and read back."""
+    root = _published(spark, sf, "run-batches")
+    request = BuildRequest(
+        [_spec(key_column="doc_id")],
+        max_duration_sec=MAX_SECONDS,
+        per_device_train_batch_size=4,
+        gradient_accumulation_steps=3,
+    )
+    training.run_batches(spark, request, root, f"{root}/built")
+    return _batch_digests(spark.read.parquet(f"{root}/built/batches"))
+
+
+@register(
+    "run_preparation",
+    f"""WITH {PREPARED_SQL}
+    SELECT 'merged' AS kind, CAST(NULL AS VARCHAR) AS source, md5(text) AS text_md5, speaker, encoded_len, {md5_expr("nano_layer_4")} AS last_layer,
+           CAST(NULL AS VARCHAR) AS error
+    FROM prepared WHERE error IS NULL AND source <> '{CHAT.dataset_name}'
+    UNION ALL
+    SELECT 'reject', source, md5(text), speaker, NULL, NULL, error FROM prepared
+    WHERE error IS NOT NULL AND source <> '{CHAT.dataset_name}'
+    UNION ALL
+    SELECT 'published', NULL, md5(text), speaker, encoded_len, {md5_expr("nano_layer_4")}, NULL
+    FROM prepared WHERE error IS NULL AND source <> '{CHAT.dataset_name}'
+    UNION ALL
+    SELECT 'counted', source, CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (error IS NULL) AS VARCHAR),
+           CAST(count(*) FILTER (error IS NOT NULL) AS INT), NULL, NULL
+    FROM prepared WHERE source <> '{CHAT.dataset_name}' GROUP BY source""",
+)
+def run_preparation(spark, sf):
+    """A whole run over two stored sources: merged JSON, published dataset, rejects and counters, read back."""
+    root = scratch_path(spark, "run-preparation")
+    writers.publish_encoded(spoken(spark, sf), root, SPOKEN.dataset_name, "train")
+    writers.publish_encoded(decoded(spark, sf), root, DECODED.dataset_name, "train")
+    request = PrepareRequest([SPOKEN, DECODED], f"{root}/out", "speech/all")
+    preparation.run_preparation(spark, request, root, load_sum_encoder, loader=LOADER)
+    name = merged_name([], "speech/all")
+    none = F.lit(None).cast("string")
+
+    def rows(kind, df, source):
+        return df.select(
+            F.lit(kind).alias("kind"), source.alias("source"), F.md5("text").alias("text_md5"), "speaker", "encoded_len",
+            digest("nano_layer_4").alias("last_layer"), none.alias("error"),
+        )
+
+    merged = readers.read_merged_json(spark, f"{root}/out/{name}")
+    rejects = spark.read.parquet(f"{root}/out/rejects/{name}").select(
+        F.lit("reject").alias("kind"), "source", F.md5("text").alias("text_md5"), "speaker",
+        F.lit(None).cast("int").alias("encoded_len"), none.alias("last_layer"), "error",
+    )
+    counters = spark.read.parquet(f"{root}/out/counters/{name}").where("source is not null").select(
+        F.lit("counted").alias("kind"), "source", F.col("total").cast("string").alias("text_md5"),
+        F.col("processed").cast("string").alias("speaker"), F.col("failed_samples").cast("int").alias("encoded_len"),
+        none.alias("last_layer"), none.alias("error"),
+    )
+    published = readers.load_dataset(spark, f"{root}/out", "speech/all")
+    return rows("merged", merged, none).unionByName(rejects).unionByName(rows("published", published, none)).unionByName(counters)
+
+
+@register(
+    "prepare_audio_files",
+    f"""WITH {PREPARED_SQL}
+    SELECT md5(text) AS text_md5, speaker, error, encoded_len, {md5_expr("nano_layer_1")} AS first_layer
+    FROM (SELECT text, CASE WHEN speaker IS NULL THEN NULL ELSE speaker END AS speaker,
+            CASE WHEN error IS NULL THEN NULL ELSE 'missing_audio' END AS error, encoded_len, nano_layer_1
+          FROM prepared WHERE source = '{SPOKEN.dataset_name}' AND text <> '')""",
+)
+def prepare_audio_files(spark, sf):
+    """Audio read as files: every document's text is a file of bytes, every 25th is missing."""
+    root = scratch_path(spark, "files")
+    docs = table(spark, sf, "documents").where(F.length("text") > 0)
+    there = docs.where(F.col("doc_id") % 25 != 0)
+    # One file per document: a partition per id, the text as its only bytes.
+    named = there.select("doc_id", F.col("text").alias("value"))
+    named.write.partitionBy("doc_id").option("lineSep", END_OF_FILE).text(f"{root}/audio")
+    files = readers.load_audio_files(spark, f"{root}//audio/.")
+    key = F.regexp_extract("file", r"^doc_id=(\d+)/", 1)
+    codes = files.select(key.alias("file"), "audio")
+    loader = AudioLoader(decoders=(failing_decoder, trimmed_decoder))
+    transcripts = docs.select(F.col("doc_id").cast("string").alias("file"), "text", "source")
+    out = preparation.prepare_audio_files(codes, transcripts, SPOKEN, load_sum_encoder, loader=loader)
+    return out.select(
+        F.md5("text").alias("text_md5"), "speaker", "error", "encoded_len", digest("nano_layer_1").alias("first_layer")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.audio import AudioLoader
 from voxloom.operators.encode import Encoder, encode_audio
-from voxloom.operators.report import observed, run_report, split_rejects
+from voxloom.operators.report import observed, prep_counters, run_report, split_rejects
 from voxloom.operators.rows import attach_text, resolve_speaker, union_sources
 from voxloom.session import scratch_path
 from voxloom.sources.readers import load_raw_audio
@@ -126,6 +126,9 @@ def run_preparation(
     )
     if request.hub_repo:
         publish_encoded(sound.drop("source"), request.output_dir, request.hub_repo)
+    # Counters per source, with a total, beside the rejects.
+    folder, name = request.output_dir.rstrip("/"), merged_name(names, request.hub_repo)
+    prep_counters(staged).coalesce(1).write.mode("overwrite").parquet(f"{folder}/counters/{name}")
     return run_report(
         staged, datasets_total=len(sources), output_path=path, hub_repo=request.hub_repo
     )

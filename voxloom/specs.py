@@ -27,8 +27,8 @@ def _from_mapping(cls: type[S], values: Mapping[str, Any]) -> S:
 class CategoricalFilter:
     """Keep the rows whose source column equals one value."""
 
-    column_name: str = "speaker"
-    value: str = "ex02"
+    column_name: str
+    value: str
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,7 @@ class PrepareRequest:
     """Raw sources to encode and merge, and where the result goes."""
 
     datasets: Sequence[RawSource]
-    output_dir: str = "./encoded_data"
+    output_dir: str
     hub_repo: str | None = None
 
     def __post_init__(self) -> None:

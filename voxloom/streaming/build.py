@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from voxloom.functions.text import Tokenizer
-from voxloom.plans.training import build_rows, sound_rows
+from voxloom.plans.training import build_rows, rejected_rows, sound_rows
 from voxloom.vocab import DEFAULT_LAYOUT, TokenLayout
 
 
@@ -26,6 +26,11 @@ def stream_training_rows(
     return build_rows(sound_rows(stream, max_seconds=max_seconds), tokenizer=tokenizer, layout=layout)
 
 
+def stream_rejects(stream: DataFrame, *, max_seconds: float | None = 30) -> DataFrame:
+    """Key and reason of the rows that ``stream_training_rows`` leaves out as unsound; a sink of its own."""
+    return rejected_rows(stream, max_seconds=max_seconds)
+
+
 def write_available(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what has arrived, append it as Parquet, and stop.
 
