@@ -130,9 +130,12 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     sizes = stored(rows.drop("row"), "sizes")
     sources = stored(targets(sizes, how), "sources")
     total = int(sources.agg(F.sum("source_size")).first()[0] or 0)
-    block, _ = slot_size(total, how)
-    mine = stored(schedule(sources, how), "schedule").groupBy("sid").agg(F.max("nth").alias("last"))
-    taken = F.least((F.coalesce("last", F.lit(-1)) + 1) * block, how.most * F.col("source_size"))
+    block, slots = slot_size(total, how)
+    mine = stored(schedule(sources, how), "schedule").groupBy("sid")
+    mine = mine.agg(F.max("nth").alias("last"), F.max("slot").alias("slot"))
+    # The last slot of all is as long as what is left of the total.
+    beyond = F.when(F.col("slot") == slots - 1, F.lit(block * slots - total)).otherwise(F.lit(0))
+    taken = F.least((F.coalesce("last", F.lit(-1)) + 1) * block - beyond, how.most * F.col("source_size"))
     ends = sources.join(mine, "sid", "left").select(sources["*"], taken.alias("words"))
     once = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
     ends = ends.select("*", once.alias("rounds")).select("*", (F.col("words") - F.col("rounds") * F.col("source_size")).alias("rest"))
