@@ -374,7 +374,7 @@ def train(texts: list[str], labels: np.ndarray, how: ToxicityModel = ToxicityMod
     return weights | {"calibration": beta}
 
 
-def score_texts(model: dict, texts: list[str | None], how: ToxicityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_texts(model: dict, texts: list[str | None], how: ToxicityModel = ToxicityModel()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Score, number of windows and first word of the highest window of each text."""
     if "constant" in model:
         return np.full(len(texts), model["constant"][0], np.float64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
