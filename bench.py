@@ -19,11 +19,13 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from voxloom.catalog import QUERIES  # noqa: E402
 from voxloom.catalog import fixtures, preparation  # noqa: E402
 from voxloom.catalog.decoding import damaged  # noqa: E402
+from voxloom.functions.vectors import dtw_similarity  # noqa: E402
 from voxloom.operators.report import prep_counters  # noqa: E402
 from voxloom.plans import decoding, training  # noqa: E402
 from voxloom.plans.preparation import prepare_sources  # noqa: E402
@@ -59,6 +61,22 @@ def build_request() -> BuildRequest:
     )
 
 
+def long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices as large as those of half a minute of speech: 13 features by 1300 frames, of every hundredth vector."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 100 = 0")
+
+    def matrix(shift: int) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(12)),
+            lambda k: F.transform(
+                F.sequence(F.lit(0), F.lit(1299)),
+                lambda t: F.get("embedding", ((t * (k + 1) + shift * t) % 64).cast("int")).cast("double"),
+            ),
+        )
+
+    return vectors.select("vec_id", matrix(0).alias("a"), matrix(1).alias("b"))
+
+
 def jobs(spark: SparkSession, sf_dir: str, cpus: int) -> dict[str, Callable[[], DataFrame]]:
     root = scratch_path(spark, "bench")
     publish_encoded(fixtures.encoded(spark, sf_dir).repartition(cpus), root, "bench/documents")
@@ -85,6 +103,9 @@ def jobs(spark: SparkSession, sf_dir: str, cpus: int) -> dict[str, Callable[[],
         "prep_counters": lambda: prep_counters(prepared()),
         "decode_sequences": lambda: decoding.decode_sequences(spark.read.parquet(sequences)),
     }
+    long_pairs(spark, sf_dir).repartition(cpus).write.parquet(f"{root}/long-pairs")
+    found["dtw_long"] = lambda: spark.read.parquet(f"{root}/long-pairs").select("vec_id", dtw_similarity("a", "b"))
+    found["run_build"] = lambda: training.run_build(spark, request, root, f"{root}/built")
     for name in REGISTERED:
         found[name] = lambda name=name: QUERIES[name](spark, sf_dir)
     return found

@@ -11,7 +11,7 @@ from voxloom.functions.audio import AudioLoader
 from voxloom.operators.encode import Encoder, encode_audio
 from voxloom.operators.report import observed, prep_counters, run_report, split_rejects
 from voxloom.operators.rows import attach_text, resolve_speaker, union_sources
-from voxloom.session import scratch_path
+from voxloom.session import remove_table, scratch_path
 from voxloom.sources.readers import load_raw_audio
 from voxloom.sources.writers import publish_encoded, write_merged_json
 from voxloom.specs import PrepareRequest, RawSource, merged_name
@@ -105,7 +105,8 @@ def run_preparation(
 
     The codec runs once per row: its output is staged as a table in the shared
     folder, and the merged JSON, the published dataset, the rejects and the
-    report all read that table.  ``progress`` is filled with the run's counters
+    report all read that table.  It is removed once all of them are written, unless
+    ``staging`` names its place.  ``progress`` is filled with the run's counters
     as soon as the models are done.
     """
     sources = [
@@ -129,6 +130,8 @@ def run_preparation(
     # Counters per source, with a total, beside the rejects.
     folder, name = request.output_dir.rstrip("/"), merged_name(names, request.hub_repo)
     prep_counters(staged).coalesce(1).write.mode("overwrite").parquet(f"{folder}/counters/{name}")
-    return run_report(
-        staged, datasets_total=len(sources), output_path=path, hub_repo=request.hub_repo
-    )
+    done = run_report(staged, datasets_total=len(sources), output_path=path, hub_repo=request.hub_repo)
+    report = spark.createDataFrame(done.collect(), done.schema)  # one row
+    if staging is None:
+        remove_table(spark, stage)
+    return report

@@ -67,3 +67,11 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/voxloom/{name}-{uuid.uuid4().hex}"
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Remove a staged table below the shared folder; any other path is refused."""
+    if not path.startswith(f"{shared_dir(spark)}/voxloom/"):
+        raise ValueError(f"{path!r} is not a staged table")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
