@@ -31,7 +31,8 @@ CELLS = 1024
 @dataclass(frozen=True)
 class Mix:
     """Weights, repeating, of the sources in the order of their names; how often a word may be
-    taken; least words of a slot and most slots (a larger corpus has longer slots)."""
+    taken; least words of a slot and most slots (a larger corpus has longer slots); hash
+    buckets of a stream, a power of two."""
 
     weights: tuple[int, ...] = (1, 2, 3)
     most: int = 3
@@ -51,9 +52,11 @@ def _named(source: str = "source") -> list[Column]:
 
 
 def _place(buckets: int) -> list[Column]:
-    """Where a document stands in its source's stream: a bucket, then a hash."""
-    h = F.xxhash64(F.col("doc_id"), F.xxhash64("text"))
-    return [h.alias("h"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(buckets)).cast("int").alias("bucket")]
+    """Where a document stands in its source's stream: 60 bits of a hash, in buckets of its leading bits."""
+    text = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text")))
+    h = F.conv(F.substring(text, 1, 15), 16, 10).cast("long")
+    bits = buckets.bit_length() - 1
+    return [h.alias("h"), F.shiftright(h, 60 - bits).cast("int").alias("bucket")]
 
 
 def targets(sizes: DataFrame, how: Mix) -> DataFrame:

@@ -173,3 +173,71 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest
        CASE WHEN page_id < head THEN head END AS refers_to
 FROM p LEFT JOIN h USING (payload_digest)
 """
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES["op3_jaccard_join"] = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
+), tokens AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(first_id, doc_id)) AS component_id
+FROM sets LEFT JOIN (SELECT x, min(y) AS first_id FROM reach GROUP BY x) ON x = doc_id
+"""
+
+ORACLES["op10_source_mix"] = f"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
+         CAST('0x' || substring(md5(concat_ws(':', CAST(doc_id AS VARCHAR), md5(text))), 1, 15) AS BIGINT) AS h
+  FROM documents
+), total AS (
+  SELECT CAST(sum(size) AS BIGINT) AS s FROM docs
+), plan AS (
+  SELECT s, greatest(64, (s + 4194303) // 4194304) AS block FROM total
+), names AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, CAST(sid % 3 + 1 AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM names
+), judged AS (
+  SELECT weighed.*, s, cap * sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= w * (s - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS stops
+  FROM weighed, total
+), aimed AS (
+  SELECT *, CASE WHEN stops THEN cap ELSE w * (s - coalesce(sum(CASE WHEN stops THEN cap END) OVER (), 0))
+    / sum(CASE WHEN NOT stops THEN w END) OVER () END AS target FROM judged
+), bounds AS (
+  SELECT *, least(CAST(floor(sum(target) OVER (ORDER BY sid) / s * 4294967296) AS BIGINT), 4294967296) AS hi FROM aimed
+), parts AS (
+  SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo FROM bounds
+), slots AS (
+  SELECT k, ((k + 1) * 2654435769) % 4294967296 AS u FROM plan, LATERAL (SELECT unnest(range(0, (s + block - 1) // block)) AS k)
+), owned AS (
+  SELECT sid, count(*) AS n, max(k) AS top FROM slots JOIN parts ON lo <= u AND u < hi GROUP BY sid
+), ends AS (
+  SELECT parts.source, source_size, target,
+    least(coalesce(n, 0) * block - CASE WHEN top = (plan.s + block - 1) // block - 1
+      THEN block * ((plan.s + block - 1) // block) - plan.s ELSE 0 END, 3 * source_size) AS words
+  FROM parts LEFT JOIN owned USING (sid), plan
+), grouped AS (
+  SELECT source, h, size, count(*) AS m FROM docs GROUP BY ALL
+), placed AS (
+  SELECT *, coalesce(sum(m * size) OVER (PARTITION BY source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
+  FROM grouped
+)
+SELECT doc_id, docs.size, source_size, target,
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE docs.size * (words // source_size)
+    + greatest(0, least(words % source_size - used, m * docs.size)) // m END AS BIGINT) AS taken
+FROM docs JOIN ends ON docs.source IS NOT DISTINCT FROM ends.source
+JOIN placed ON docs.source IS NOT DISTINCT FROM placed.source AND docs.h = placed.h AND docs.size = placed.size
+"""
