@@ -76,13 +76,14 @@ def char_tokenizer(*, add_start: bool = True, layout: TokenLayout = DEFAULT_LAYO
     return tokenize
 
 
-def chars_from_ids(ids: Column | str) -> Column:
-    """Inverse of ``char_ids``; null for ids that spell no text.
+def _written(points: Column) -> Column:
+    """Code points as UTF-32 hex, decoded in one go."""
+    return F.decode(F.unhex(F.array_join(F.transform(points, lambda x: F.lpad(F.hex(x), 8, "0")), "")), "UTF-32")
 
-    Code points are written as UTF-32 hex and decoded in one go.
-    """
-    values = F.transform(as_column(ids), lambda x: x - F.lit(CHAR_BASE))
-    n = F.array_size(values)
+
+def _paired_points(ids: Column) -> Column:
+    """Code points of ids that may hold pairs; null if they spell no text."""
+    values = F.transform(ids, lambda x: x - F.lit(CHAR_BASE))
     high = CHAR_PAIRS + (CHAR_TOP >> 10)
 
     def is_high(x: Column) -> Column:
@@ -101,12 +102,33 @@ def chars_from_ids(ids: Column | str) -> Column:
             .otherwise(-2)
         )
 
-    points = F.zip_with(values, F.slice(values, F.lit(2), F.greatest(n, F.lit(1))), lambda x, y: F.when(x.isNotNull(), point(x, y)))
+    following = F.slice(values, F.lit(2), F.greatest(F.array_size(values), F.lit(1)))
+    points = F.zip_with(values, following, lambda x, y: F.when(x.isNotNull(), point(x, y)))
     pairs = F.array_size(F.filter(values, is_high)) == F.array_size(F.filter(values, is_low))
     sound = pairs & ~F.exists(points, lambda x: x == -2) & ~F.exists(values, lambda x: x.isNull())
-    kept = F.filter(points, lambda x: x >= 0)
-    digits = F.transform(kept, lambda x: F.lpad(F.hex(x), 8, "0"))
-    return F.when(sound, F.decode(F.unhex(F.array_join(digits, "")), "UTF-32"))
+    return F.when(sound, F.filter(points, lambda x: x >= 0))
+
+
+def chars_from_ids(ids: Column | str) -> Column:
+    """Inverse of ``char_ids``; null for ids that spell no text."""
+    first, last = CHAR_BASE, CHAR_BASE + CHAR_PAIRS
+
+    def text(v: Column) -> Column:
+        plain = (F.array_min(v) >= first) & (F.array_max(v) < last)
+        simple = F.when(plain, _written(F.transform(v, lambda x: x - F.lit(CHAR_BASE))))
+        # Nulls among the ids leave the text too short.
+        return F.element_at(
+            F.transform(
+                F.array(simple),
+                lambda t: F.when(F.array_size(v) == 0, F.lit(""))
+                .when(F.length(t) == F.array_size(v), t)
+                .otherwise(_written(_paired_points(v))),
+            ),
+            1,
+        )
+
+    # The lambda's argument is made once, however often the cases look at it.
+    return F.element_at(F.transform(F.array(as_column(ids)), text), 1)
 
 
 def char_detokenizer() -> Detokenizer:
