@@ -8,7 +8,7 @@ PASSAGE = " ".join(f"word{chr(97 + i % 26)}x" for i in range(60))
 
 def kept(documents, texts, ids=None, how=TemplateTree()):
     out = drop_recurring_lines(documents(texts, ids), how)
-    assert out.schema["row"].dataType.names == ["doc_id", "text", "lang", "source", "n_chars", "row", "score"]
+    assert out.schema["row"].dataType.names == ["doc_id", "lang", "source", "n_chars", "row", "score"]
     return [(r.row.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()]
 
 

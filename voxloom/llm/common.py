@@ -14,14 +14,19 @@ from voxloom.session import scratch_path
 
 # A key set of at most this many rows (three numbers each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
+# Narrow rows of one file of a table whose size is known.
+FILE_ROWS = 250_000
 # Copies of the small side of a join whose large side may hold one key in a third of its rows.
 SALTS = 32
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    A table of at most ``rows`` narrow rows is written in as few files as they need.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -38,6 +43,19 @@ def salted_join(
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+def heat_join(large: DataFrame, small: DataFrame, on: Sequence[str], *, weight: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of stored tables where ``small[weight]`` says how many rows of ``large`` have a key.
+
+    Keys that have at least one in ``share`` of the ``total`` rows, so at most
+    ``share`` of them, are broadcast and their rows stay where they are; the others
+    are shuffled, and none of them can crowd a task.
+    """
+    hot = small.where(F.col(weight) * share >= total)
+    cold = small.where(F.col(weight) * share < total)
+    rest = large.join(F.broadcast(hot.select(*on)), list(on), "left_anti").join(cold, list(on))
+    return large.join(F.broadcast(hot), list(on)).unionByName(rest).drop(weight)
+
+
 def pick_rows(
     df: DataFrame, keys: DataFrame, condition: Column, *, how: str = "inner", bound: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -129,6 +147,17 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
     return df.mapInArrow(run, schema)
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """Every row as the struct ``row``: what a map job is sent, so that a text goes to Python once."""
+    return df.select(F.struct("*").alias("row"))
+
+
+def with_fields(batch: pa.RecordBatch, *names: str) -> pa.RecordBatch:
+    """A batch of ``row`` structs (and other columns) with some of their fields beside them, nothing copied."""
+    row = batch.column("row")
+    return pa.RecordBatch.from_arrays([*batch.columns, *(row.field(n) for n in names)], names=[*batch.schema.names, *names])
+
+
 def blocks(batch: pa.RecordBatch, column: str, max_bytes: int, max_rows: int = 50_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the texts of ``column`` reach ``max_bytes``; a longer text stays whole."""
     import pyarrow.compute as pc

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from voxloom.llm.common import blocks, map_arrow, pick_rows, salted_join, stored
+from voxloom.llm.common import blocks, heat_join, map_arrow, pick_rows, salted_join, stored
 
 VARIABLE = "<*>"
 BLOCK_BYTES = 2_000_000
@@ -137,16 +137,17 @@ def recurring_lines(docs: DataFrame, how: TemplateTree = TemplateTree()) -> Data
     general = salted_join(template, spread_out.drop("m"), ["t1", "t2"], "inner", spread=F.col("e1"), salts=8)
     general = general.select(*line, F.col("first").alias("first_t"))
 
-    repeated = exact.where(F.col("docs") >= how.min_docs).select(*line, F.col("at.doc").alias("first_e"))
-    recurring = repeated.join(general, line, "full_outer")
-    hits = salted_join(lines, recurring, line, "inner", spread=F.xxhash64("doc"))
+    firsts = exact.where(F.col("docs") >= how.min_docs).select(*line, "docs", F.col("at.doc").alias("first_e"))
+    recurring = firsts.join(general, line, "full_outer").withColumn("docs", F.coalesce("docs", F.lit(1)))
+    recurring = stored(recurring, "recurring")
+    hits = heat_join(lines, recurring, line, weight="docs", total=exact.agg(F.sum("docs")).first()[0] or 0)
     # Null-safe: rows without an id have a null in their key.
     differs = [~F.col("doc").eqNullSafe(F.col(c)) & F.col(c).isNotNull() for c in ("first_e", "first_t")]
     return hits.where(differs[0] | differs[1]).groupBy("doc").agg(F.collect_set("pos").alias("drops"))
 
 
 def drop_recurring_lines(docs: DataFrame, how: TemplateTree = TemplateTree()) -> DataFrame:
-    """``(row, text, n_lines, n_dropped)`` per row: the row as it was, as a struct, and its remaining text.
+    """``(row, text, n_lines, n_dropped)`` per row: its other columns as a struct, and its remaining text.
 
     The document with the smallest id keeps a recurring line, all later ones lose
     it; inside one document a line may repeat.  Lines of fewer than ``min_tokens``
@@ -157,7 +158,9 @@ def drop_recurring_lines(docs: DataFrame, how: TemplateTree = TemplateTree()) ->
     in ``row`` untouched.
     """
     drops = recurring_lines(docs, how)
-    rows = docs.select(F.struct("*").alias("row"), _doc_key().alias("doc"), F.col("text").alias("body"))
+    # The text moves once: ``row`` is without it.
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    rows = docs.select(others.alias("row"), _doc_key().alias("doc"), F.col("text").alias("body"))
     rows = rows.withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
     left = rows.select("row", "body", "spread", F.col("doc.none"), F.coalesce("doc.id", F.lit(0)).alias("id"), F.col("doc.tid"))
     right = drops.select("drops", F.col("doc.none"), F.coalesce("doc.id", F.lit(0)).alias("id"), F.col("doc.tid"))
