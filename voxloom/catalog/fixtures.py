@@ -150,6 +150,10 @@ def sum_expr(values: str) -> str:
 
 def bad_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded rows, some with a null, ragged or empty layer, a null code, length or text."""
+    return damage_encoded(encoded(spark, sf_dir))
+
+
+def damage_encoded(rows: DataFrame) -> DataFrame:
     kind = F.col("doc_id") % 50
     layers = {
         "nano_layer_1": F.when(kind == 3, empty_ints()).otherwise(F.col("nano_layer_1")),
@@ -165,7 +169,7 @@ def bad_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
         "encoded_len": F.when(kind != 4, F.col("encoded_len")),
         "text": F.when(kind != 5, F.col("text")),
     }
-    return encoded(spark, sf_dir).withColumns(layers)
+    return rows.withColumns(layers)
 
 
 BAD_ENCODED_SQL = (

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from voxloom.catalog.build import BATCH, MERGED_SQL, padded_digests, padded_sql, sources
 from voxloom.catalog.fixtures import (
+    BAD_ENCODED_SQL,
     ENCODED_SQL,
     MAX_SECONDS,
+    damage_encoded,
     derived_layers,
     encoded,
     load_reshape_extractor,
@@ -43,7 +45,7 @@ from voxloom.plans import evaluation, preparation, training
 from voxloom.session import scratch_path
 from voxloom.sources import readers, writers
 from voxloom.specs import BuildRequest, CategoricalFilter, EncodedSource, PrepareRequest, merged_name
-from voxloom.streaming.build import stream_training_rows, write_available
+from voxloom.streaming.build import stream_rejects, stream_training_rows, write_available
 from voxloom.vocab import LAYERS, TRAINING_COLUMNS
 
 LAYER_DIGESTS = ", ".join(f"{md5_expr(name)} AS {name}" for name in LAYERS)
@@ -338,6 +340,29 @@ def evaluation_results(spark, sf):
     )
 
 
+def _document_stream(spark, sf):
+    """The documents as they arrive, as encoded rows."""
+    stream = (
+        spark.readStream.schema(table(spark, sf, "documents").schema)
+        .option("pathGlobFilter", "documents.parquet")
+        .parquet(sf)
+    )
+    return derived_layers(speakers(stream))
+
+
+@register(
+    "streamed_rejects",
+    f"""WITH {BAD_ENCODED_SQL} SELECT row_key, error FROM checked
+    WHERE error IS NOT NULL AND (encoded_len IS NULL OR encoded_len / 12.5 <= 30)""",
+)
+def streamed_rejects(spark, sf):
+    """Rows that a stream leaves out, with their reasons, in a sink of their own."""
+    out = scratch_path(spark, "stream-rejects")
+    rejects = stream_rejects(damage_encoded(_document_stream(spark, sf)), max_seconds=MAX_SECONDS)
+    write_available(rejects, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("row_key", "error")
+
+
 @register(
     "streamed_training_rows",
     f"""WITH {BUILT_SQL} SELECT row_key, {md5_expr("input_ids")} AS input_ids, {md5_expr("input_ids")} AS labels,
@@ -348,12 +373,7 @@ def evaluation_results(spark, sf):
 def streamed_training_rows(spark, sf):
     """The documents as a stream, built row by row into a Parquet sink."""
     out = scratch_path(spark, "stream")
-    stream = (
-        spark.readStream.schema(table(spark, sf, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-    )
-    rows = stream_training_rows(derived_layers(speakers(stream)), max_seconds=MAX_SECONDS)
+    rows = stream_training_rows(_document_stream(spark, sf), max_seconds=MAX_SECONDS)
     write_available(rows, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     built = spark.read.parquet(f"{out}/rows")
     return built.select("row_key", *[digest(c).alias(c) for c in TRAINING_COLUMNS])
