@@ -58,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, source, ids)``: the piece ids of every text, with merge-dropout."""
+    docs = docs.select("doc_id", "source", "text")
     rows = encode(docs, Pieces(PIECE_MODEL), Dropout(), F.xxhash64("doc_id", "text"))
     return rows.select("row.doc_id", "row.source", "ids")
 

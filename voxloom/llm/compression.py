@@ -15,9 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from voxloom.llm.common import blocks, labelled_sample, logistic_fit, row_and
+from voxloom.llm.common import blocks, labelled_sample, logistic_fit, row_and, whole_rows, with_fields
 
 BLOCK_BYTES = 4_000_000
 
@@ -110,7 +109,7 @@ def score_quality(docs: DataFrame, model: dict, how: QualityModel = QualityModel
         made = shipped.value
         compressors = None if "constant" in made else Compressors(made, how.level)
         for batch in batches:
-            for part in blocks(batch, "text", BLOCK_BYTES) if batch.num_rows else ():
+            for part in blocks(with_fields(batch, "text"), "text", BLOCK_BYTES) if batch.num_rows else ():
                 if compressors is None:
                     score, gap = np.full(part.num_rows, made["constant"]), [None] * part.num_rows
                 else:
@@ -120,5 +119,5 @@ def score_quality(docs: DataFrame, model: dict, how: QualityModel = QualityModel
                 columns = [part.column("row"), pa.array(score, pa.float64()), pa.array(gap, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "score", "difference"])
 
-    rows = docs.select(F.struct("*").alias("row"), "text")
+    rows = whole_rows(docs)
     return rows.mapInArrow(scored, row_and(rows, "score double, difference double"))

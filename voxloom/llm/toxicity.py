@@ -21,9 +21,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from voxloom.llm.common import blocks, labelled_sample, logistic_fit, map_arrow, row_and
+from voxloom.llm.common import blocks, labelled_sample, logistic_fit, map_arrow, row_and, whole_rows, with_fields
 
 BLOCK_BYTES = 1_000_000
 # Punctuation and white space part words; A-Z are lower-cased; bytes from 128 on are letters.
@@ -405,10 +404,10 @@ def score_toxicity(docs: DataFrame, model: dict[str, np.ndarray], how: ToxicityM
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batch, "text", BLOCK_BYTES):
+        for part in blocks(with_fields(batch, "text"), "text", BLOCK_BYTES):
             score, windows, at = score_texts(shipped.value, part.column("text").to_pylist(), how)
             columns = [part.column("row"), pa.array(score.astype(np.float64)), pa.array(windows.astype(np.int64)), pa.array(at.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "score", "n_windows", "top_word"])
 
-    rows = docs.select(F.struct("*").alias("row"), "text")
+    rows = whole_rows(docs)
     return map_arrow(rows, scored, row_and(rows, "score double, n_windows long, top_word long"))
