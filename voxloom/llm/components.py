@@ -12,7 +12,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``(a long, b long)`` links -> ``(v long, root long)``: each linked vertex and its component's smallest.
 
     Every round hooks each label onto its smallest lower neighbour, jumps
-    pointers twice and maps the links to the new labels; links inside a
+    pointers and maps the links to the new labels; links inside a
     component vanish.  Hooks always point downwards, so there are no cycles.
     Rounds are stored in the shared folder.  Null ends and self-links are
     ignored; no links give no rows.
@@ -22,21 +22,20 @@ def components(edges: DataFrame) -> DataFrame:
         edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(*ends).distinct(),
         "links",
     )
-    labels = stored(
-        links.select(F.explode(F.array("lo", "hi")).alias("v")).distinct().select("v", F.col("v").alias("root")), "labels"
-    )
+    # What follows has at most one row per link, or two for the labels.
+    size = links.count()
+    labels = links.select(F.explode(F.array("lo", "hi")).alias("v")).distinct().select("v", F.col("v").alias("root"))
+    labels = stored(labels, "labels", 2 * size)
     while not links.isEmpty():
-        hooks = stored(links.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("to")), "hooks")
-        for _ in range(2):
-            further = hooks.select(F.col("at").alias("to"), F.col("to").alias("next"))
-            hooks = stored(
-                hooks.join(further, "to", "left").select("at", F.coalesce("next", "to").alias("to")), "hooks"
-            )
+        hooks = stored(links.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("to")), "hooks", size)
+        further = hooks.select(F.col("at").alias("to"), F.col("to").alias("next"))
+        hooks = stored(hooks.join(further, "to", "left").select("at", F.coalesce("next", "to").alias("to")), "hooks", size)
         labels = stored(
             labels.join(hooks.withColumnRenamed("at", "root"), "root", "left").select(
                 "v", F.coalesce("to", "root").alias("root")
             ),
             "labels",
+            2 * size,
         )
         low = hooks.select(F.col("at").alias("lo"), F.col("to").alias("lo_to"))
         high = hooks.select(F.col("at").alias("hi"), F.col("to").alias("hi_to"))
@@ -48,5 +47,6 @@ def components(edges: DataFrame) -> DataFrame:
             .select(*ends)
             .distinct(),
             "links",
+            size,
         )
     return labels

@@ -314,6 +314,7 @@ def _search_unit(table: pa.Table, how: JaccardJoin) -> pa.Table:
 
 def class_links(docs: DataFrame, classes: DataFrame, how: JaccardJoin) -> DataFrame:
     """Steps 2 and 3: ``(a, b)`` stars over the class numbers that link, directly or through others."""
+    count = classes.count()
     postings = classes.select("vid", F.explode("prefix").alias("tok"))
     order = F.struct(F.xxhash64("vid").alias("h"), "vid")
     leaders = (
@@ -326,7 +327,7 @@ def class_links(docs: DataFrame, classes: DataFrame, how: JaccardJoin) -> DataFr
     clusters = components(shared.select("a", "b")).select(F.col("v").alias("vid"), F.col("root").alias("cluster"))
 
     members = stored(
-        clusters.join(classes.select("vid", "rep", F.col("cid").alias("of"), F.col("n").alias("size")), "vid"), "members"
+        clusters.join(classes.select("vid", "rep", F.col("cid").alias("of"), F.col("n").alias("size")), "vid"), "members", count
     )
     # Chunks by size: sizes are split at cumulative counts, equal sizes by a hash.
     by_size = members.groupBy("cluster", "size").agg(F.count("*").alias("m"))
@@ -342,6 +343,7 @@ def class_links(docs: DataFrame, classes: DataFrame, how: JaccardJoin) -> DataFr
             "vid", "rep", "of", "size", "cluster", "all", F.floor(chunk / how.chunk_docs).cast("long").alias("chunk")
         ),
         "chunks",
+        count,
     )
     width = how.words
 
