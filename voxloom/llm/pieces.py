@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import StringType, StructField, StructType
 
-from voxloom.llm.common import blocks, map_arrow, row_and
+from voxloom.llm.common import blocks, map_arrow, row_and, with_fields
 
 SPACE = "▁"
 BLOCK_BYTES = 1_000_000
 LONG_WORD = 64
-SLICE = 60_000
+SLICE = 120_000
 _LAST = np.int64(1) << 62  # agenda entries of no piece begin here
 _NO_SYMBOL = 65535  # stands for every character without a symbol
 _EMPTY = 0xFFFFFFFF
@@ -150,11 +150,14 @@ class _Words:
         """The piece that each pair makes, or -1 for none and for pairs that are skipped."""
         made = self.pieces.pair_pieces(left, right)
         real = np.flatnonzero(made >= 0)
-        t = text[real]
-        base = self.base[t]
-        made[real[~kept(self.keys[t], start[real] - base, middle[real] - base, end[real] - base, self.share)]] = -1
+        made[real[~self.keeps(text[real], start[real], middle[real], end[real])]] = -1
         return made
 
+    def keeps(self, text: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which pairs the dropout leaves in."""
+        base = self.base.take(text)
+        return kept(self.keys.take(text), start - base, middle - base, end - base, self.share)
+
 
 def _merge_short(words: _Words, sym: np.ndarray, text: np.ndarray, place: np.ndarray, sizes: np.ndarray, out: np.ndarray) -> None:
     """Run the agendas of all words at once; the symbols that remain go to ``out`` at their start.
@@ -169,13 +172,19 @@ def _merge_short(words: _Words, sym: np.ndarray, text: np.ndarray, place: np.nda
 
     def judge(left: np.ndarray) -> np.ndarray:
         """Agenda entries, (rank << 32 | place), of the pairs that begin at ``left``."""
-        at = place[left].astype(np.int64)
-        w = word[left]
+        made = words.pieces.pair_pieces(sym.take(left), sym.take(left + 1))
+        entries = np.full(len(left), _LAST)
+        real = np.flatnonzero(made >= 0)
+        if not len(real):
+            return entries
+        left, made = left[real], made[real]
+        w, start = word.take(left), place.take(left).astype(np.int64)
         beyond = np.minimum(left + 2, len(sym) - 1)
-        end = np.where((left + 2 < len(sym)) & (word[beyond] == w), place[beyond], ends[w])
-        made = words.pieces_of(sym[left], sym[left + 1], text[w], at, place[left + 1].astype(np.int64), end)
-        rank = words.pieces.ranks.take(made, mode="wrap")
-        return (rank << 32) | at
+        inside = (word.take(beyond) == w) & (beyond == left + 2)
+        end = np.where(inside, place.take(beyond), ends.take(w))
+        good = words.keeps(text.take(w), start, place.take(left + 1).astype(np.int64), end)
+        entries[real[good]] = (words.pieces.ranks.take(made[good]) << 32) | start[good]
+        return entries
 
     agenda = np.full(len(sym), _LAST)
     inner = np.ones(len(sym), bool)
@@ -319,14 +328,14 @@ def encode(docs: DataFrame, pieces: Pieces, how: Dropout = Dropout(), key: Colum
     shipped = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batch, "text", BLOCK_BYTES):
+        for part in blocks(with_fields(batch, "text"), "text", BLOCK_BYTES):
             numbers = np.asarray(part.column("key")).astype(np.int64).view(np.uint64)
             keys = _mix(numbers ^ np.uint64(how.seed * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
             found = encode_texts(shipped.value, part.column("text").to_pylist(), keys, how.share)
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.list_(pa.int32()))], names=["row", "ids"])
 
     number = F.coalesce((F.xxhash64("text") if key is None else key).cast("long"), F.lit(0))
-    rows = docs.select(F.struct("*").alias("row"), "text", number.alias("key"))
+    rows = docs.select(F.struct("*").alias("row"), number.alias("key"))
     return map_arrow(rows, run, row_and(rows, "ids array<int>"))
 
 
@@ -335,7 +344,8 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     shipped = encoded.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [decode_ids(shipped.value, None if not x.is_valid else x.values.to_pylist()) for x in batch.column("ids")]
+        ids = (x.values.to_numpy().tolist() if x.is_valid else None for x in batch.column("ids"))
+        texts = [decode_ids(shipped.value, x) for x in ids]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return map_arrow(encoded, run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
