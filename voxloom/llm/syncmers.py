@@ -73,8 +73,8 @@ def likeness(one: Column, other: Column) -> Column:
 
 
 def with_next(docs: DataFrame, into: str = "next_text") -> DataFrame:
-    """``(row, text, into)``: each row as a struct, its text, and that of the next row in descending ``doc_id``
-    (after the last: the first).
+    """``(row, text, into)``: each row's other columns as a struct, its text (null: empty), and that of the
+    next row in descending ``doc_id`` (after the last: the first).
 
     Rows are dealt to groups of neighbouring ids, as many as fit the shuffle
     partitions; crowded ranges of ids are cut finer.  The first row of a group also
@@ -87,7 +87,8 @@ def with_next(docs: DataFrame, into: str = "next_text") -> DataFrame:
     none = F.col("doc_id").isNull()
     # Larger ids come first; rows without an id are placed by their text.
     value = F.when(none, F.xxhash64("text").cast("double")).otherwise(-F.col("doc_id").cast("double"))
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), none.cast("int").alias("none"), value.alias("v"), "doc_id", F.xxhash64("text").alias("tid"))
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))  # the text moves once
+    rows = docs.select(others.alias("row"), F.coalesce("text", F.lit("")).alias("text"), none.cast("int").alias("none"), value.alias("v"), "doc_id", F.xxhash64("text").alias("tid"))
     spans = stored(rows.groupBy("none").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("m")), "spans")
     total = max(1, spans.agg(F.sum("m")).first()[0] or 0)
 
@@ -109,7 +110,7 @@ def with_next(docs: DataFrame, into: str = "next_text") -> DataFrame:
     before = F.coalesce("before", "end")
     guest = F.struct(*(before[c].alias(c) for c in group), F.lit(1).alias("guest"))
     dealt = rows.join(F.broadcast(heads), group).select(
-        F.when(F.lit(True), F.col("row")).alias("row"), "text", "v", "doc_id", "tid",
+        "row", "text", "v", "doc_id", "tid",
         F.explode(F.when(F.col("v") == F.col("head"), F.array(own, guest)).otherwise(F.array(own))).alias("to"),
     )
     dealt = dealt.select(F.when(F.col("to.guest") == 0, F.col("row")).alias("row"), "text", "doc_id", "v", "tid", *(F.col(f"to.{c}") for c in (*group, "guest")))
