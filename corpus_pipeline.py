@@ -49,11 +49,13 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, to the nearest whole copy; documents without words
-    have nothing to mix and stay once."""
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")))
-    rows = mix(docs, Mix()).select("row", copies.cast("int").alias("copies")).where("copies > 0")
-    return rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    """Documents as often as the mix takes them, to the nearest whole copy, in the order of the slots in
+    which the copies begin; documents without words have nothing to mix and stay once, at the end."""
+    rows = mix(docs, Mix()).select("row", "size", F.expr("filter(rounds, r -> 2 * r.words >= size).slot").alias("slots"))
+    rows = rows.select("row", F.when(F.col("size") == 0, F.array(F.lit(None).cast("long"))).otherwise(F.col("slots")).alias("slots"))
+    rows = rows.select("row", F.explode("slots").alias("slot"))
+    # Beside the slot something to part the rows that have none.
+    return rows.orderBy(F.col("slot").asc_nulls_last(), F.xxhash64("row.doc_id", "row.text")).select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

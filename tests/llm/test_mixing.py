@@ -75,3 +75,63 @@ def test_odd_tables(documents):
     assert len({r.taken for r in same}) == 1  # rows that repeat take the same
     lost = mx.mix(documents([prose(1, 50), prose(2, 70)], [None, None], ["s", "s"])).collect()
     assert sum(r.taken for r in lost) == 120
+
+
+def test_mixed_stream_follows_the_schedule(documents):
+    docs = table(documents)
+    docs = docs.unionByName(docs.where("doc_id % 40 = 1"))  # rows that repeat
+    how = mx.Mix(least_block=4)
+    rows = sorted(mx.mixed(docs, how).collect(), key=lambda r: (r.slot, r.place))
+    taken, sizes, total = defaultdict(int), {}, 0
+    whole = mx.mix(docs, how).collect()
+    for r in whole:
+        sizes[r.row.doc_id], total = r.size, total + r.size
+        assert sum(x.words for x in r.rounds) == r.taken
+    slots, place, inside = defaultdict(int), defaultdict(int), {}
+    seen = defaultdict(list)
+    for r in rows:
+        assert 0 <= r.first < r.last <= sizes[r.doc_id]
+        assert r.place == place[r.source]  # every source's stream is gone through without a gap
+        place[r.source] += r.last - r.first
+        slots[r.slot] += r.last - r.first
+        assert inside.setdefault(r.slot, r.source) == r.source  # a slot is one source's
+        taken[r.doc_id] += r.last - r.first
+        key = (r.doc_id, r.round, r.copy)
+        assert not seen[key] or seen[key][-1] == r.first  # a document's words are in order
+        seen[key].append(r.last)
+    # Only the last slot of all, and those of a source that has no more, are shorter than a block.
+    short = {k for k in slots if slots[k] != 4}
+    assert all(k == max(slots) or place[inside[k]] == 3 * sum(r.size for r in whole if r.row.source == inside[k]) for k in short)
+    rows_of = defaultdict(int)
+    for r in whole:
+        rows_of[r.row.doc_id] += 1
+    for r in whole:
+        assert r.taken == taken[r.row.doc_id] // rows_of[r.row.doc_id]
+    # Any run of slots holds the sources close to their shares.
+    share = {r.row.source: r.target / total for r in whole}
+    count = defaultdict(int)
+    for k in range(max(slots) + 1):
+        if k in inside:
+            count[inside[k]] += 1
+        if k % 50 == 49:
+            assert all(abs(count[s] - (k + 1) * share[s]) < 7 for s in share if s != "tiny")
+
+
+def test_wide_tables_join_without_a_broadcast(documents, monkeypatch):
+    docs = table(documents)
+    docs = docs.unionByName(docs.where("doc_id % 40 = 1"))
+    want = sorted((r.row.doc_id, r.taken, r.rounds) for r in mx.mix(docs).collect())
+    monkeypatch.setattr(mx, "BROADCAST_ROWS", 0)
+    assert sorted((r.row.doc_id, r.taken, r.rounds) for r in mx.mix(docs).collect()) == want
+
+
+def test_pipeline_copies_are_interleaved(spark, documents):
+    import corpus_pipeline as cp
+
+    # Read in the order of the files, the sources alternate as the slots do.
+    docs = documents([prose(i, 64) for i in range(240)] + [""], None, ["abc"[i // 80] for i in range(240)] + ["a"])
+    found = [r.source for r in cp.mix_sources(spark, docs, "").collect()]
+    assert found[-1] == "a"
+    for k in range(60, len(found), 60):
+        for s, share in (("a", 1 / 6), ("b", 2 / 6), ("c", 3 / 6)):
+            assert abs(found[:k].count(s) - k * share) < 6

@@ -7,9 +7,11 @@ documents one after the other in the order of a hash, over and over again, so it
 blocks are shuffled and equally long.  Any run of slots holds the sources close to
 their shares.
 
-Nothing but sizes moves: a document's share of its source's stream follows from
-sums over hash buckets, and only documents of the bucket where a stream stops need
-their own place in it.
+A document's words are an interval of its source's stream: sums over hash buckets say
+where a bucket begins, and the place inside the bucket does the rest.  The intervals
+of all rounds meet the slots by the number of the block, which gives the mixed stream
+of ``(slot, document, span)``; what the mix takes of a document is the sum of its
+spans.  Nothing but sizes moves for that.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxloom.llm.common import checked_join, salted_join, stored
+from voxloom.llm.common import BROADCAST_ROWS, checked_join, stored
 
 # 2**32 divided by the golden ratio, made odd: its multiples modulo 2**32 are the points.
 GOLDEN = 2654435769
@@ -117,58 +119,113 @@ def slot_size(total: int, how: Mix) -> tuple[int, int]:
     return block, -(-total // block)
 
 
-def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """``(row, size, source_size, target, taken)`` per row of ``docs(doc_id, text, source, ...)``.
+def _rows(docs: DataFrame, how: Mix) -> DataFrame:
+    return docs.select(F.struct("*").alias("row"), *_named(), *_place(how.buckets), words().alias("size"))
 
-    ``row`` is the row as it was, as a struct; ``taken`` counts the words that the
-    mix takes of it, repeats included.
 
-    Null text has no words, and takes none.  A null source is a source, after all
-    others.  Rows without an id are placed by their text; rows that repeat share a
-    place in the stream and take the same.  Sources without words, and tables
-    without any, have a target of 0.  An empty table gives no rows.  Other columns
-    are in ``row`` untouched, whatever their names.
+def _pieces(rows: DataFrame, how: Mix) -> tuple[DataFrame, DataFrame]:
+    """The mixed stream, ``(slot, unnamed, name, h, size, m, doc_id, round, a, begin, end)``, and the sources.
+
+    A row is the words from ``begin`` to ``end`` of a source's endless stream, which
+    lie in one slot and belong to the ``m`` equal documents whose words of that
+    round begin at ``a``.
     """
-    rows = docs.select(F.struct("*").alias("row"), *_named(), *_place(how.buckets), words().alias("size"))
-    sizes = stored(rows.drop("row"), "sizes")
+    sizes = stored(rows.select("unnamed", "name", "bucket", "h", "size", F.col("row.doc_id").alias("doc_id")), "sizes")
     sources = stored(targets(sizes, how), "sources")
     total = int(sources.agg(F.sum("source_size")).first()[0] or 0)
     block, slots = slot_size(total, how)
-    mine = stored(schedule(sources, how), "schedule").groupBy("sid")
-    mine = mine.agg(F.max("nth").alias("last"), F.max("slot").alias("slot"))
+    slot = stored(schedule(sources, how), "schedule")
+    mine = slot.groupBy("sid").agg(F.max("nth").alias("last"), F.max("slot").alias("slot"))
     # The last slot of all is as long as what is left of the total.
     beyond = F.when(F.col("slot") == slots - 1, F.lit(block * slots - total)).otherwise(F.lit(0))
-    taken = F.least((F.coalesce("last", F.lit(-1)) + 1) * block - beyond, how.most * F.col("source_size"))
-    ends = sources.join(mine, "sid", "left").select(sources["*"], taken.alias("words"))
-    once = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
-    ends = ends.select("*", once.alias("rounds")).select("*", (F.col("words") - F.col("rounds") * F.col("source_size")).alias("rest"))
-
-    # The bucket in which a source's last round stops.
-    sums = sizes.groupBy("unnamed", "name", "bucket").agg(F.sum("size").alias("m"))
-    upto = Window.partitionBy("unnamed", "name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("*", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("start"))
-    stops = (
-        starts.join(ends, ["unnamed", "name"])
-        .where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("m")))
-        .select("unnamed", "name", "bucket", (F.col("rest") - F.col("start")).alias("room"))
-    )
-    known = stored(
-        ends.join(stops.select("unnamed", "name", F.col("bucket").alias("stop"), "room"), ["unnamed", "name"], "left"), "ends"
-    )
-    # Documents of that bucket, in the order of their hash; equal ones share their part.
-    at_stop = salted_join(
-        sizes, known.where("stop is not null").select("unnamed", "name", F.col("stop").alias("bucket"), "room"),
-        ["unnamed", "name", "bucket"], "inner", spread=F.col("h"), salts=8,
+    upto = F.least((F.coalesce("last", F.lit(-1)) + 1) * block - beyond, how.most * F.col("source_size"))
+    ends = sources.join(mine, "sid", "left").select("unnamed", "name", "sid", "source_size", upto.alias("words"))
+    ends = stored(ends.where("words > 0"), "ends")
+
+    # Where a document's words begin: its bucket, then its place inside the bucket; equal ones are one interval.
+    sums = sizes.groupBy("unnamed", "name", "bucket").agg(F.sum("size").alias("words_in"))
+    earlier = Window.partitionBy("unnamed", "name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("unnamed", "name", "bucket", F.coalesce(F.sum("words_in").over(earlier), F.lit(0)).alias("start"))
+    same = sizes.where("size > 0").groupBy("unnamed", "name", "bucket", "h", "size")
+    same = same.agg(F.count("*").alias("m"), F.max("doc_id").alias("doc_id"))
+    before = Window.partitionBy("unnamed", "name", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(F.col("m") * F.col("size")).over(before), F.lit(0))
+    placed = same.select("*", inside.alias("inside")).join(starts, ["unnamed", "name", "bucket"])
+    placed = checked_join(placed, ends, ["unnamed", "name"], "inner", spread=F.col("h"))
+
+    # Its interval in every round up to the stream's end, cut at the blocks, meets the slots.
+    rounds = placed.select("*", F.explode(F.expr("sequence(0L, (words - 1) div source_size)")).alias("round"))
+    rounds = rounds.select("*", (F.col("round") * F.col("source_size") + F.col("start") + F.col("inside")).alias("a"))
+    rounds = rounds.select("*", F.least(F.col("a") + F.col("m") * F.col("size"), F.col("words")).alias("b")).where("a < b")
+    cut = rounds.select("*", F.explode(F.expr(f"sequence(a div {block}, (b - 1) div {block})")).alias("nth"))
+    met = cut.join(slot, ["sid", "nth"]).select(
+        "slot", "unnamed", "name", "h", "size", "m", "doc_id", "round", "a",
+        F.greatest("a", "first_word").alias("begin"), F.least("b", F.col("first_word") + block).alias("end"),
+    )
+    return stored(met, "mixed"), sources
+
+
+def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
+    """``(slot, place, doc_id, source, round, copy, first, last)``: the mixed stream of ``docs(doc_id, text, source)``.
+
+    A row says that the slot holds the document's words from number ``first`` up to
+    ``last``, exclusively; ordered by slot and place (the number of the word in
+    its source's endless stream) the rows are the whole mix.  ``round`` counts how
+    often the source's stream was gone through before, ``copy`` tells rows that
+    repeat apart.  A null source stays null; documents without words are in no slot.
+    """
+    found, _ = _pieces(_rows(docs, how), how)
+    copies = F.explode(F.expr("sequence((begin - a) div size, (end - a - 1) div size)"))
+    each = found.select("*", copies.alias("copy")).select("*", (F.col("a") + F.col("copy") * F.col("size")).alias("at"))
+    begin, end = F.greatest("begin", "at"), F.least("end", F.col("at") + F.col("size"))
+    return each.select(
+        "slot", begin.alias("place"), "doc_id", F.when(~F.col("unnamed"), F.col("name")).alias("source"), "round", "copy",
+        (begin - F.col("at")).alias("first"), (end - F.col("at")).alias("last"),
     )
-    same = at_stop.groupBy("unnamed", "name", "bucket", "h", "size").agg(F.count("*").alias("m"), F.first("room").alias("room"))
-    before = Window.partitionBy("unnamed", "name").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.col("m") * F.col("size")).over(before), F.lit(0))
-    part = F.floor(F.least(F.greatest(F.col("room") - used, F.lit(0)), F.col("m") * F.col("size")) / F.col("m"))
-    last = stored(same.select("unnamed", "name", "h", "size", part.cast("long").alias("part")), "last")
 
+
+def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
+    """``(row, size, source_size, target, taken, rounds)`` per row of ``docs(doc_id, text, source, ...)``.
+
+    ``row`` is the row as it was, as a struct; ``taken`` counts the words that the
+    mix takes of it, repeats included.  ``rounds`` has, for every round of the
+    source's stream in which the mix reaches it, ``(round, slot, words)``: the slot
+    of its first word and how many words are taken.
+
+    Null text has no words, and takes none.  A null source is a source, after all
+    others.  Rows without an id are placed by their text; rows that repeat share a
+    place in the stream and take the same.  Sources without words, and tables
+    without any, have a target of 0.  An empty table gives no rows.  Other columns
+    are in ``row`` untouched, whatever their names.
+    """
+    rows = _rows(docs, how)
+    found, sources = _pieces(rows, how)
+    keys = ["unnamed", "name", "h", "size"]
+    each = found.groupBy(*keys, "m", "round").agg(F.sum(F.col("end") - F.col("begin")).alias("words"), F.min_by("slot", "begin").alias("slot"))
+    part = F.struct("round", "slot", F.expr("words div m").alias("words"))
+    spans = each.groupBy(*keys, "m").agg(F.expr("sum(words) div m").alias("taken"), F.sort_array(F.collect_list(part)).alias("rounds"))
+    spans = stored(spans, "spans")
+
+    known = sources.select("unnamed", "name", "source_size", "target")
     whole = checked_join(rows, known, ["unnamed", "name"], "left", spread=F.col("h"))
-    # No stop: the stream ends on a round.
-    extra = F.when(F.col("stop").isNull() | (F.col("bucket") > F.col("stop")), 0).when(F.col("bucket") < F.col("stop"), F.col("size"))
-    both = checked_join(whole, last, ["unnamed", "name", "h", "size"], "left", spread=F.xxhash64("h"))
-    taken = F.col("size") * F.col("rounds") + F.coalesce(extra, "part", F.lit(0))
-    return both.select("row", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    both = _with_spans(whole, spans, keys)
+    none = F.lit([]).cast(spans.schema["rounds"].dataType)
+    taken, rounds = F.coalesce("taken", F.lit(0)).cast("long"), F.coalesce("rounds", none)
+    return both.select("row", "size", "source_size", "target", taken.alias("taken"), rounds.alias("rounds"))
+
+
+def _with_spans(rows: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` with a stored table of one row per document: broadcast while it is small,
+    else shuffled, but for documents that have at least one in 1,000 of the rows."""
+    count, weight = spans.agg(F.count("*"), F.sum("m")).first()
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(spans.drop("m")), keys, "left")
+    often = F.col("m") * 1000 >= weight
+    hot = spans.where(often).select(*keys, F.col("taken").alias("hot_taken"), F.col("rounds").alias("hot_rounds"))
+    cold = spans.where(~often).drop("m")
+    # Rows that have theirs go anywhere: a place is never negative.
+    anywhere = -1 - F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30))
+    left = rows.join(F.broadcast(hot), keys, "left")
+    left = left.withColumn("h", F.when(F.col("hot_taken").isNotNull(), anywhere).otherwise(F.col("h")))
+    both = left.join(cold.hint("merge"), keys, "left")
+    return both.withColumns({c: F.coalesce(f"hot_{c}", c) for c in ("taken", "rounds")}).drop("hot_taken", "hot_rounds")
