@@ -54,3 +54,21 @@ def test_odd_rows(documents, odd_texts):
 def test_a_line_may_repeat_inside_a_document(documents):
     text = f"{LICENSE}\n{LICENSE}\nx"
     assert sorted(kept(documents, [text, text])) == [(0, text, 3, 0), (1, "x", 3, 2)]
+
+
+def test_short_lines_go_where_many_documents_share_them(documents):
+    short = ["All rights reserved.", "版权所有翻印必究", "https://example.org/terms"]
+    texts = ["\n".join([f"own line of number {chr(97 + i) * 4}", "", *short]) for i in range(5)]
+    got = [t for _, t, *_ in sorted(kept(documents, texts))]
+    assert got == [texts[0], *(f"own line of number {chr(97 + i) * 4}\n" for i in range(1, 5))]  # blank lines stay
+    assert [t for _, t, *_ in sorted(kept(documents, texts[:4]))] == texts[:4]
+    # Short lines are not masked: numbers part them.
+    years = [f"Copyright {1990 + i} us" for i in range(8)]
+    assert [t for _, t, *_ in sorted(kept(documents, years))] == years
+
+
+def test_rows_of_numbers_are_no_copies(documents):
+    texts = ["1 2 3 4 5 6", "7 8 9 10 11 12", "total of 1 2 3 4 5 6", "total of 9 8 7 6 5 4", "7 8  9 10 11 12"]
+    assert [t for _, t, *_ in sorted(kept(documents, texts))] == [*texts[:4], ""]
+    many = [" ".join(str(100 * i + k) for k in range(8)) for i in range(9)]
+    assert [t for _, t, *_ in sorted(kept(documents, many))] == many

@@ -5,7 +5,9 @@ Lines are parsed to a fixed depth: a leaf is the number of tokens and the first
 many documents reach, a token is constant at its place if enough documents agree
 on it there, else it is generalised to ``<*>`` too; a line with too few constants
 has no template beyond itself.  A line goes from every document but the first if
-its masked form, or its template, recurs across documents.
+its masked form, or its template, recurs across documents.  A line with too few
+constants beside its masked fields counts as it is, and so does a line of few tokens,
+which must recur in as many documents as a template.
 
 The tree is a table: leaves, tokens and templates are counted by Spark, so it does
 not depend on the order of lines and grows with the number of tasks.
@@ -26,14 +28,16 @@ from pyspark.sql.types import ArrayType, StringType
 from voxloom.llm.common import blocks, heat_join, map_arrow, pick_rows, salted_join, stored
 
 VARIABLE = "<*>"
+SHORT = 0
 BLOCK_BYTES = 2_000_000
 _DIGIT = re.compile("[0-9]")
 
 
 @dataclass(frozen=True)
 class TemplateTree:
-    """Leading tokens of a leaf; least tokens of a line that may go; documents that make a
-    masked line, and a template, recur; least percentage of constants in a template."""
+    """Leading tokens of a leaf; least tokens of a line that is masked, may have a template and
+    goes from ``min_docs`` on; documents that make a line, and a template or a shorter line,
+    recur; least percentage of constants in a template and in a masked line."""
 
     depth: int = 3
     min_tokens: int = 6
@@ -54,7 +58,8 @@ _LINES = "id long, tid long, pos int, leaf long, e1 long, e2 long"
 
 
 def _parse(batch: pa.RecordBatch, how: TemplateTree) -> Iterator[pa.RecordBatch]:
-    """A row per line of enough tokens: its document, place, leaf and the hash of its masked form."""
+    """A row per line that is not blank: its document, place, leaf and the hash of the form that counts,
+    which is masked where enough stays constant.  Lines of few tokens count as they are, with the leaf ``SHORT``."""
     import numpy as np
     import xxhash
 
@@ -63,13 +68,18 @@ def _parse(batch: pa.RecordBatch, how: TemplateTree) -> Iterator[pa.RecordBatch]
         for own, text in enumerate(part.column("text")):
             for pos, line in enumerate(text.as_py().split("\n")):
                 tokens = line_tokens(line)
-                if len(tokens) < how.min_tokens:
+                if not tokens:
                     continue
+                short = len(tokens) < how.min_tokens
+                if short or (len(tokens) - tokens.count(VARIABLE)) * 100 < len(tokens) * how.constant_percent:
+                    whole = "\n".join(line.split())  # no masked form has a line end
+                else:
+                    whole = " ".join(tokens)
                 head = f"{len(tokens)} {' '.join(tokens[: how.depth])}"
-                whole = " ".join(tokens).encode("utf-8", "surrogatepass")
+                leaf = bytes(8) if short else xxhash.xxh3_64_digest(head.encode("utf-8", "surrogatepass"))
                 owns.append(own)
                 at.append(pos)
-                hashes.append(xxhash.xxh3_64_digest(head.encode("utf-8", "surrogatepass")) + xxhash.xxh3_128_digest(whole))
+                hashes.append(leaf + xxhash.xxh3_128_digest(whole.encode("utf-8", "surrogatepass")))
         numbers = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 3)
         whose = pa.array(owns, pa.int32())
         columns = [part.column("id").take(whose), part.column("tid").take(whose), pa.array(at, pa.int32())]
@@ -95,15 +105,17 @@ def recurring_lines(docs: DataFrame, how: TemplateTree = TemplateTree()) -> Data
         map_arrow(texts, lambda batch: _parse(batch, how), _LINES).select(doc, "pos", "leaf", "e1", "e2"), "lines"
     )
     line = ["leaf", "e1", "e2"]
-    per_doc = lines.groupBy(*line, "doc").agg(F.min("pos").alias("pos"))
-    exact = stored(
-        per_doc.groupBy(*line).agg(F.count("*").alias("docs"), F.min(F.struct("doc", "pos")).alias("at")), "exact"
+    per_doc = lines.groupBy(*line, "doc").agg(F.min("pos").alias("pos"), F.count("*").alias("m"))
+    exact = per_doc.groupBy(*line).agg(
+        F.count("*").alias("docs"), F.sum("m").alias("lines"), F.min(F.struct("doc", "pos")).alias("at")
     )
+    exact = stored(exact, "exact")
+    long = exact.where(F.col("leaf") != SHORT)
 
     # Leaves that several different lines of enough documents reach.
-    leaves = exact.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"))
+    leaves = long.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"))
     leaves = leaves.where((F.col("all") >= how.min_template_docs) & (F.col("kinds") > 1)).select("leaf")
-    open_lines = salted_join(exact, leaves, "leaf", "left_semi", spread=F.col("e1"), salts=8)
+    open_lines = salted_join(long, leaves, "leaf", "left_semi", spread=F.col("e1"), salts=8)
     wanted = stored(
         open_lines.select(*line, "docs", F.xxhash64("at.doc").alias("at"), F.col("at.pos").alias("at_pos")), "wanted"
     )
@@ -137,10 +149,11 @@ def recurring_lines(docs: DataFrame, how: TemplateTree = TemplateTree()) -> Data
     general = salted_join(template, spread_out.drop("m"), ["t1", "t2"], "inner", spread=F.col("e1"), salts=8)
     general = general.select(*line, F.col("first").alias("first_t"))
 
-    firsts = exact.where(F.col("docs") >= how.min_docs).select(*line, "docs", F.col("at.doc").alias("first_e"))
-    recurring = firsts.join(general, line, "full_outer").withColumn("docs", F.coalesce("docs", F.lit(1)))
+    enough = F.when(F.col("leaf") == SHORT, how.min_template_docs).otherwise(how.min_docs)
+    firsts = exact.where(F.col("docs") >= enough).select(*line, "lines", F.col("at.doc").alias("first_e"))
+    recurring = firsts.join(general, line, "full_outer").withColumn("lines", F.coalesce("lines", F.lit(1)))
     recurring = stored(recurring, "recurring")
-    hits = heat_join(lines, recurring, line, weight="docs", total=exact.agg(F.sum("docs")).first()[0] or 0)
+    hits = heat_join(lines, recurring, line, weight="lines", total=exact.agg(F.sum("lines")).first()[0] or 0)
     # Null-safe: rows without an id have a null in their key.
     differs = [~F.col("doc").eqNullSafe(F.col(c)) & F.col(c).isNotNull() for c in ("first_e", "first_t")]
     return hits.where(differs[0] | differs[1]).groupBy("doc").agg(F.collect_set("pos").alias("drops"))
@@ -151,7 +164,8 @@ def drop_recurring_lines(docs: DataFrame, how: TemplateTree = TemplateTree()) ->
 
     The document with the smallest id keeps a recurring line, all later ones lose
     it; inside one document a line may repeat.  Lines of fewer than ``min_tokens``
-    tokens always stay, so do null and empty texts.  Rows with equal id and text
+    tokens go if they are the same, but for white space, in ``min_template_docs``
+    documents; blank lines, null and empty texts stay.  Rows with equal id and text
     are one document and keep the same lines; rows without an id come after all
     others and are told apart by their text.  Ties cannot occur: keys are distinct.
     An empty table gives an empty result.  Other columns, whatever their names, are
