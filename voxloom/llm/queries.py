@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.common import held_out, read
 from voxloom.session import scratch_path
+from voxloom.llm.codes import books_digest, compress, label_errors
 from voxloom.llm.compression import fit_quality, score_quality
 from voxloom.llm.jaccard import JaccardJoin, jaccard_classes
+from voxloom.llm.langid import fit_language, predict_language
+from voxloom.llm.merkle import manifest
 from voxloom.llm.mixing import mix
 from voxloom.llm.ownership import printed, scan_secrets
 from voxloom.llm.pieces import Pieces, decode, encode
@@ -146,6 +149,29 @@ def op9_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(vectors, F.col("id") % 100 == 0)
 
 
+@_query
+def op11_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs)
+    found = predict_language(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op12_member_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    coded, books = compress(vectors)
+    return label_errors(coded).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256")
+    )
+
+
+@_query
+def op13_merkle_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return manifest(docs)
+
+
 ORACLES["op9_norm_buckets"] = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
@@ -241,3 +267,103 @@ SELECT doc_id, docs.size, source_size, target,
 FROM docs JOIN ends ON docs.source IS NOT DISTINCT FROM ends.source
 JOIN placed ON docs.source IS NOT DISTINCT FROM placed.source AND docs.h = placed.h AND docs.size = placed.size
 """
+
+
+def _rounds(n: int) -> str:
+    """The CTEs of ``n`` rounds: ``a<k>`` assigns to the books ``b<k-1>``, ``b<k>`` are the books after it."""
+    out = []
+    for k in range(1, n + 1):
+        out.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT r, p, min(d * 16 + k) % 16 AS k FROM (
+    SELECT parts.r, parts.p, b.k, list_sum(list_transform(list_zip(parts.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM parts JOIN b{k - 1} b ON parts.p = b.p
+  ) GROUP BY r, p
+), m{k} AS (
+  SELECT p, k, list(m ORDER BY j) AS c FROM (
+    SELECT p, k, j, CAST((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM (
+      SELECT p, k, unnest(c) AS x, generate_subscripts(c, 1) AS j FROM parts JOIN a{k} USING (r, p)
+    ) GROUP BY p, k, j
+  ) GROUP BY p, k
+), b{k} AS MATERIALIZED (
+  SELECT b.p, b.k, coalesce(m.c, b.c) AS c FROM b{k - 1} b LEFT JOIN m{k} m ON b.p = m.p AND b.k = m.k
+),""")
+    return "".join(out)
+
+
+ORACLES["op12_member_lloyd"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT r, vec_id, label, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS c
+  FROM kept, LATERAL (SELECT unnest(range(0, 8)) AS p)
+), b0 AS MATERIALIZED (
+  SELECT p, k, c FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, c FROM parts) WHERE k < 16
+),{_rounds(6)}
+best AS (
+  SELECT r, p, min(d * 16 + k) AS dk FROM (
+    SELECT parts.r, parts.p, b.k, list_sum(list_transform(list_zip(parts.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM parts JOIN b6 b ON parts.p = b.p
+  ) GROUP BY r, p
+), coded AS (
+  SELECT r, string_agg(printf('%02x', CAST(dk % 16 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(dk // 16) AS BIGINT) AS error FROM best GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b6
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), books
+"""
+
+ORACLES["op13_merkle_rollup"] = f"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list(list_reduce(range(0, 8), lambda c, j: xor(c >> 1, (c & 1) * 3988292384), i) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256)) AS i)
+), fields AS (
+  SELECT *, {" || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang"))} AS before,
+    coalesce(strlen(text) || ':' || text, '-') AS after, coalesce('=' || lang, '') AS g,
+    xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 7 = 0 AS tampered
+  FROM documents, crc
+), hashed AS (
+  SELECT g, doc_id, sha256(before || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || after) AS leaf,
+    sha256(before || coalesce(strlen(CAST(n_chars + CAST(tampered AS INT) AS VARCHAR)) || ':' || (n_chars + CAST(tampered AS INT)), '-') || after) AS used
+  FROM fields
+), docs AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, row_number() OVER () AS r FROM hashed
+), levels AS (
+  SELECT g, 0 AS level, list(leaf ORDER BY i) AS h FROM docs GROUP BY g
+  UNION ALL
+  SELECT g, level + 1, list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], '')))
+  FROM levels WHERE len(h) > 1
+), subroots AS MATERIALIZED (
+  SELECT g, h[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS i FROM levels WHERE len(h) = 1
+), uppers AS (
+  SELECT 0 AS level, list(subroot ORDER BY i) AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], '')))
+  FROM uppers WHERE len(h) > 1
+), nodes AS MATERIALIZED (
+  SELECT g, level, unnest(h) AS hash, generate_subscripts(h, 1) - 1 AS i FROM levels WHERE len(h) > 1
+), tops AS MATERIALIZED (
+  SELECT level, unnest(h) AS hash, generate_subscripts(h, 1) - 1 AS i FROM uppers WHERE len(h) > 1
+), steps AS (
+  SELECT r, l.level, CASE WHEN (d.i >> l.level) & 1 = 1 THEN n.hash || '|' ELSE '|' || coalesce(n.hash, '') END AS step
+  FROM docs d JOIN (SELECT DISTINCT g, level FROM nodes) l ON l.g = d.g
+  LEFT JOIN nodes n ON n.g = d.g AND n.level = l.level AND n.i = xor(d.i >> l.level, 1)
+  UNION ALL
+  SELECT r, 1000 + l.level, CASE WHEN (s.i >> l.level) & 1 = 1 THEN n.hash || '|' ELSE '|' || coalesce(n.hash, '') END
+  FROM docs d JOIN subroots s ON s.g = d.g, (SELECT DISTINCT level FROM tops) l
+  LEFT JOIN tops n ON n.level = l.level AND n.i = xor(s.i >> l.level, 1)
+), paths AS (
+  SELECT r, list(step ORDER BY level) AS path FROM steps GROUP BY r
+), folded AS (
+  SELECT doc_id, leaf, subroot, (SELECT h[1] FROM uppers WHERE len(h) = 1) AS root,
+    sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+    list_reduce(coalesce(path, []), lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2)), used) AS folded_root
+  FROM docs d JOIN subroots s ON s.g = d.g LEFT JOIN paths p ON p.r = d.r
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
