@@ -25,6 +25,7 @@ from voxloom.llm.common import blocks, held_out, row_and
 BLOCK_BYTES = 4_000_000
 PAD = 255  # no byte of UTF-8
 UNKNOWN = "und"
+_HASHES = 1 << 40
 _LETTERS = np.array([65 <= b <= 90 or 97 <= b <= 122 or 128 <= b < PAD for b in range(256)])
 _FOLDED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)  # A-Z as a-z
 
@@ -226,13 +227,16 @@ def language_sample(docs: DataFrame, how: LanguageModel = LanguageModel()) -> tu
     rows with one id the smallest language and text count.
     """
     known = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.languages)
-    names = [row["lang"] for row in frequent.collect()]
-    ranks = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.where(F.col("lang").isin(names)).select("lang", "doc_id", F.row_number().over(ranks).alias("rank"))
-    ids = [(row["doc_id"], row["lang"]) for row in ranked.where(F.col("rank") <= how.per_language).collect()]
-    if not ids:
+    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.languages).collect()
+    if not frequent:
         return [], []
+    # The smallest hashes lie below a bound that about twice as many rows as needed pass, however many there are.
+    bounds = [F.lit(x) for row in frequent for x in (row["lang"], min(_HASHES, _HASHES * (2 * how.per_language + 100) // row["count"]))]
+    hashed = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)).alias("hash"))
+    near = hashed.where(F.col("hash") < F.try_element_at(F.create_map(*bounds), "lang"))
+    ranks = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    ranked = near.select("lang", "doc_id", F.row_number().over(ranks).alias("rank"))
+    ids = [(row["doc_id"], row["lang"]) for row in ranked.where(F.col("rank") <= how.per_language).collect()]
     chosen = docs.sparkSession.createDataFrame(sorted(set(ids)), "id long, name string")
     rows = (
         known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("name")))
