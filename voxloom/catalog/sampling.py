@@ -45,14 +45,20 @@ def subsample_equal_keys(spark, sf):
 
 @register(
     "assign_batches_equal_keys",
-    "SELECT doc_id, count(*) OVER () AS n FROM documents",
+    """
+    WITH whole AS (SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS total FROM documents)
+    SELECT batch_id, least(8, n - 8 * batch_id) AS batch_rows, n AS distinct_docs, total AS sum_of_ids
+    FROM whole, LATERAL (SELECT unnest(range(0, (n + 7) // 8)) AS batch_id)
+    """,
 )
 def assign_batches_equal_keys(spark, sf):
-    """Batches over keys that many rows share hold every row once."""
+    """Batches over keys that many rows share: numbered without gaps, full but for the last, every row in one."""
     docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") != "fr", F.col("lang")).alias("kind"))
     out = batching.assign_batches(docs, key=["kind"], batch_size=8, unique=False)
-    full = out.groupBy("batch_id").agg(F.collect_list("doc_id").alias("ids")).select(F.explode("ids").alias("doc_id"))
-    return full.select("doc_id", F.lit(docs.count()).cast("bigint").alias("n"))
+    distinct = out.agg(F.count_distinct("doc_id").alias("n")).scalar()
+    per_batch = out.groupBy("batch_id").agg(F.count("*").alias("batch_rows"))
+    total = out.agg(F.sum("doc_id").alias("total")).scalar()
+    return per_batch.select("batch_id", "batch_rows", distinct.alias("distinct_docs"), total.alias("sum_of_ids"))
 
 
 @register(

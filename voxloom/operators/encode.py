@@ -6,6 +6,8 @@ The callables are loaded once per task.  A model gets one value at a time, or, w
 ``batch_rows`` above 1, lists of at most that many values and ``BATCH_BYTES`` bytes;
 a list that fails is tried again value by value.  Output leaves the worker as soon
 as it reaches ``OUTPUT_BYTES``, however small the rows were that it was made from.
+With ``isolation`` the calls are made in a child process: a row on which the model
+dies or hangs gets ``worker_lost`` or ``timed_out`` as its error, and the others go on.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from voxloom.functions.audio import AudioLoader
+from voxloom.operators.isolation import Isolated, Isolation, Run
 from voxloom.vocab import LAYERS, SAMPLE_RATE
 
 # waveform -> (one code sequence per layer, number of frames)
@@ -101,6 +104,30 @@ def _isolated(call: Callable[[list[Any]], Sequence[Any]], values: list[Any]) ->
         return [_isolated(call, [v])[0] for v in values]
 
 
+def _window_runner(load: Callable[[], Job], batch_rows: int, batch_bytes: int) -> Callable[[], Run]:
+    """Loads a function from rows of input values to rows of produced values, an exception in a failed one's place."""
+
+    def loaded() -> Run:
+        prepare, work = load()
+
+        def run(rows: list[list[Any]]) -> list[Any]:
+            prepared: list[Any] = []
+            for values in rows:
+                try:
+                    prepared.append(prepare(*values))
+                except Exception as exc:  # isolate the row
+                    prepared.append(exc)
+            made = list(prepared)
+            for chosen in _cut_lists(prepared, batch_rows, batch_bytes):
+                for i, result in zip(chosen, _isolated(work, [prepared[i] for i in chosen])):
+                    made[i] = result
+            return made
+
+        return run
+
+    return loaded
+
+
 def _row_job(
     df: DataFrame,
     *,
@@ -112,6 +139,7 @@ def _row_job(
     batch_rows: int = 1,
     batch_bytes: int = BATCH_BYTES,
     output_bytes: int = OUTPUT_BYTES,
+    isolation: Isolation | None = None,
 ) -> DataFrame:
     """Run a job on the ``inputs`` of every row, keeping other columns.
 
@@ -121,47 +149,45 @@ def _row_job(
     returned = T.StructType([*produced, T.StructField(error, T.StringType())])
     kind = to_arrow_type(returned)
     window = max(1, batch_rows)
+    loaded = _window_runner(load, batch_rows, batch_bytes)
 
     @F.arrow_udf(returned)
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        prepare, work = load()
+        model = loaded() if isolation is None else Isolated(loaded, isolation)
 
         def failed(reason: Any) -> pa.Array:
             text = reason if isinstance(reason, str) else str(reason) or type(reason).__name__
             return pa.array([{error: text}], kind)
 
-        for before, *columns in batches:
-            pieces: list[pa.Array] = []
-            held = 0
-            for start in range(0, len(before), window):
-                places = range(start, min(start + window, len(before)))
-                reasons = [before[i].as_py() for i in places]
-                prepared: list[Any] = []
-                for i, reason in zip(places, reasons):
-                    values = [] if reason is not None else [_value(c[i]) for c in columns]
-                    try:
-                        prepared.append(RuntimeError(reason) if reason is not None else prepare(*values))
-                    except Exception as exc:  # isolate the row
-                        prepared.append(exc)
-                rows: list[Any] = list(prepared)
-                for chosen in _cut_lists(prepared, batch_rows, batch_bytes):
-                    for i, result in zip(chosen, _isolated(work, [prepared[i] for i in chosen])):
-                        rows[i] = result
-                for row, reason in zip(rows, reasons):
-                    if isinstance(row, Exception):
-                        piece = failed(reason if reason is not None else row)
-                    else:
-                        try:
-                            piece = pa.array([dict(row)], kind)
-                        except Exception as exc:  # not what the columns hold
-                            piece = failed(exc)
-                    pieces.append(piece)
-                    held += piece.nbytes
-                    if held >= output_bytes:
-                        yield pa.concat_arrays(pieces)
-                        pieces, held = [], 0
-            if pieces:
-                yield pa.concat_arrays(pieces)
+        try:
+            for before, *columns in batches:
+                pieces: list[pa.Array] = []
+                held = 0
+                for start in range(0, len(before), window):
+                    places = range(start, min(start + window, len(before)))
+                    rows: list[Any] = [before[i].as_py() for i in places]  # earlier reasons
+                    wanted = [k for k, reason in enumerate(rows) if reason is None]
+                    values = [[_value(c[start + k]) for c in columns] for k in wanted]
+                    for k, made in zip(wanted, model(values) if values else ()):
+                        rows[k] = made
+                    for row in rows:
+                        if isinstance(row, (str, Exception)):
+                            piece = failed(row)
+                        else:
+                            try:
+                                piece = pa.array([dict(row)], kind)
+                            except Exception as exc:  # not what the columns hold
+                                piece = failed(exc)
+                        pieces.append(piece)
+                        held += piece.nbytes
+                        if held >= output_bytes:
+                            yield pa.concat_arrays(pieces)
+                            pieces, held = [], 0
+                if pieces:
+                    yield pa.concat_arrays(pieces)
+        finally:
+            if isolation is not None:
+                model.close()
 
     earlier = F.col(error) if error in df.columns else F.lit(None).cast("string")
     # Not deterministic to the optimizer, so that no filter on the result makes it run the model twice.
@@ -184,6 +210,7 @@ def _audio_job(
     error: str,
     batch_rows: int,
     wanted: Column | None = None,
+    isolation: Isolation | None = None,
 ) -> DataFrame:
     """Run a model over an audio column; rows that are not ``wanted`` are only decoded."""
 
@@ -209,6 +236,7 @@ def _audio_job(
         produced=produced,
         error=error,
         batch_rows=batch_rows,
+        isolation=isolation,
     )
 
 
@@ -219,6 +247,7 @@ def encode_audio(
     audio: str = "audio",
     loader: AudioLoader = AudioLoader(),
     batch_rows: int = 1,
+    isolation: Isolation | None = None,
     error: str = "error",
 ) -> DataFrame:
     """Replace the audio column by four code layers, ``encoded_len`` and ``error``.
@@ -240,7 +269,14 @@ def encode_audio(
     produced = [T.StructField(n, _INTS) for n in LAYERS]
     produced.append(T.StructField("encoded_len", T.IntegerType()))
     return _audio_job(
-        df, audio=audio, loader=loader, load=load, produced=produced, error=error, batch_rows=batch_rows
+        df,
+        audio=audio,
+        loader=loader,
+        load=load,
+        produced=produced,
+        error=error,
+        batch_rows=batch_rows,
+        isolation=isolation,
     )
 
 
@@ -253,6 +289,7 @@ def extract_features(
     features: Sequence[str] = FEATURES,
     batch_rows: int = 1,
     wanted: Column | None = None,
+    isolation: Isolation | None = None,
     error: str = "error",
 ) -> DataFrame:
     """Replace the audio column by feature matrices (features by frames) and ``error``.
@@ -281,6 +318,7 @@ def extract_features(
         error=error,
         batch_rows=batch_rows,
         wanted=wanted,
+        isolation=isolation,
     )
 
 
@@ -302,6 +340,7 @@ def decode_audio(
     layers: Sequence[str] = LAYERS,
     audio: str = "audio",
     batch_rows: int = 1,
+    isolation: Isolation | None = None,
     error: str = "error",
 ) -> DataFrame:
     """Replace the code layers by decoded audio at the codec's rate, and ``error``.
@@ -326,6 +365,7 @@ def decode_audio(
         produced=[_produced_audio(audio)],
         error=error,
         batch_rows=batch_rows,
+        isolation=isolation,
     )
 
 
@@ -336,6 +376,7 @@ def generate_audio(
     text: str = "text",
     speaker: str = "speaker",
     audio: str = "audio",
+    isolation: Isolation | None = None,
     error: str = "error",
 ) -> DataFrame:
     """Add generated speech for each row's text and speaker, and ``error``."""
@@ -351,6 +392,7 @@ def generate_audio(
         load=load,
         produced=[_produced_audio(audio)],
         error=error,
+        isolation=isolation,
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions.audio import AudioLoader
-from voxloom.operators.encode import Encoder, encode_audio
+from voxloom.operators.encode import BatchEncoder, Encoder, encode_audio
+from voxloom.operators.isolation import Isolation
 from voxloom.operators.report import observed, prep_counters, run_report, split_rejects
 from voxloom.operators.rows import attach_text, resolve_speaker, union_sources
 from voxloom.session import remove_table, scratch_path
@@ -20,12 +21,18 @@ from voxloom.specs import PrepareRequest, RawSource, merged_name
 def prepare_source(
     df: DataFrame,
     source: RawSource,
-    load_encoder: Callable[[], Encoder],
+    load_encoder: Callable[[], Encoder] | Callable[[], BatchEncoder],
     *,
     loader: AudioLoader = AudioLoader(),
     key: str | None = None,
+    batch_rows: int = 1,
+    isolation: Isolation | None = None,
 ) -> DataFrame:
-    """Encoded rows of one source, failed ones included with their error."""
+    """Encoded rows of one source, failed ones included with their error.
+
+    With ``batch_rows`` above 1 the encoder gets lists of waveforms; with
+    ``isolation`` it runs in a process of its own.
+    """
     named = resolve_speaker(
         attach_text(df, text_column=source.text_column, into="_text"),
         speaker_column=source.speaker_column,
@@ -38,30 +45,33 @@ def prepare_source(
         F.col("_speaker").cast("string").alias("speaker"),
         F.col(source.audio_column).alias("audio"),
     )
-    return encode_audio(named, load_encoder, loader=loader)
+    return encode_audio(named, load_encoder, loader=loader, batch_rows=batch_rows, isolation=isolation)
 
 
 def prepare_sources(
     sources: Sequence[tuple[DataFrame, RawSource]],
-    load_encoder: Callable[[], Encoder],
+    load_encoder: Callable[[], Encoder] | Callable[[], BatchEncoder],
     *,
     loader: AudioLoader = AudioLoader(),
     key: str | None = None,
+    batch_rows: int = 1,
+    isolation: Isolation | None = None,
 ) -> DataFrame:
     """Encoded rows of all sources, with ``source`` and ``error``."""
-    return union_sources(
-        [prepare_source(df, spec, load_encoder, loader=loader, key=key) for df, spec in sources]
-    )
+    how = {"loader": loader, "key": key, "batch_rows": batch_rows, "isolation": isolation}
+    return union_sources([prepare_source(df, spec, load_encoder, **how) for df, spec in sources])
 
 
 def prepare_audio_files(
     files: DataFrame,
     transcripts: DataFrame,
     source: RawSource,
-    load_encoder: Callable[[], Encoder],
+    load_encoder: Callable[[], Encoder] | Callable[[], BatchEncoder],
     *,
     loader: AudioLoader = AudioLoader(),
     on: str = "file",
+    batch_rows: int = 1,
+    isolation: Isolation | None = None,
 ) -> DataFrame:
     """Encoded rows of a transcript table whose audio lies in files.
 
@@ -69,7 +79,11 @@ def prepare_audio_files(
     transcript without its file is a failed row.
     """
     codes = encode_audio(
-        files.select(on, F.col(source.audio_column).alias("audio")), load_encoder, loader=loader
+        files.select(on, F.col(source.audio_column).alias("audio")),
+        load_encoder,
+        loader=loader,
+        batch_rows=batch_rows,
+        isolation=isolation,
     ).withColumn("_found", F.lit(True))
     named = resolve_speaker(
         attach_text(transcripts, text_column=source.text_column, into="_text"),
@@ -95,11 +109,13 @@ def run_preparation(
     spark: SparkSession,
     request: PrepareRequest,
     root: str,
-    load_encoder: Callable[[], Encoder],
+    load_encoder: Callable[[], Encoder] | Callable[[], BatchEncoder],
     *,
     loader: AudioLoader = AudioLoader(),
     progress: Observation | None = None,
     staging: str | None = None,
+    batch_rows: int = 1,
+    isolation: Isolation | None = None,
 ) -> DataFrame:
     """Encode and merge the sources below ``root``; returns the one-row run report.
 
@@ -107,12 +123,14 @@ def run_preparation(
     folder, and the merged JSON, the published dataset, the rejects and the
     report all read that table.  It is removed once all of them are written, unless
     ``staging`` names its place.  ``progress`` is filled with the run's counters
-    as soon as the models are done.
+    as soon as the models are done.  With ``batch_rows`` above 1 the encoder gets
+    lists of waveforms; with ``isolation`` a waveform on which it dies or hangs is
+    a failed row, and the run goes on.
     """
     sources = [
         (load_raw_audio(spark, root, s.dataset_name, split=s.split), s) for s in request.datasets
     ]
-    encoded = prepare_sources(sources, load_encoder, loader=loader)
+    encoded = prepare_sources(sources, load_encoder, loader=loader, batch_rows=batch_rows, isolation=isolation)
     if progress is not None:
         encoded = observed(encoded, progress)
     stage = staging or scratch_path(spark, "prepare")
