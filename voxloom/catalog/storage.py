@@ -37,7 +37,7 @@ from voxloom.catalog.preparation import (
 )
 from voxloom.catalog.registry import register
 from voxloom.catalog.scoring import COMPARED_SQL, REQUEST, generated, recordings, summary_sql
-from voxloom.catalog.sequences import BUILT_SQL
+from voxloom.catalog.sequences import BUILT_SQL, built
 from voxloom.functions.arrays import digest, int_sum
 from voxloom.functions.audio import AudioLoader
 from voxloom.operators import report
@@ -45,6 +45,7 @@ from voxloom.plans import evaluation, preparation, training
 from voxloom.session import scratch_path
 from voxloom.sources import readers, writers
 from voxloom.specs import BuildRequest, CategoricalFilter, EncodedSource, PrepareRequest, merged_name
+from voxloom.streaming.batches import StreamBatches
 from voxloom.streaming.build import stream_rejects, stream_training_rows, write_available
 from voxloom.vocab import LAYERS, TRAINING_COLUMNS
 
@@ -377,3 +378,32 @@ def streamed_training_rows(spark, sf):
     write_available(rows, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     built = spark.read.parquet(f"{out}/rows")
     return built.select("row_key", *[digest(c).alias(c) for c in TRAINING_COLUMNS])
+
+
+# Batches of rows that arrive in three parts, each a run of the stream; 32 rows are shuffled at a time.
+STREAM_BATCH, STREAM_RUN = 8, 32
+
+
+@register(
+    "streamed_batches",
+    f"""WITH {BUILT_SQL},
+    numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM built),
+    placed AS (
+      SELECT *, i // {STREAM_RUN} * {STREAM_RUN}
+        + row_number() OVER (PARTITION BY i // {STREAM_RUN} ORDER BY md5('42:' || doc_id), doc_id) - 1 AS place FROM numbered),
+    batched AS (SELECT *, place // {STREAM_BATCH} AS batch_id FROM placed)
+    {padded_sql("doc_id, batch_id", "batched")}""",
+)
+def streamed_batches(spark, sf):
+    """The training rows come in three parts, the stream stopping after each; batches go on where they ended."""
+    place = scratch_path(spark, "stream-batches")
+    rows = built(spark, sf).select("doc_id", *TRAINING_COLUMNS)
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    low, high = low or 0, high or 0
+    batches = StreamBatches(f"{place}/set", STREAM_BATCH, key=["doc_id"], order=["doc_id"], shuffle_rows=STREAM_RUN)
+    for part in range(3):
+        here = F.floor((F.col("doc_id") - low) * 3 / F.lit(high - low + 1)) == part
+        rows.where(here).write.mode("append").parquet(f"{place}/inbox")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{place}/inbox")
+        batches.run(stream, f"{place}/checkpoint").awaitTermination()
+    return padded_digests(batches.read(spark, with_open=True), "doc_id", "batch_id")

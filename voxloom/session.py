@@ -75,3 +75,27 @@ def remove_table(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path!r} is not a staged table")
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    place, system = _file_system(spark, path)
+    return [found.getPath().getName() for found in system.listStatus(place)] if system.exists(place) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the library itself has written."""
+    place, system = _file_system(spark, path)
+    system.delete(place, True)
+
+
+def move_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder that the library itself has written another name in the same file system."""
+    place, system = _file_system(spark, path)
+    if not system.rename(place, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"cannot move {path!r} to {to!r}")
