@@ -8,7 +8,9 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.functions.arrays import empty_ints
 from voxloom.functions.frames import within_duration
+from voxloom.functions.hashing import hash_bucket, order_hash
 from voxloom.functions.sequences import ones_like, sequence_length
 from voxloom.functions.text import Tokenizer
 from voxloom.operators.batching import pad_to, with_batch_length
@@ -21,12 +23,13 @@ from voxloom.operators.frames import (
     require_sound,
 )
 from voxloom.operators.rows import union_sources
-from voxloom.operators.sampling import SAMPLE_SEED, global_shuffle, subsample
+from voxloom.operators.sampling import SAMPLE_SEED, bucket_count, global_shuffle, subsample
 from voxloom.operators.sequences import add_training_columns, tokenize_text, training_projection
+from voxloom.session import delete_folder
 from voxloom.sources.readers import load_encoded
-from voxloom.sources.writers import write_training_set
+from voxloom.sources.writers import write_judged_set, write_training_set
 from voxloom.specs import BuildRequest
-from voxloom.vocab import DEFAULT_LAYOUT, TokenLayout
+from voxloom.vocab import DEFAULT_LAYOUT, LAYERS, TokenLayout
 
 OnError = Literal["reject", "fail"]
 
@@ -121,6 +124,41 @@ def training_set(
     return build_rows(shuffled, tokenizer=tokenizer, layout=layout)
 
 
+def judged_set(
+    sources: Sequence[tuple[DataFrame, int | None]],
+    *,
+    max_seconds: float | None = 30,
+    tokenizer: Tokenizer | None = None,
+    layout: TokenLayout = DEFAULT_LAYOUT,
+    seed: int = SAMPLE_SEED,
+    on_error: OnError = "reject",
+    partitions: int | None = None,
+) -> DataFrame:
+    """The rows of ``training_set``, and beside them the rejected ones with their ``error``.
+
+    The partitions are those of the training set; in each the sound rows come first,
+    in the order of the training set.  A rejected row moves without its payload.
+    """
+    found = []
+    for i, (df, max_len) in enumerate(sources):
+        rows = checked_rows(df, max_seconds=max_seconds)
+        if on_error == "fail":
+            rows = require_sound(rows).withColumn("error", F.lit(None).cast("string"))
+        if max_len is not None:
+            sample = subsample(rows.where(F.col("error").isNull()), max_len, key=["row_key"], seed=seed)
+            rows = sample.unionByName(rows.where(F.col("error").isNotNull()))
+        found.append(rows.withColumn("source_idx", F.lit(i)))
+    rows = union_sources(found)
+    sound = F.col("error").isNull()
+    light = {layer: F.when(sound, F.col(layer)).otherwise(empty_ints()) for layer in LAYERS}
+    rows = rows.withColumns(light | {"text": F.when(sound, F.col("text")).otherwise(F.lit(""))})
+    n = partitions or bucket_count(rows)
+    hashed = rows.withColumn("_h", order_hash(ROW_KEY, seed))
+    placed = hashed.repartitionById(n, hash_bucket("_h", n)).sortWithinPartitions("error", "_h", *ROW_KEY)
+    parts = build_parts(placed.drop("_h"), tokenizer=tokenizer, layout=layout)
+    return training_projection(add_training_columns(parts, layout), *ROW_KEY, "error")
+
+
 def batches(
     sources: Sequence[tuple[DataFrame, int | None]],
     *,
@@ -217,36 +255,33 @@ def run_build(
     """Write the training set and its rejects below ``output``; returns one report row per source.
 
     The report counts the rows a source has, those within the duration limit,
-    those rejected, and those in the written training set.
+    those rejected, and those in the written training set.  Layers and texts are read
+    once (and once more for a source with ``max_len``, to draw its sample): one job
+    writes sound and rejected rows.  The counts come from the written tables and from
+    a scan of the lengths alone, so they hold whatever tasks were run again.
     """
-    limit = request.max_duration_sec
+    out = output.rstrip("/")
     loaded = [load_encoded(spark, root, s) for s in request.sources]
-    train = write_training_set(
-        training_set(
-            [(df, s.max_len) for df, s in zip(loaded, request.sources)],
-            max_seconds=limit,
-            tokenizer=tokenizer,
-            **options,
-        ),
-        f"{output.rstrip('/')}/train",
+    named = F.create_map(*[F.lit(x) for i, s in enumerate(request.sources) for x in (i, s.reponame)])
+    judged = judged_set(
+        [(df, s.max_len) for df, s in zip(loaded, request.sources)],
+        max_seconds=request.max_duration_sec,
+        tokenizer=tokenizer,
+        **options,
     )
-
-    def tagged(frames: Sequence[DataFrame]) -> DataFrame:
-        return union_sources(
-            [
-                df.withColumn("source_idx", F.lit(i)).withColumn("reponame", F.lit(s.reponame))
-                for i, (df, s) in enumerate(zip(frames, request.sources))
-            ]
-        )
-
-    rejects = f"{output.rstrip('/')}/rejects"
-    tagged([rejected_rows(df, max_seconds=limit) for df in loaded]).write.mode("overwrite").parquet(rejects)
+    train, failed = write_judged_set(judged, out)
+    rejects = failed.select("row_key", "error", "source_idx", named[F.col("source_idx")].alias("reponame"))
+    rejects.write.mode("overwrite").parquet(f"{out}/rejects")
+    delete_folder(spark, f"{out}/parts")
 
     def counted(path: str, into: str) -> DataFrame:
         return spark.read.parquet(path).groupBy("source_idx").agg(F.count(F.lit(1)).alias(into))
 
-    report = tagged([filter_report(df, limit) for df in loaded])
-    report = report.join(counted(rejects, "rejected"), "source_idx", "left")
+    lengths = [
+        filter_report(df, request.max_duration_sec).select(F.lit(i).alias("source_idx"), F.lit(s.reponame).alias("reponame"), "*")
+        for i, (df, s) in enumerate(zip(loaded, request.sources))
+    ]
+    report = union_sources(lengths).join(counted(f"{out}/rejects", "rejected"), "source_idx", "left")
     report = report.join(counted(train, "built"), "source_idx", "left").fillna(0, ["rejected", "built"])
     return report.select("source_idx", "reponame", "rows_before", "rows_after", "rejected", "built")
 
