@@ -44,6 +44,7 @@ from voxloom.operators import report
 from voxloom.plans import evaluation, preparation, training
 from voxloom.session import scratch_path
 from voxloom.sources import readers, writers
+from voxloom.sources.clustered import ClusteredTable
 from voxloom.specs import BuildRequest, CategoricalFilter, EncodedSource, PrepareRequest, merged_name
 from voxloom.streaming.batches import StreamBatches
 from voxloom.streaming.build import stream_rejects, stream_training_rows, write_available
@@ -129,6 +130,61 @@ def batch_stored_set(spark, sf):
     )
 
 
+@register(
+    "judged_build",
+    f"""WITH {MERGED_SQL}
+    SELECT source_idx, row_key, CAST(NULL AS VARCHAR) AS error, {md5_expr("input_ids")} AS input_ids,
+           {md5_expr("position_ids")} AS position_ids FROM built
+    UNION ALL
+    SELECT 1, row_key, error, NULL, NULL FROM checked
+    WHERE error IS NOT NULL AND (encoded_len IS NULL OR encoded_len / 12.5 <= 30)""",
+)
+def judged_build(spark, sf):
+    """Training rows and rejected rows written by one job, and read back."""
+    judged = training.judged_set(sources(spark, sf), max_seconds=MAX_SECONDS)
+    train, rejects = writers.write_judged_set(judged, scratch_path(spark, "judged"))
+    built_rows = spark.read.parquet(train).select(
+        "source_idx", "row_key", F.lit(None).cast("string").alias("error"),
+        digest("input_ids").alias("input_ids"), digest("position_ids").alias("position_ids"),
+    )
+    none = [F.lit(None).cast("string").alias(c) for c in ("input_ids", "position_ids")]
+    return built_rows.unionByName(rejects.select("source_idx", "row_key", "error", *none))
+
+
+RANKED_SQL = f"""{MERGED_SQL}, ranked AS (
+      SELECT *, row_number() OVER (ORDER BY md5('42:' || source_idx || ':' || row_key), source_idx, row_key) - 1 AS rank FROM built)"""
+
+
+def _clustered(spark, sf, name):
+    """The two sources in one table, the second added to the first."""
+    table_ = ClusteredTable(scratch_path(spark, name), training.ROW_KEY, 12)
+    for i, source in enumerate(sources(spark, sf)):
+        training.clustered_rows([source], table_, max_seconds=MAX_SECONDS, first_index=i)
+    return table_
+
+
+@register(
+    "clustered_training_set",
+    f"""WITH {RANKED_SQL}
+    SELECT rank, source_idx, row_key, {md5_expr("input_ids")} AS input_ids, {md5_expr("position_ids")} AS position_ids FROM ranked""",
+)
+def clustered_training_set(spark, sf):
+    """Two sources added one after the other to a table stored by hash ranges, then built in order, unmoved."""
+    rows = training.clustered_training_set(spark, _clustered(spark, sf, "clustered-set"))
+    return rows.select("rank", "source_idx", "row_key", digest("input_ids").alias("input_ids"), digest("position_ids").alias("position_ids"))
+
+
+@register(
+    "clustered_batches",
+    f"""WITH {RANKED_SQL}, batched AS (SELECT *, rank // {BATCH} AS batch_id FROM ranked)
+    {padded_sql("source_idx, row_key, batch_id", "batched")}""",
+)
+def clustered_batches(spark, sf):
+    """Padded batches of the same table, cut where the rows lie."""
+    rows = training.clustered_batches(spark, _clustered(spark, sf, "clustered-batches"), batch_size=BATCH)
+    return padded_digests(rows, "source_idx", "row_key", "batch_id")
+
+
 @register(
     "build_report",
     f"""WITH {BUILT_SQL}

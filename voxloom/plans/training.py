@@ -13,7 +13,7 @@ from voxloom.functions.frames import within_duration
 from voxloom.functions.hashing import hash_bucket, order_hash
 from voxloom.functions.sequences import ones_like, sequence_length
 from voxloom.functions.text import Tokenizer
-from voxloom.operators.batching import pad_to, with_batch_length
+from voxloom.operators.batching import pad_to, sized_batches, with_batch_length
 from voxloom.operators.frames import (
     add_codes,
     add_frames,
@@ -26,6 +26,7 @@ from voxloom.operators.rows import union_sources
 from voxloom.operators.sampling import SAMPLE_SEED, bucket_count, global_shuffle, subsample
 from voxloom.operators.sequences import add_training_columns, tokenize_text, training_projection
 from voxloom.session import delete_folder
+from voxloom.sources.clustered import ClusteredTable
 from voxloom.sources.readers import load_encoded
 from voxloom.sources.writers import write_judged_set, write_training_set
 from voxloom.specs import BuildRequest
@@ -211,6 +212,52 @@ def batch_training_set(
     return training_projection(pad_to(full, F.col("max_length"), layout=layout), "batch_id", *key)
 
 
+def clustered_rows(
+    sources: Sequence[tuple[DataFrame, int | None]],
+    table: ClusteredTable,
+    *,
+    max_seconds: float | None = 30,
+    first_index: int = 0,
+    on_error: OnError = "reject",
+) -> ClusteredTable:
+    """Add the sound, sampled rows of sources to a clustered table, numbered from ``first_index``; returns it."""
+    for i, (df, max_len) in enumerate(sources, start=first_index):
+        rows = sound_rows(df, max_seconds=max_seconds, max_len=max_len, seed=table.seed, on_error=on_error)
+        table.add(rows.withColumn("source_idx", F.lit(i)))
+    return table
+
+
+def clustered_training_set(
+    spark: SparkSession,
+    table: ClusteredTable,
+    *,
+    tokenizer: Tokenizer | None = None,
+    layout: TokenLayout = DEFAULT_LAYOUT,
+) -> DataFrame:
+    """The training set over a clustered table, with each row's ``rank`` in the shuffled order.  No row moves."""
+    parts = build_parts(table.read(spark), tokenizer=tokenizer, layout=layout)
+    return training_projection(add_training_columns(parts, layout), "rank", *ROW_KEY)
+
+
+def clustered_batches(
+    spark: SparkSession,
+    table: ClusteredTable,
+    *,
+    batch_size: int,
+    tokenizer: Tokenizer | None = None,
+    layout: TokenLayout = DEFAULT_LAYOUT,
+) -> DataFrame:
+    """``batches`` over a clustered table: the same rows, and none of them moves."""
+    sized = sized_batches(
+        table.ranked(spark),
+        batch_size=batch_size,
+        prepare=lambda df: build_parts(df, tokenizer=tokenizer, layout=layout),
+        length=sequence_length("text_tokens", "num_audio_frames", layout),
+    )
+    padded = pad_to(add_training_columns(sized, layout), F.col("max_length"), layout=layout)
+    return training_projection(padded, "batch_id", *ROW_KEY)
+
+
 def build_training_set(
     spark: SparkSession, request: BuildRequest, root: str, *, tokenizer: Tokenizer | None = None, **options
 ) -> DataFrame:
