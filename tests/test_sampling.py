@@ -135,3 +135,30 @@ def test_batches_of_equal_keys_keep_every_row_once(spark):
         groups.setdefault(r.batch_id, []).append(r)
     assert sorted(groups) == list(range(144)) and all(len(g) == 7 for b, g in groups.items() if b < 143)
     assert all({r.max_length for r in g} == {max(r.n for r in g)} for g in groups.values())
+
+
+def test_a_users_own_columns_are_kept(spark):
+    df = spark.range(40).selectExpr("id", "id * 2 as _h", "'c' as _content", "id % 3 as _rn", "id as `a.b`")
+    for out in (
+        sampling.global_shuffle(df, key=["_rn"], unique=False),
+        sampling.global_shuffle(df, key=["id"]),
+        batching.assign_batches(df, key=["_rn"], batch_size=4, unique=False).drop("batch_id"),
+        sampling.subsample(df, 17, key=["_rn"]),
+    ):
+        assert out.columns == df.columns
+        assert {r["_h"] for r in out.collect()} <= set(range(0, 80, 2))
+
+
+def test_the_sample_reads_contents_of_tied_rows_only(spark, tmp_path):
+    """Rows of the n-th hash are told apart by content; without ties no other column is read."""
+    spark.range(300).selectExpr("id", "id % 4 as k", "repeat('x', 50) as payload").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    text = sampling.subsample(df, 100, key=["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in text and "Union" not in text
+    for n in (1, 74, 75, 76, 150, 299, 300):
+        found = sampling.subsample(df, n, key=["k"]).collect()
+        assert len({r.id for r in found}) == n
+        by_key = {}
+        for r in found:
+            by_key[r.k] = by_key.get(r.k, 0) + 1
+        assert sorted(by_key.values())[:-1] == [75] * (len(by_key) - 1) or sorted(by_key.values(), reverse=True)[:-1] == [75] * (len(by_key) - 1)

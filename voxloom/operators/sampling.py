@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.hashing import hash_bucket, hash_modulo, order_hash
@@ -12,8 +12,9 @@ from voxloom.session import scratch_path, shuffle_partitions
 
 SAMPLE_SEED = 42  # fixed value
 
-# Buckets of the histogram that locates the n-th smallest hash.
-SAMPLE_BUCKETS = 1 << 16
+# Hex digits by which a histogram that locates the n-th smallest hash refines the one before.
+SAMPLE_DIGITS = 4
+SAMPLE_BUCKETS = 16**SAMPLE_DIGITS
 
 # Input bytes that a hash bucket should hold; what the optimizer says of inputs it knows no size of.
 BUCKET_BYTES = 256 << 20
@@ -30,49 +31,83 @@ def bucket_offsets(bucketed: DataFrame, bucket: str) -> DataFrame:
     return counts.withColumn("offset", F.sum("cnt").over(running) - F.col("cnt"))
 
 
+def _boundary(values: DataFrame, n: int) -> Row | None:
+    """``low``, how often it occurs (``cnt``), and how many rows lie before it (``offset``), of the n-th
+    smallest ``_h``, a stored column of hex digits; ``None`` if there are fewer rows.
+
+    Histograms over ever longer prefixes: each finds the bucket of the n-th value
+    among at most ``SAMPLE_BUCKETS`` pre-aggregated rows, until that holds one value.
+    """
+    before = 0
+    digits = SAMPLE_DIGITS
+    while True:
+        counts = values.groupBy(F.substring("_h", 1, digits).alias("_p")).agg(
+            F.count(F.lit(1)).alias("cnt"), F.min("_h").alias("low"), F.max("_h").alias("high")
+        )
+        running = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = counts.withColumn("offset", F.sum("cnt").over(running) - F.col("cnt") + before)
+        found = placed.where((F.col("offset") < n) & (F.col("offset") + F.col("cnt") >= n)).first()
+        if found is None or found.low == found.high:
+            return found
+        values, before, digits = values.where(F.col("_h").startswith(found["_p"])), found.offset, digits + SAMPLE_DIGITS
+
+
+def _stored_hashes(df: DataFrame, *columns: Column) -> DataFrame:
+    path = scratch_path(df.sparkSession, "sample")
+    df.select(*columns).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _take(df: DataFrame, order: Column, n: int) -> tuple[DataFrame, Row] | None:
+    """The rows whose ``order`` is below the n-th smallest, and that one; ``None`` if there are fewer rows."""
+    found = _boundary(_stored_hashes(df, order.alias("_h")), n)
+    return None if found is None else (df.where(order < found.low), found)
+
+
+def content_hash(df: DataFrame) -> Column:
+    """md5 of a row's columns, whatever their names and types."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+
+
 def subsample(
     df: DataFrame, n: int | None, *, key: Sequence[str], seed: int = SAMPLE_SEED, strict: bool = False
 ) -> DataFrame:
     """The ``n`` rows with the smallest hash of their key: a reproducible sample.
 
     A sort with a limit would send up to ``n`` whole rows from every task to one
-    merging task.  Here one pass stores the hashes, a histogram finds the bucket
-    that holds the n-th smallest, the different values of that bucket are ranked,
-    and the rows are only filtered against the value found: no row is shuffled.
-
-    Exactly ``n`` rows come back whatever the keys hold: rows of equal keys are
-    told apart by their content, and of rows equal in everything as many copies are
-    made as the sample still needs.  With fewer than ``n`` rows all are returned,
-    or the call fails if ``strict``.  Runs jobs when called.
+    merging task.  Here the hashes are stored, histograms find the n-th smallest,
+    and the rows are only filtered against it: no row is shuffled, and but for the key
+    no column is read more than the filters of ``df`` need.
+
+    Exactly ``n`` rows come back whatever the keys hold.  If only some rows of the
+    n-th hash fit, these rows alone are told apart by their content in the same way,
+    and of rows equal in everything as many copies are made as the sample still needs.
+    With fewer than ``n`` rows all are returned, or the call fails if ``strict``.  Runs
+    jobs when called.
     """
     if n is None:
         return df
     if n < 1:
         raise ValueError("n must be at least 1")
-    spark = df.sparkSession
-    own = [order_hash(key, seed).alias("_h"), *key, F.xxhash64(*df.columns).alias("_content")]
-    path = scratch_path(spark, "sample")
-    df.select(*own).write.parquet(path)
-    hashes = spark.read.parquet(path).withColumn("_b", hash_bucket("_h", SAMPLE_BUCKETS))
-    offsets = bucket_offsets(hashes.select("_b"), "_b")
-    found = offsets.where((F.col("offset") < n) & (F.col("offset") + F.col("cnt") >= n)).first()
-    if found is None:
+    order = order_hash(key, seed)
+    taken = _take(df, order, n)
+    if taken is None:
         if strict:
             raise ValueError(f"fewer than {n} rows")
         return df
-    value = ["_h", *key, "_content"]
-    same = hashes.where(F.col("_b") == found._b).groupBy(*value).agg(F.count(F.lit(1)).alias("_m"))
-    upto = Window.orderBy(*value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = same.withColumn("_upto", F.sum("_m").over(upto))
-    last = ranked.where(F.col("_upto") >= n - found.offset).orderBy("_upto").first()
-    limit = F.struct(*[F.lit(last[c]).cast(hashes.schema[c].dataType).alias(c) for c in value])
-    row = F.struct(*own)
-    spare = last._upto - (n - found.offset)
-    if not spare:
-        return df.where(row <= limit)
-    one = df.where(row.eqNullSafe(limit)).limit(1)
-    copies = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(last._m - spare)))).drop("_copy")
-    return df.where(row < limit).unionByName(copies)
+    rows, last = taken
+    left = n - last.offset
+    if left == last.cnt:
+        return df.where(order <= last.low)
+    tied = df.where(order == last.low)
+    content = content_hash(df)
+    some, final = _take(tied, content, left)
+    left -= final.offset
+    same = tied.where(content == final.low)
+    if left == final.cnt:
+        return rows.unionByName(some).unionByName(same)
+    copies = same.limit(1).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(left)))).drop("_copy")
+    return rows.unionByName(some).unionByName(copies)
 
 
 def global_shuffle(
@@ -91,13 +126,20 @@ def global_shuffle(
     content, so that rows of one key spread over the partitions.
     """
     n = partitions or bucket_count(df)
-    df = df.withColumn("_content", F.lit(0) if unique else F.xxhash64(*df.columns))
-    return (
-        df.withColumn("_h", order_hash([*key] if unique else [*key, "_content"], seed))
-        .repartitionById(n, hash_bucket("_h", n))
-        .sortWithinPartitions("_h", *key)
-        .drop("_h", "_content")
-    )
+    order, content = unused_name(df, "_h"), unused_name(df, "_content")
+    by = [*key] if unique else [*key, content]
+    if not unique:
+        df = df.withColumn(content, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    hashed = df.withColumn(order, order_hash(by, seed))
+    return hashed.repartitionById(n, hash_bucket(order, n)).sortWithinPartitions(order, *by).drop(order, content)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def bucket_count(df: DataFrame) -> int:
