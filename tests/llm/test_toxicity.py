@@ -89,6 +89,49 @@ def test_it_learns_what_it_has_to():
     assert any(w.startswith("grumb") for w in more[hit].split()[at[hit] : at[hit] + 16])
 
 
+@pytest.mark.parametrize("how", [SMALL, tx.ToxicityModel(window=8, stride=5, width=4, hidden=3, word_rows=1 << 10, char_rows=1 << 8)])
+def test_the_window_at_every_start_is_scored(how):
+    """One by one: each word's state from its passage, each window pooled by itself, the highest taken."""
+    weights = tx.start_weights(how)
+    weights["words"] = np.random.default_rng(2).normal(0, 1, weights["words"].shape).astype(np.float32)
+    texts = ["", prose(1, 100), None, prose(2, 3), prose(3, 8), prose(4, 9), "one", prose(5, 15), " ", prose(6, 41), prose(7, 7)]
+    data = tx.Texts(texts, how)
+    inputs = tx.project(weights, tx.word_vectors(weights, data.rows, data.grams, data.starts))
+    best, at, counts = tx.best_windows(weights, data, how)
+    margin = (how.window - how.stride) // 2
+    for d, text in enumerate(texts):
+        numbers = data.words(d)
+        n = len(numbers)
+        assert counts[d] == (max(1, n - how.window + 1) if n else 0)
+        if not n:
+            assert best[d] == weights["out_bias"][0]
+            continue
+        begins = list(range(0, max(1, n - how.window + how.stride), how.stride))
+        score, value = np.zeros(n), np.zeros(n)
+        for i in range(n):
+            b = next(b for b in begins if i < b + margin + how.stride or b == begins[-1])
+            passage = numbers[b : b + how.window]
+            s, v = tx.word_values(weights, inputs, passage[None].astype(np.int32))
+            score[i], value[i] = s[i - b, 0], v[i - b, 0]
+        logits = []
+        for start in range(max(1, n - how.window + 1)):
+            e = np.exp(score[start : start + how.window])
+            logits.append(float((e * value[start : start + how.window]).sum() / e.sum()) + weights["out_bias"][0])
+        assert best[d] == pytest.approx(max(logits), abs=1e-4) and logits[at[d]] == pytest.approx(max(logits), abs=1e-4)
+
+
+def test_where_a_passage_begins_does_not_decide_its_window():
+    """Toxic words that no passage holds together are pooled together by the window at their own start."""
+    texts, y = labelled(300)
+    how = tx.ToxicityModel(window=16, stride=12, width=6, hidden=6, word_rows=1 << 12, char_rows=1 << 10, epochs=5)
+    model = tx.train(texts, y, how)
+    for shift in range(12):
+        text = prose(50, 40 + shift) + " grumbler grumbling " + " ".join(prose(51, 9).split()) + " grumbled grumbly " + prose(52, 60)
+        score, windows, at = tx.score_texts(model, [text], how)
+        assert windows[0] == len(text.split()) - 15
+        assert any(w.startswith("grumb") for w in text.split()[at[0] : at[0] + 16])
+
+
 def test_missing_classes_give_a_constant():
     assert tx.score_texts(tx.train([], np.zeros(0, np.float32)), ["a"])[0].tolist() == [0.0]
     assert tx.score_texts(tx.train(["a", "b"], np.ones(2, np.float32)), ["a", None])[0].tolist() == [1.0, 1.0]

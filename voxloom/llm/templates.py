@@ -189,6 +189,6 @@ def drop_recurring_lines(docs: DataFrame, how: TemplateTree = TemplateTree()) ->
     return both.select(
         "row",
         F.when(F.col("drops").isNull(), F.col("body")).otherwise(kept).alias("text"),
-        F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("drops"), F.lit(0)).alias("n_dropped"),
+        F.coalesce(F.array_size("lines"), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.array_size("drops"), F.lit(0)).alias("n_dropped"),
     )

@@ -1,11 +1,13 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-The network reads windows of words.  A word's input is the sum of two vectors: one
-looked up by the hash of the word, one the mean of its character trigrams'.  Two
-gated recurrent passes, forwards and backwards, give a state per word; attention
-weights pool them, and a linear layer gives the window's logit.  All overlapping
-windows of the whole text are scored; the highest logit, with the number of
-windows, is calibrated to the document's score.
+A word's input is the sum of two vectors: one looked up by the hash of the word, one
+the mean of its character trigrams'.  The network reads a text in passages of
+``window`` words that overlap; two gated recurrent passes, forwards and backwards,
+give a state per word, which is taken from the passage in whose middle the word lies.
+Attention weights pool the states of a window, and a linear layer gives its logit.
+Since every word has one state, all windows of ``window`` words are scored, at every
+start of the whole text; the highest logit, with the number of windows, is calibrated
+to the document's score.
 
 Training is numpy only: labels are per document, so every epoch trains on each
 document's currently highest window (multiple-instance learning).  It uses a
@@ -174,6 +176,20 @@ def _pass(weights: dict, k: str, inputs: list[np.ndarray], windows: np.ndarray,
     return states
 
 
+def word_values(weights: dict, inputs: dict, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Attention score of each word of the passages, and what its state gives the logit: (steps, passages)."""
+    h = weights["state_f"].shape[0]
+    both = [_pass(weights, k, inputs[k], windows, None) for k in _DIRECTIONS]
+    found = []
+    for name in ("attend", "out"):
+        total = np.zeros(both[0].shape[:2], np.float32)
+        for state, part in zip(both, np.split(weights[name], 2)):
+            for i in range(h):  # term by term, so that a word's values do not depend on its neighbours in memory
+                total += state[:, :, i] * part[i]
+        found.append(total)
+    return found[0], found[1]
+
+
 def forward(weights: dict, inputs: dict, windows: np.ndarray, keep: dict | None = None) -> np.ndarray:
     """Logit of each window of word numbers; ``inputs`` are the projected words."""
     h = weights["state_f"].shape[0]
@@ -271,8 +287,66 @@ def _train_batch(adam: _Adam, texts: Texts, windows: np.ndarray, target: np.ndar
         adam.step(name, total, which)
 
 
+def every_window(weights: dict, texts: Texts, how: ToxicityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of the windows at every start: their values, text by text, and per text where they begin and
+    how many there are.  A text shorter than a window has one window, a text without words none."""
+    sizes = np.diff(texts.offsets)
+    counts = np.where(sizes > 0, np.maximum(1, sizes - how.window + 1), 0)
+    begins = np.cumsum(counts) - counts
+    if not texts.count:
+        return np.zeros(0), begins, counts
+    inputs = project(weights, word_vectors(weights, texts.rows, texts.grams, texts.starts))
+    # Words of all texts, each text followed by as many empty places as a window may reach over its end.
+    gaps = np.where(sizes > 0, how.window - 1, 0)
+    first = texts.offsets[:-1] + np.cumsum(gaps) - gaps
+    score = np.full(texts.offsets[-1] + gaps.sum(), -np.inf)
+    value = np.zeros(len(score))
+    margin = (how.window - how.stride) // 2
+    steps = np.arange(how.window)
+    full = texts.windows[:, -1] >= 0  # apart from the others, they need no masks
+    for group in (np.flatnonzero(full), np.flatnonzero(~full)):
+        for s in range(0, len(group), 2048):
+            part = group[s : s + 2048]
+            scores, values = word_values(weights, inputs, texts.windows[part])
+            begin, left = texts.begin[part], sizes[texts.owner[part]] - texts.begin[part]
+            # A passage gives the states of its middle; the first and the last one of a text also of its ends.
+            low = np.where(begin == 0, 0, margin)
+            high = np.where(left <= how.window, left, margin + how.stride)
+            mine = (steps[:, None] >= low) & (steps[:, None] < high)
+            at = (first[texts.owner[part]] + begin + steps[:, None])[mine]
+            score[at], value[at] = scores[mine], values[mine]
+    top = np.maximum.reduceat(score, first[sizes > 0])
+    weight = np.exp(score - np.repeat(top, np.diff(np.append(first[sizes > 0], len(score)))))
+    starts = len(score) - how.window + 1
+    pooled, total, value = np.zeros(starts), np.zeros(starts), weight * value
+    for k in range(how.window):  # word by word: a window's sum does not depend on what lies around it
+        pooled += value[k : k + starts]
+        total += weight[k : k + starts]
+    which = np.repeat(first - begins, counts) + np.arange(counts.sum())
+    return pooled[which] / total[which] + weights["out_bias"][0], begins, counts
+
+
+def best_windows(weights: dict, texts: Texts, how: ToxicityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: highest logit of all windows, the first word of the first one that has it, and how many there are.
+
+    A text without words has the logit of an empty window and no windows.
+    """
+    logits, begins, counts = every_window(weights, texts, how)
+    best = np.full(texts.size, weights["out_bias"][0], np.float64)
+    at = np.zeros(texts.size, np.int64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        best[some] = np.maximum.reduceat(logits, begins[some])
+        owner = np.repeat(np.arange(texts.size), counts)
+        highest = np.flatnonzero(logits == best[owner])
+        texts_hit, where = np.unique(owner[highest], return_index=True)
+        at[texts_hit] = highest[where] - begins[texts_hit]
+    return best, at, counts
+
+
 def text_logits(weights: dict, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: highest window logit, first window that has it, and the number of windows.
+    """Per text: highest logit of the passages it is read in, the first one that has it, and their number;
+    what training goes by.
 
     A text without words has the logit of an empty window and no windows.
     """
@@ -364,7 +438,7 @@ def train(texts: list[str], labels: np.ndarray, how: ToxicityModel = ToxicityMod
             part = chosen[s : s + how.batch]
             _train_batch(adam, data, data.windows[part], labels[data.owner[part]], usable)
         adam.rate *= 0.85
-    best, _, counts = text_logits(weights, data)
+    best, _, counts = best_windows(weights, data, how)
     held = fold if 0 < labels[fold].mean() < 1 else np.ones(len(labels), bool)
     features = calibration_features(best[held], counts[held])
     mine = labels.mean()
@@ -378,10 +452,9 @@ def score_texts(model: dict, texts: list[str | None], how: ToxicityModel = Toxic
     if "constant" in model:
         return np.full(len(texts), model["constant"][0], np.float64), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     data = Texts(texts, how)
-    best, place, counts = text_logits(model, data)
+    best, at, counts = best_windows(model, data, how)
     beta = model["calibration"]
     value = beta[0] + calibration_features(best, counts) @ beta[1:]
-    at = np.where(place >= 0, data.begin[place] if len(data.begin) else 0, 0)
     return 1 / (1 + np.exp(-np.clip(value, -30, 30))), counts, at
 
 
