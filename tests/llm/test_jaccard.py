@@ -20,14 +20,19 @@ def brute(rows, how):
             x = parent[x]
         return x
 
+    links = [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
             if sets[i] and sets[j] and how.links(len(sets[i] & sets[j]), len(sets[i]), len(sets[j])):
                 parent[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     out = []
     for i, (doc_id, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(i) and rows[j][0] is not None]
-        out.append((doc_id, len(sets[i]), min(ids) if sets[i] and ids else doc_id))
+        same = [rows[j][0] for j in range(len(rows)) if sets[j] == sets[i] and rows[j][0] is not None]
+        component, own = (min(x) if sets[i] and x else doc_id for x in (ids, same))
+        out.append((doc_id, len(sets[i]), component, own, links[i]))
     return Counter(out)
 
 
@@ -51,18 +56,33 @@ def test_equals_brute_force(documents, odd_texts, how):
     ids[1], ids[20], ids[21] = None, None, ids[22]  # no id; an id that two rows have
     rows = list(zip(ids, texts)) + list(zip(ids[30:40], texts[30:40]))  # rows that repeat
     docs = documents([t for _, t in rows], [i for i, _ in rows])
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_classes(docs, how).collect())
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.class_id, r.n_links) for r in jaccard_classes(docs, how).collect())
     assert got == brute(rows, how)
 
 
 def test_whole_table_twice(documents):
     texts = copies(10, 8) + [prose(s, 30) for s in range(10)]
     docs = documents(texts)
-    once = Counter(map(tuple, jaccard_classes(docs).collect()))
-    twice = Counter(map(tuple, jaccard_classes(docs.coalesce(1).union(docs.coalesce(1))).collect()))
+    def found(df):
+        return Counter((r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in jaccard_classes(df).collect())
+
+    once, twice = found(docs), found(docs.coalesce(1).union(docs.coalesce(1)))
     assert twice == Counter({k: 2 * v for k, v in once.items()})
 
 
+def test_without_broadcasts(documents, odd_texts, monkeypatch):
+    """What a corpus beyond the bound of broadcast tables takes."""
+    from voxloom.llm import common, jaccard
+
+    pick = common.pick_rows
+    monkeypatch.setattr(jaccard, "pick_rows", lambda *a, **k: pick(*a, **k, bound=0))
+    how = JaccardJoin(3, 70, chunk_docs=6)
+    texts = odd_texts + copies(20, 3) + [odd_texts[6]] * 30
+    ids = [None if i % 3 == 0 else i for i in range(len(texts))]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.class_id, r.n_links) for r in jaccard_classes(documents(texts, ids), how).collect())
+    assert got == brute(list(zip(ids, texts)), how)
+
+
 def test_empty_table(documents):
     assert jaccard_classes(documents([])).collect() == []
 
@@ -74,7 +94,7 @@ def test_divide_skip_counts_like_a_scan():
         need = draw.randrange(1, len(lists) + 1)
         counts = Counter(x for one in lists for x in one)
         want = {x: c for x, c in counts.items() if c >= need}
-        assert dict(divide_skip(lists, need, lambda _: False)) == want
+        assert dict(divide_skip(lists, need)) == want
 
 
 def test_words_are_ascii_runs():

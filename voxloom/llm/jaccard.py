@@ -15,9 +15,11 @@ elsewhere, so three steps find all links without pairing documents up:
 3. *T-occurrence search* within a chunk or a pair of chunks whose sizes can match:
    the lists of a query are split as DivideSkip does; the short ones are merged on
    a heap, the long ones probed by binary search, and whoever reaches the required
-   overlap is linked.  A task returns stars of its local components, never pairs.
+   overlap is linked.  Every candidate is verified.  A task returns stars of its local
+   components and, per document, the number of its links, never pairs.
 
-Documents of equal sets are one class throughout.
+Documents of equal sets are one class throughout; a link of a class counts as many
+links as the other class has documents.
 """
 
 from __future__ import annotations
@@ -215,13 +217,12 @@ def profiles(docs: DataFrame, how: JaccardJoin) -> DataFrame:
     return found.groupBy("block").applyInArrow(lambda table: _profile(table, least), PROFILE)
 
 
-def divide_skip(lists: list[list[int]], need: int, skip) -> Iterator[tuple[int, int]]:
+def divide_skip(lists: list[list[int]], need: int) -> Iterator[tuple[int, int]]:
     """``(position, occurrences)`` of whoever is on at least ``need`` of the sorted lists.
 
     The longest lists are set aside, as many as DivideSkip's rule says but fewer
     than ``need``.  The others are merged on a heap; a position seen there often
     enough to reach ``need`` is looked up in the long lists by binary search.
-    ``skip(position)`` leaves out positions whose answer is not needed.
     """
     from bisect import bisect_left
     from heapq import merge
@@ -235,7 +236,7 @@ def divide_skip(lists: list[list[int]], need: int, skip) -> Iterator[tuple[int,
     probes, short = lists[:long], lists[long:]
     for position, group in groupby(merge(*short)):
         seen = sum(1 for _ in group)
-        if seen + long < need or skip(position):
+        if seen + long < need:
             continue
         for k, probe in enumerate(probes):
             if seen + long - k < need:
@@ -246,8 +247,11 @@ def divide_skip(lists: list[list[int]], need: int, skip) -> Iterator[tuple[int,
             yield position, seen
 
 
-def search(vids: list[int], sizes: list[int], sets: list[np.ndarray], queries: list[bool], indexed: list[bool], how: JaccardJoin) -> list[tuple[int, int]]:
-    """Stars ``(root, member)`` of the components that the links among one unit's sets form.
+def search(
+    vids: list[int], sizes: list[int], sets: list[np.ndarray], queries: list[bool], indexed: list[bool], copies: list[int], how: JaccardJoin
+) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Stars ``(root, member)`` of the components that the links among one unit's sets form, and how many
+    documents each set links to (``copies`` says how many have a set).
 
     Queries look for indexed sets of their size or larger; both flags may be set.
     """
@@ -256,7 +260,8 @@ def search(vids: list[int], sizes: list[int], sets: list[np.ndarray], queries: l
     # Of equal sizes, those that only search come first: they must see all that are indexed.
     order = sorted(range(len(vids)), key=lambda i: (sizes[i], not queries[i], vids[i]))
     vids, sizes, sets = ([x[i] for i in order] for x in (vids, sizes, sets))
-    queries, indexed = ([x[i] for i in order] for x in (queries, indexed))
+    queries, indexed, copies = ([x[i] for i in order] for x in (queries, indexed, copies))
+    links = [0] * len(vids)
     tokens = np.concatenate([s for s in sets] or [np.zeros(0, np.uint64)])
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     by_token = np.argsort(tokens, kind="stable")  # owners ascend within a token
@@ -289,31 +294,40 @@ def search(vids: list[int], sizes: list[int], sets: list[np.ndarray], queries: l
                 cut = entries[bisect_right(entries, q) : bisect_left(entries, stop)]
                 if cut:
                     mine.append(cut)
-        home = [root(q)]
-        for d, overlap in divide_skip(mine, need, lambda d: root(d) == home[0]):
+        for d, overlap in divide_skip(mine, need):
             if how.links(overlap, n, sizes[d]):
                 parent[root(d)] = root(q)
-                home[0] = root(q)
+                links[q] += copies[d]
+                links[d] += copies[q]
     stars: dict[int, list[int]] = {}
     for i in range(len(vids)):
         stars.setdefault(root(i), []).append(vids[i])
-    return [(min(star), v) for star in stars.values() for v in star if v != min(star)]
+    found = [(least, v) for star in stars.values() for least in (min(star),) for v in star if v != least]
+    return found, {v: n for v, n in zip(vids, links) if n}
+
+
+_LINKED = "a long, b long, links long"
 
 
 def _search_unit(table: pa.Table, how: JaccardJoin) -> pa.Table:
+    """Stars ``(a, b)``, and ``(a, links)`` of the sets that have some here."""
     held: dict[int, list] = {}
-    columns = [table.column(c).to_pylist() for c in ("vid", "n", "tokens", "as_query", "as_index")]
-    for vid, n, tokens, q, i in zip(*columns):
-        row = held.setdefault(vid, [n, np.frombuffer(tokens, np.uint64), False, False])
+    columns = [table.column(c).to_pylist() for c in ("vid", "n", "m", "tokens", "as_query", "as_index")]
+    for vid, n, m, tokens, q, i in zip(*columns):
+        row = held.setdefault(vid, [n, np.frombuffer(tokens, np.uint64), False, False, m])
         row[2] |= q
         row[3] |= i
     values = list(held.values())
-    stars = search(list(held), [v[0] for v in values], [v[1] for v in values], [v[2] for v in values], [v[3] for v in values], how)
-    return pa.table({"a": pa.array([a for a, _ in stars], pa.int64()), "b": pa.array([b for _, b in stars], pa.int64())})
+    stars, links = search(list(held), *([v[k] for v in values] for k in range(5)), how)
+    return pa.table(
+        {"a": pa.array([a for a, _ in stars] + list(links), pa.int64()), "b": pa.array([b for _, b in stars] + [None] * len(links), pa.int64()),
+         "links": pa.array([None] * len(stars) + list(links.values()), pa.int64())}
+    )
 
 
 def class_links(docs: DataFrame, classes: DataFrame, how: JaccardJoin) -> DataFrame:
-    """Steps 2 and 3: ``(a, b)`` stars over the class numbers that link, directly or through others."""
+    """Steps 2 and 3: ``(a, b)`` stars over the class numbers that link, directly or through others, and
+    ``(a, links)``, how many documents of other classes a class links to, in parts to be added up."""
     count = classes.count()
     postings = classes.select("vid", F.explode("prefix").alias("tok"))
     order = F.struct(F.xxhash64("vid").alias("h"), "vid")
@@ -327,7 +341,7 @@ def class_links(docs: DataFrame, classes: DataFrame, how: JaccardJoin) -> DataFr
     clusters = components(shared.select("a", "b")).select(F.col("v").alias("vid"), F.col("root").alias("cluster"))
 
     members = stored(
-        clusters.join(classes.select("vid", "rep", F.col("cid").alias("of"), F.col("n").alias("size")), "vid"), "members", count
+        clusters.join(classes.select("vid", "rep", F.col("cid").alias("of"), F.col("n").alias("size"), F.col("m").alias("copies")), "vid"), "members", count
     )
     # Chunks by size: sizes are split at cumulative counts, equal sizes by a hash.
     by_size = members.groupBy("cluster", "size").agg(F.count("*").alias("m"))
@@ -340,7 +354,7 @@ def class_links(docs: DataFrame, classes: DataFrame, how: JaccardJoin) -> DataFr
     placed = salted_join(members, by_size, ["cluster", "size"], "inner", spread=F.xxhash64("vid"), salts=8)
     placed = stored(
         placed.select(
-            "vid", "rep", "of", "size", "cluster", "all", F.floor(chunk / how.chunk_docs).cast("long").alias("chunk")
+            "vid", "rep", "of", "size", "copies", "cluster", "all", F.floor(chunk / how.chunk_docs).cast("long").alias("chunk")
         ),
         "chunks",
         count,
@@ -354,13 +368,13 @@ def class_links(docs: DataFrame, classes: DataFrame, how: JaccardJoin) -> DataFr
             sets = [shingle_set(t.as_py(), width) for t in part.column("text")]
             same = [xxhash.xxh3_128_hexdigest(s.tobytes()) == c.as_py() for s, c in zip(sets, part.column("of"))]
             keep = pa.array(same)
-            names = ("vid", "size", "cluster", "all", "chunk")
+            names = ("vid", "size", "copies", "cluster", "all", "chunk")
             columns = [part.column(c).filter(keep) for c in names]
             tokens = pa.array([s.tobytes() for s, k in zip(sets, same) if k], pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, tokens], names=["vid", "n", "cluster", "all", "chunk", "tokens"])
+            yield pa.RecordBatch.from_arrays([*columns, tokens], names=["vid", "n", "m", "cluster", "all", "chunk", "tokens"])
 
     texts = pick_rows(docs.select("doc_id", "text"), placed, F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = map_arrow(texts.drop("doc_id", "rep"), with_sets, "vid long, n long, cluster long, all long, chunk long, tokens binary")
+    sets = map_arrow(texts.drop("doc_id", "rep"), with_sets, "vid long, n long, m long, cluster long, all long, chunk long, tokens binary")
     sets = stored(sets.dropDuplicates(["vid"]), "sets")
 
     # Small clusters share units; each larger one has a unit per pair of chunks that can match.
@@ -368,7 +382,7 @@ def class_links(docs: DataFrame, classes: DataFrame, how: JaccardJoin) -> DataFr
     packs = max(1, -(-alone.count() // how.chunk_docs))
     small = alone.select(
         F.lit(-1).cast("long").alias("u1"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).alias("u2"), F.lit(-1).cast("long").alias("u3"),
-        "vid", "n", "tokens", F.lit(True).alias("as_query"), F.lit(True).alias("as_index"),
+        "vid", "n", "m", "tokens", F.lit(True).alias("as_query"), F.lit(True).alias("as_index"),
     )
     cut = sets.where(F.col("all") > how.chunk_docs)
     spans = cut.groupBy("cluster", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -384,17 +398,18 @@ def class_links(docs: DataFrame, classes: DataFrame, how: JaccardJoin) -> DataFr
     ).select("cluster", "i", "j", "side.chunk", "side.q")
     large = cut.join(sides, ["cluster", "chunk"]).select(
         F.col("cluster").alias("u1"), F.col("i").alias("u2"), F.col("j").alias("u3"),
-        "vid", "n", "tokens", F.col("q").alias("as_query"), (~F.col("q")).alias("as_index"),
+        "vid", "n", "m", "tokens", F.col("q").alias("as_query"), (~F.col("q")).alias("as_index"),
     )
-    return small.unionByName(large).groupBy("u1", "u2", "u3").applyInArrow(lambda t: _search_unit(t, how), "a long, b long")
+    return small.unionByName(large).groupBy("u1", "u2", "u3").applyInArrow(lambda t: _search_unit(t, how), _LINKED)
 
 
 def jaccard_classes(docs: DataFrame, how: JaccardJoin = JaccardJoin()) -> DataFrame:
-    """``(doc_id, n_shingles, class_id, component_id)`` for every row of ``(doc_id, text)``.
+    """``(doc_id, n_shingles, class_id, component_id, n_links)`` for every row of ``(doc_id, text)``.
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their sets
     of shingles.  ``component_id`` is the smallest doc_id reachable by links, the
-    row's own included; ``class_id`` is the smallest doc_id of an equal set.
+    row's own included; ``class_id`` is the smallest doc_id of an equal set;
+    ``n_links`` is the number of other rows that the row links to, equal ones included.
 
     Null, empty and blank texts have no shingles and no links.  Repeated rows and
     equal texts are one class.  Rows without an id take part in linking; their
@@ -406,18 +421,23 @@ def jaccard_classes(docs: DataFrame, how: JaccardJoin = JaccardJoin()) -> DataFr
     classes = (
         profile.where(F.size("prefix") > 0)
         .groupBy("cid")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("m"), F.first("prefix").alias("prefix"))
     )
     classes = stored(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
-    grouped = components(class_links(docs, classes, how))
-    reached = grouped.join(classes.select(F.col("vid").alias("v"), "cid", "rep"), "v")
+    found = stored(class_links(docs, classes, how), "links-found")
+    grouped = components(found.where("b is not null").select("a", "b"))
+    linked_to = found.where("links is not null").groupBy(F.col("a").alias("v")).agg(F.sum("links").alias("links"))
+    reached = grouped.join(classes.select(F.col("vid").alias("v"), "cid", "rep"), "v").join(linked_to, "v", "left")
     smallest = reached.groupBy("root").agg(F.min("rep").alias("component"))
-    linked = reached.join(smallest, "root").select("cid", "component")
+    linked = reached.join(smallest, "root").select("cid", "component", "links")
     same = profile.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("class"), F.count("*").alias("m"))
     known = (
         same.join(linked, "cid", "left")
         .where((F.col("m") > 1) | F.col("component").isNotNull())
-        .select("cid", "class", F.coalesce("component", "class").alias("component"))
+        .select(
+            "cid", "class", F.coalesce("component", "class").alias("component"),
+            (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"),
+        )
     )
     spread = F.xxhash64("doc_id")
     rows = salted_join(profile.select("doc_id", "n", "cid"), known, "cid", "left", spread=spread)
@@ -426,4 +446,5 @@ def jaccard_classes(docs: DataFrame, how: JaccardJoin = JaccardJoin()) -> DataFr
         F.col("n").alias("n_shingles"),
         F.coalesce("class", "doc_id").alias("class_id"),
         F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("links", F.lit(0)).alias("n_links"),
     )

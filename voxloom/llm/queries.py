@@ -66,7 +66,8 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(read(spark, sf_dir, "documents"), JaccardJoin(words=4, percent=85)).drop("class_id")
+    """Classes of equal sets, components of links, and the number of links of every document."""
+    return jaccard_classes(read(spark, sf_dir, "documents"), JaccardJoin(words=4, percent=85))
 
 
 @_query
@@ -217,8 +218,11 @@ WITH RECURSIVE words AS (
 ), reach AS (
   SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
 )
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(first_id, doc_id)) AS component_id
-FROM sets LEFT JOIN (SELECT x, min(y) AS first_id FROM reach GROUP BY x) ON x = doc_id
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(first_id, doc_id)) AS component_id,
+       CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS class_id,
+       coalesce(n, 0) AS n_links
+FROM sets LEFT JOIN (SELECT x, min(y) AS first_id FROM reach GROUP BY x) r ON r.x = doc_id
+LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = doc_id
 """
 
 ORACLES["op10_source_mix"] = f"""
