@@ -63,3 +63,22 @@ def test_ownership_counts_distinct_owners(spark):
     rows = [("x", "a/en", "a"), ("x", "a/fr", "a"), ("x", "a/en", "a"), ("y", "a/en", "a"), ("y", None, None), ("y", "b/en", "b")]
     got = {r.digest: (r.repositories, r.owners) for r in ow.ownership(spark.createDataFrame(rows, "digest string, repository string, owner string")).collect()}
     assert got == {"x": (2, 1), "y": (3, 3)}
+
+
+def test_one_owners_value_in_many_places_is_copied(documents):
+    """One owner: in many repositories, in many texts, in many equal texts, and in few."""
+    value = "q8Zr1LpX7w"
+    wide = [f"token={value}{i} w{i % 5}" for i in (1, 2)]
+    texts = [f"token=wide{value} in {i}" for i in range(8)] + [f"token=often{value} in {i}" for i in range(12)]
+    texts += [f"token=same{value}"] * 20 + wide
+    langs = [f"l{i}" for i in range(8)] + ["en"] * 34
+    docs = documents(texts, None, ["a"] * 42).withColumn("lang", F.element_at(F.array(*map(F.lit, langs)), (F.col("doc_id") + 1).cast("int")))
+    rows = {r.row.doc_id: r for r in scan(docs).collect()}
+    seen = [(r.n_live, r.n_copied, r.owners, r.repositories, r.texts) for _, r in sorted(rows.items())]
+    assert seen == [(0, 1, 1, 8, 8)] * 8 + [(0, 1, 1, 1, 12)] * 12 + [(1, 0, 1, 1, 1)] * 22
+
+
+def test_texts_are_read_once_for_their_matches(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    plan = ow.matches(docs, F.col("lang"), F.col("source"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan and "Python" not in plan

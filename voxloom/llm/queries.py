@@ -141,6 +141,9 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         printed(F.col("spans")).alias("spans"),
         "n_live",
         "n_copied",
+        "owners",
+        "repositories",
+        "texts",
     )
 
 
