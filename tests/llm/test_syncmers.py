@@ -83,4 +83,55 @@ def test_likeness(documents, spark):
     ).collect()
     assert [round(r.n, 2) for r in found][:2] == [1.0, 0.0] and 0.2 < found[2].n < 0.45
     assert [r.n for r in found][3:] == [1.0, 0.0, 1.0]
-    assert found[0].fp == found[0].fq != found[1].fq and len(found[0].fp) == 64 * 16 and found[3].fp == ""
+    assert found[0].fp == found[0].fq != found[1].fq and found[3].fp == ""
+
+
+def compared(spark, pairs):
+    """Likeness by the engine, and from the printed fingerprints alone, one by one."""
+    rows = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "i int, x string, y string")
+    found = sx.with_anchors(rows, {"p": "x", "q": "y"}).select(
+        "i", sx.likeness(F.col("p"), F.col("q")).alias("n"), sx.fingerprint(F.col("p")).alias("fp"), sx.fingerprint(F.col("q")).alias("fq")
+    ).orderBy("i").collect()
+    out = []
+    for r in found:
+        x, y = ([(int(at), int(a, 16)) for at, a in (p.split(":") for p in f.split(",") if p)] for f in (r.fp, r.fq))
+        first = [{a: at for at, a in reversed(s)} for s in (x, y)]
+        gaps = Counter(first[0][a] - first[1][a] for a in sorted(first[0].keys() & first[1].keys())[: sx.ALIGNED])
+        matched = 0
+        if gaps:
+            shift = max(gaps, key=lambda g: (gaps[g], -abs(g), g))
+            matched = len({(at - shift, a) for at, a in x} & set(y))
+        either = len(x) + len(y) - matched
+        out.append((r.n, matched / either if either else 1.0))
+    return out
+
+
+def test_likeness_is_that_of_the_returned_fingerprints(spark):
+    a, b = prose(1, 300), prose(2, 300)
+    words = a.split()
+    parts = [" ".join(words[i * 30 : i * 30 + 30]) for i in range(10)]
+    one_word = " ".join(words[:100] + ["changed"] + words[101:])
+    cases = [
+        (a, a), (a, b), (a, one_word), (a, f"{prose(3, 40)} {a}"), (a, " ".join(parts[::-1])), (a, " ".join(words[:150])),
+        (a, " ".join(words[:200] + prose(4, 7).split() + words[200:])), ("x y", "x y"), ("x y", "y x"), ("", ""), (a, ""), (None, None),
+        (f"{a} " * 3, a), ("la " * 200, "la " * 90),
+    ]
+    got = compared(spark, cases)
+    for measured, want in got:
+        assert abs(measured - want) < 1e-12
+    near = [n for n, _ in got]
+    assert near[0] == 1.0 and near[1] < 0.02 and 0.9 < near[2] < 1.0
+    assert near[3] > 0.75, "text in front only shifts"
+    assert near[4] < 0.2, "passages in another order do not match"
+    assert 0.4 < near[5] < 0.6 and near[6] > 0.45 and near[9] == near[11] == 1.0 and near[10] == 0.0
+
+
+def test_one_changed_word_changes_the_fingerprint(spark):
+    """However long the text: all anchors are printed."""
+    pairs = []
+    for seed in range(12):
+        words = prose(seed, 800).split()
+        pairs.append((" ".join(words), " ".join(words[:400] + ["changed"] + words[401:])))
+    rows = spark.createDataFrame(pairs, "x string, y string")
+    same = sx.with_anchors(rows, {"p": "x", "q": "y"}).where(sx.fingerprint(F.col("p")) == sx.fingerprint(F.col("q")))
+    assert same.count() == 0

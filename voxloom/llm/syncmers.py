@@ -4,14 +4,18 @@ A text is a sequence of word hashes.  Of every run of ``WORDS`` words the hashes
 its inner pairs are compared; the run is a closed syncmer if the smallest pair is
 its first or its last.  That depends on nothing outside the run, so an edit changes
 only the anchors that touch it, and equal passages have equal anchors at the same
-distances wherever they stand.  The set of anchors is the fingerprint; its printed
-form holds the smallest of them.
+distances wherever they stand.  The fingerprint is the sequence of all anchors with
+their places.  Two fingerprints are compared by position: they are shifted by the
+commonest distance between the anchors they share, and anchors that then lie on one
+another count.
 
 DataFrame operations only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +23,13 @@ from pyspark.sql.window import Window
 from voxloom.llm.common import stored
 
 WORDS = 5  # of a syncmer; its inner pairs are four
-PRINTED = 64  # anchors in the printed form
+ALIGNED = 16  # shared anchors, the smallest ones, that decide by how much two sequences are shifted
+_PLACE = 1 << 32
+
+
+def _short(value: Column) -> Column:
+    """32 bits of a hash: with a place they fit one number, and a fingerprint is no longer than it must be."""
+    return value.bitwiseAND(_PLACE - 1)
 
 
 def _least_first(z: Column) -> Column:
@@ -27,8 +37,8 @@ def _least_first(z: Column) -> Column:
 
 
 def with_anchors(df: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """Add for each ``{name: text column}`` an array ``name`` of ``(at, anchor)``: the word that the
-    syncmer starts with, and its hash.
+    """Add for each ``{name: text column}`` an array ``name`` of ``(at, anchor)``: the number of the word that
+    the syncmer starts with, and 32 bits of its hash.
 
     Words are runs of other than ASCII white space.  A text of fewer than
     ``WORDS`` words has one anchor, of all its words; one without words none.  Null
@@ -50,26 +60,62 @@ def with_anchors(df: DataFrame, texts: dict[str, str]) -> DataFrame:
         g = F.col(f"__g_{k}")
         n = F.greatest(F.size(g) - (WORDS - 2), F.lit(0))
         zipped = F.arrays_zip(*(F.slice(g, F.lit(i + 1), n).alias(c) for i, c in enumerate("abcd")))
-        placed = F.transform(zipped, lambda z, i: F.struct(i.alias("at"), F.xxhash64(z["a"], z["c"], z["d"]).alias("anchor"), _least_first(z).alias("closed")))
+        placed = F.transform(zipped, lambda z, i: F.struct(i.alias("at"), _short(F.xxhash64(z["a"], z["c"], z["d"])).alias("anchor"), _least_first(z).alias("closed")))
         kept = F.transform(F.filter(placed, lambda p: p["closed"]), lambda p: F.struct(p["at"].alias("at"), p["anchor"].alias("anchor")))
         w = F.col(f"__w_{k}")
-        whole = F.struct(F.lit(0).alias("at"), F.xxhash64(w).alias("anchor"))
+        whole = F.struct(F.lit(0).alias("at"), _short(F.xxhash64(w)).alias("anchor"))
         return F.when(F.size(w) >= WORDS, kept).when(F.size(w) > 0, F.array(whole)).otherwise(F.array().cast("array<struct<at:int,anchor:bigint>>"))
 
     return df.select(*other, *(runs(k).alias(k) for k in texts))
 
 
 def fingerprint(anchors: Column) -> Column:
-    """The printed form: the smallest ``PRINTED`` distinct anchors in hexadecimal; empty without words."""
-    least = F.slice(F.array_sort(F.array_distinct(anchors["anchor"])), 1, PRINTED)
-    return F.array_join(F.transform(least, lambda a: F.lpad(F.hex(a), 16, "0")), "")
+    """The whole fingerprint, printed: ``place:anchor`` of each anchor, comma-joined; empty without words."""
+    each = F.transform(anchors, lambda a: F.concat_ws(":", a["at"].cast("string"), F.lower(F.hex(a["anchor"]))))
+    return F.array_join(each, ",")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once, however often a lambda reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shift(x: Column, y: Column) -> Column:
+    """The commonest distance between the places of shared anchors: the first place of each of the smallest
+    ``ALIGNED`` ones.  Ties: the smallest in size, then the positive one.  Null if none is shared."""
+
+    def place(of: Column, anchor: Column) -> Column:
+        return F.element_at(of, F.array_position(of["anchor"], anchor).cast("int"))["at"]
+
+    def commonest(gaps: Column) -> Column:
+        votes = F.transform(gaps, lambda g: F.struct(F.array_size(F.filter(gaps, lambda e: e == g)).alias("n"), (-F.abs(g)).alias("near"), g.alias("gap")))
+        return F.array_max(votes)["gap"]
+
+    shared = F.slice(F.sort_array(F.array_intersect(x["anchor"], y["anchor"])), 1, ALIGNED)
+    return _let(F.transform(shared, lambda a: place(x, a) - place(y, a)), commonest)
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """Shared share of two fingerprints' distinct anchors, from 0 to 1; two empty ones are alike."""
-    both = F.size(F.array_union(one["anchor"], other["anchor"]))
-    shared = F.size(F.array_intersect(one["anchor"], other["anchor"]))
-    return F.when(both == 0, F.lit(1.0)).otherwise(shared / both)
+    """Share of the anchors of two fingerprints that lie on one another after the best shift, from 0 to 1.
+
+    It is the Jaccard likeness of the two sets of (place, anchor); two empty ones are
+    alike.  Text put in front shifts, text in another order does not match.
+    """
+
+    def placed(anchors: Column, back: Column | None = None) -> Column:
+        at = (lambda a: a["at"]) if back is None else (lambda a: a["at"] - back)
+        return F.transform(anchors, lambda a: at(a).cast("long") * _PLACE + a["anchor"])
+
+    def measured(s: Column) -> Column:
+        both = F.array_size(F.array_intersect(placed(s["x"], s["shift"]), placed(s["y"])))
+        matched = F.when(s["shift"].isNull(), F.lit(0)).otherwise(both)
+        either = F.array_size(s["x"]) + F.array_size(s["y"]) - matched
+        return F.when(either == 0, F.lit(1.0)).otherwise(matched / F.greatest(either, F.lit(1)))
+
+    def shifted(s: Column) -> Column:
+        return _let(F.struct(s["x"].alias("x"), s["y"].alias("y"), _shift(s["x"], s["y"]).alias("shift")), measured)
+
+    return _let(F.struct(one.alias("x"), other.alias("y")), shifted)
 
 
 def with_next(docs: DataFrame, into: str = "next_text") -> DataFrame:
