@@ -36,7 +36,16 @@ from voxloom.catalog.preparation import (
     spoken,
 )
 from voxloom.catalog.registry import register
-from voxloom.catalog.scoring import COMPARED_SQL, REQUEST, generated, recordings, summary_sql
+from voxloom.catalog.scoring import (
+    COMPARED_SQL,
+    REQUEST,
+    ROUNDED_SQL,
+    SCORES_SQL,
+    eval_errors,
+    generated,
+    recordings,
+    summary_sql,
+)
 from voxloom.catalog.sequences import BUILT_SQL, built
 from voxloom.functions.arrays import digest, int_sum
 from voxloom.functions.audio import AudioLoader
@@ -48,6 +57,9 @@ from voxloom.sources.clustered import ClusteredTable
 from voxloom.specs import BuildRequest, CategoricalFilter, EncodedSource, PrepareRequest, merged_name
 from voxloom.streaming.batches import StreamBatches
 from voxloom.streaming.build import stream_rejects, stream_training_rows, write_available
+from voxloom.streaming.totals import StreamSample, counter_totals, summary_totals
+from voxloom.streaming.totals import streamed_counters as streamed_counters_of
+from voxloom.streaming.totals import streamed_summary as streamed_summary_of
 from voxloom.vocab import LAYERS, TRAINING_COLUMNS
 
 LAYER_DIGESTS = ", ".join(f"{md5_expr(name)} AS {name}" for name in LAYERS)
@@ -463,3 +475,52 @@ def streamed_batches(spark, sf):
         stream = spark.readStream.schema(rows.schema).parquet(f"{place}/inbox")
         batches.run(stream, f"{place}/checkpoint").awaitTermination()
     return padded_digests(batches.read(spark, with_open=True), "doc_id", "batch_id")
+
+
+def _in_three_parts(spark, rows, place, taken, key):
+    """Rows that arrive in three parts, by a hash of their key, a stream stopping after each."""
+    rows.write.parquet(f"{place}/all")
+    whole = spark.read.schema(rows.schema).parquet(f"{place}/all")
+    for part in range(3):
+        here = F.pmod(F.xxhash64(*key), F.lit(3)) == part
+        whole.where(here).write.mode("append").parquet(f"{place}/inbox")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{place}/inbox")
+        taken.run(stream, f"{place}/checkpoint").awaitTermination()
+    return taken.read(spark)
+
+
+@register(
+    "streamed_summary",
+    f"WITH {SCORES_SQL}, rounded AS (SELECT sample_index, {ROUNDED_SQL} FROM weighted) {summary_sql('rounded')}",
+)
+def streamed_summary(spark, sf):
+    """The evaluation summary of samples that arrive in three parts."""
+    place = scratch_path(spark, "stream-summary")
+    totals = _in_three_parts(spark, eval_errors(spark, sf), place, summary_totals(f"{place}/state"), ["sample_index"])
+    return streamed_summary_of(totals)
+
+
+@register(
+    "streamed_counters",
+    f"""WITH {PREPARED_SQL}
+    SELECT source, count(*) AS total, count(*) FILTER (error IS NULL) AS processed,
+           count(*) FILTER (error IS NOT NULL) AS failed_samples
+    FROM prepared GROUP BY ROLLUP (source)""",
+)
+def streamed_counters(spark, sf):
+    """The counters of Prepare over rows that arrive in three parts."""
+    place = scratch_path(spark, "stream-counters")
+    rows = prepared(spark, sf).select("source", "row_key", "error")
+    totals = _in_three_parts(spark, rows, place, counter_totals(f"{place}/state"), ["source", "row_key"])
+    return streamed_counters_of(totals)
+
+
+@register(
+    "streamed_sample",
+    "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 150",
+)
+def streamed_sample(spark, sf):
+    """The sample of documents that arrive in three parts is the sample of all of them."""
+    place = scratch_path(spark, "stream-sample")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.md5("text").alias("text_md5"))
+    return _in_three_parts(spark, docs, place, StreamSample(f"{place}/state", 150, ["doc_id"]), ["doc_id"])
