@@ -43,11 +43,11 @@ def importable(s):
     import importlib.util
     return s.map(lambda _: importlib.util.find_spec("voxloom") is not None)
 print("IMPORTABLE", spark.range(1).select(importable("id")).first()[0])
-for name in ("dtw_similarity", "prepare_sources", "evaluate_pairs"):
+for name in ("dtw_similarity", "prepare_sources", "prepare_isolated", "evaluate_pairs"):
     print("ROWS", name, len(entry.queries()[name](spark, {small!r}).collect()))
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
     assert "IMPORTABLE False" in done.stdout
-    assert done.stdout.count("ROWS") == 3
+    assert done.stdout.count("ROWS") == 4
