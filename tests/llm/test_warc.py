@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import pytest
@@ -89,6 +90,52 @@ def test_several_records_in_one_member():
     assert read(b"", 10) == ([], [])
 
 
+def many(n=10):
+    return records(n)
+
+
+@pytest.mark.parametrize("chunk", [50, 1000, 1 << 20])
+def test_one_damaged_record_of_a_member_costs_one_record(chunk):
+    parts = many()
+    for at in (0, 4, 9):
+        block = bytearray(parts[at])
+        block[len(block) * 9 // 10] ^= 1
+        broken = member(b"".join([*parts[:at], bytes(block), *parts[at + 1 :]]))
+        found, gaps = read(broken + member(records(11)[10]), chunk)
+        assert [f[2] for f in found] == [i for i in range(11) if i != at]
+        start = sum(map(len, parts[:at]))
+        (gap,) = gaps
+        assert gap[2].startswith("block digest differs") and gap[2].endswith(f"(inflated bytes {start} to {start + len(block)})")
+
+
+@pytest.mark.parametrize("chunk", [50, 1 << 20])
+def test_a_false_length_in_a_member_costs_one_record(chunk):
+    parts = many()
+    for length in (b"3", b"999999999"):
+        false = re.sub(rb"\r\nContent-Length: \d+\r\n\r\nHTTP", b"\r\nContent-Length: " + length + b"\r\n\r\nHTTP", parts[3])
+        assert false != parts[3]
+        found, gaps = read(member(b"".join([*parts[:3], false, *parts[4:]])), chunk)
+        assert [f[2] for f in found] == [0, 1, 2, 4, 5, 6, 7, 8, 9] and len(gaps) == 1
+
+
+@pytest.mark.parametrize("chunk", [50, 1 << 20])
+def test_a_truncated_member_gives_the_records_before_its_end(chunk):
+    whole = member(b"".join(many()))
+    found, gaps = read(whole[:-20], chunk)
+    assert [f[2] for f in found][:9] == list(range(9)) and gaps[-1][:2] == (0, len(whole) - 20)
+    # Cut in the middle, with another member after it.
+    cut, after = whole[: len(whole) // 2], member(records(12)[11])
+    found, gaps = read(cut + after, chunk)
+    kept = [f[2] for f in found]
+    assert kept[-1] == 11 and kept[:-1] == list(range(len(kept) - 1)) and len(kept) > 4
+    assert gaps[-1][:2] == (0, len(cut))
+    # A damaged byte in the compressed data: the records before it.
+    flipped = bytearray(whole)
+    flipped[len(whole) * 3 // 4] ^= 0xFF
+    found, _ = read(bytes(flipped) + after, chunk)
+    assert [f[2] for f in found][:5] == list(range(5)) and found[-1][2] == 11
+
+
 def brute(rows):
     best = {}
     for i, _, html, _ in rows:

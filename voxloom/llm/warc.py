@@ -32,6 +32,7 @@ BLOCK_BYTES = 8_000_000
 # Fixed values of the format.
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
+LOOK = 1 << 16  # inflated bytes among which a member of records has a version line
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -172,48 +173,96 @@ class _Window:
         self.base = offset
 
 
-def _read_unit(window: _Window, offset: int) -> tuple[list[dict], int]:
-    """The records of the member, or the bare record, at ``offset``, and where it ends."""
-    at = offset - window.base
-    while len(window.data) - at < 10 and window.more():
+class Broken(Damaged):
+    """A member that does not inflate to its end; what its sound part held, and the gaps in that."""
+
+    def __init__(self, reason: str, records: list[dict], gaps: list[str]):
+        super().__init__(reason)
+        self.records, self.gaps = records, gaps
+
+
+def _sound_part(raw: bytes) -> bytes:
+    """What a broken member inflates to before its error, but for a few bytes."""
+    inflate, parts = zlib.decompressobj(31), []
+    try:
+        for at in range(0, len(raw), 16):
+            parts.append(inflate.decompress(raw[at : at + 16]))
+    except zlib.error:
         pass
-    if window.data[at : at + 3] != MEMBER:
-        while True:
-            try:
-                record, end = parse_record(window.data, at)
-                return [record], window.base + end
-            except Truncated:
-                if not window.more():
-                    raise
+    return b"".join(parts)
+
+
+def _inflate(window: _Window, at: int) -> tuple[bytes, int, str | None]:
+    """What the member at ``at`` inflates to, where it ends, and why it broke off if it did."""
     inflate = zlib.decompressobj(31)
     parts, fed = [], at
     try:
         while not inflate.eof:
             if fed == len(window.data) and not window.more():
-                raise Truncated("member without end")
+                return b"".join(parts), window.base + fed, "member without end"
             piece = window.data[fed : fed + window.chunk]
             fed += len(piece)
             parts.append(inflate.decompress(piece))
-            if len(parts) == 1 and len(parts[0]) >= 10 and not VERSION.match(parts[0]):
+            if len(parts) == 1 and len(parts[0]) >= LOOK and not VERSION.search(parts[0]):
                 raise Damaged("member without version line")
     except zlib.error as error:
-        raise Damaged(f"member: {str(error).split(':')[0].lower()}") from None
-    end = window.base + fed - len(inflate.unused_data)
-    data, place, records = b"".join(parts), 0, []
+        return _sound_part(window.data[at:fed]), window.base + fed, f"member: {str(error).split(':')[0].lower()}"
+    return b"".join(parts), window.base + fed - len(inflate.unused_data), None
+
+
+def _inner_records(data: bytes) -> tuple[list[dict], list[str]]:
+    """The records of a member's data that pass, and the gaps between them, with their places in that data.
+
+    After one that fails, the search goes on at the next version line inside the member.
+    """
+    place, records, gaps = 0, [], []
     while place < len(data):
-        record, place = parse_record(data, place)
-        records.append(record)
+        try:
+            record, place = parse_record(data, place)
+            records.append(record)
+        except Damaged as error:
+            found = VERSION.search(data, place + 1)
+            stop = found.start() if found else len(data)
+            if gaps and gaps[-1][1] == place:  # one gap, whatever false starts lie in it
+                gaps[-1][1] = stop
+            else:
+                gaps.append([place, stop, str(error)])
+            place = stop
+    return records, [f"{reason} (inflated bytes {start} to {stop})" for start, stop, reason in gaps]
+
+
+def _read_unit(window: _Window, offset: int) -> tuple[list[dict], list[str], int]:
+    """The records of the member, or the bare record, at ``offset``, the gaps inside it, and where it ends."""
+    at = offset - window.base
+    while len(window.data) - at < 10 and window.more():
+        pass
+    if window.data[at : at + 3] != MEMBER:
+        while True:
+            try:
+                record, end = parse_record(window.data, at)
+                return [record], [], window.base + end
+            except Truncated:
+                if not window.more():
+                    raise
+    data, end, broken = _inflate(window, at)
+    records, gaps = _inner_records(data)
+    if broken is not None:
+        raise Broken(broken, records, gaps)
     if not records:
-        raise Damaged("empty member")
-    return records, end
+        raise Damaged(gaps[0] if gaps else "empty member")
+    return records, gaps, end
 
 
 def salvage(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """``(start, end, record, None)`` of every record that passes and ``(start, end, None, reason)`` of every
     gap, in the order of a readable stream.
 
-    Holds one record (or member), one fetch and what a search looks ahead.  Only
-    bytes that belong to no sound record are in a gap.
+    Holds one record (or member), one fetch and what a search looks ahead.  Of a
+    member of several records those that pass are kept, whatever became of the
+    others: gaps inside a member begin and end at its start, and their reason says
+    which of its inflated bytes they are.  A member that does not inflate to its end
+    gives the records before that; they begin and end at its start too, and its
+    bytes, of which nothing tells where they end, are a gap.
     """
     window = _Window(stream, chunk)
     offset, gap, reason = 0, None, None
@@ -222,8 +271,16 @@ def salvage(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, int, dict | Non
         if not window.data and not window.more():
             break
         try:
-            records, end = _read_unit(window, offset)
+            records, inner, end = _read_unit(window, offset)
         except Damaged as error:
+            if isinstance(error, Broken) and error.records:
+                if gap is not None:
+                    yield gap, offset, None, reason
+                    gap = None
+                for record in error.records:
+                    yield offset, offset, record, None
+                for told in error.gaps:
+                    yield offset, offset, None, told
             if gap is None:
                 gap, reason = offset, str(error)
             # The next place that may begin a record; three bytes may straddle a fetch.
@@ -242,6 +299,8 @@ def salvage(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, int, dict | Non
         if gap is not None:
             yield gap, offset, None, reason
             gap = None
+        for told in inner:
+            yield offset, offset, None, told
         for record in records:
             yield offset, end, record, None
         offset = end
