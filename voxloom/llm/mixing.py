@@ -28,6 +28,8 @@ from voxloom.llm.common import BROADCAST_ROWS, checked_join, stored
 GOLDEN = 2654435769
 POINTS = 1 << 32
 CELLS = 1024
+# The owner of the slots that small sources share.
+POOL = -1
 
 
 @dataclass(frozen=True)
@@ -87,11 +89,12 @@ def targets(sizes: DataFrame, how: Mix) -> DataFrame:
 
 def schedule(sources: DataFrame, how: Mix) -> DataFrame:
     """``(slot, sid, nth, first_word)``: the slots in order, whose they are, and where in the source's
-    endless stream the slot's block of ``block`` words begins."""
+    endless stream the slot's block of ``block`` words begins; the pool of small sources is ``POOL``."""
     total = int(sources.agg(F.sum("source_size")).first()[0] or 0)
     block, slots = slot_size(total, how)
+    owners = sources.groupBy(_owner(block).alias("sid")).agg(F.sum("target").alias("target"))
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = sources.select("sid", F.least(F.floor(F.sum("target").over(upto) / F.lit(max(total, 1)) * POINTS), F.lit(POINTS)).alias("hi"))
+    ends = owners.select("sid", F.least(F.floor(F.sum("target").over(upto) / F.lit(max(total, 1)) * POINTS), F.lit(POINTS)).alias("hi"))
     parts = ends.select("sid", F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0)).alias("lo"), "hi").where("lo < hi")
     width = POINTS // CELLS
     cells = parts.select("*", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
@@ -113,6 +116,14 @@ def schedule(sources: DataFrame, how: Mix) -> DataFrame:
     )
 
 
+def _owner(block: int) -> Column:
+    """Whose slots a source's words are in: its own, or the pool's.
+
+    Golden-ratio points leave no gap of two slots, so whoever has two blocks has a slot.
+    """
+    return F.when(F.col("target") < 2 * block, F.lit(POOL)).otherwise(F.col("sid")).cast("long")
+
+
 def slot_size(total: int, how: Mix) -> tuple[int, int]:
     """Words of a slot, and number of slots that hold ``total`` words."""
     block = max(how.least_block, -(-total // how.most_slots))
@@ -135,12 +146,25 @@ def _pieces(rows: DataFrame, how: Mix) -> tuple[DataFrame, DataFrame]:
     total = int(sources.agg(F.sum("source_size")).first()[0] or 0)
     block, slots = slot_size(total, how)
     slot = stored(schedule(sources, how), "schedule")
-    mine = slot.groupBy("sid").agg(F.max("nth").alias("last"), F.max("slot").alias("slot"))
-    # The last slot of all is as long as what is left of the total.
-    beyond = F.when(F.col("slot") == slots - 1, F.lit(block * slots - total)).otherwise(F.lit(0))
-    upto = F.least((F.coalesce("last", F.lit(-1)) + 1) * block - beyond, how.most * F.col("source_size"))
-    ends = sources.join(mine, "sid", "left").select("unnamed", "name", "sid", "source_size", upto.alias("words"))
-    ends = stored(ends.where("words > 0"), "ends")
+    mine = slot.groupBy(F.col("sid").alias("owner")).agg(F.count("*").alias("n"))
+    # Every source ends at the nearest word to its target; the pool's follow one another.
+    aims = sources.select("*", _owner(block).alias("owner"), F.floor(F.col("target") + 0.5).alias("words")).where("words > 0")
+    earlier = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    pool = aims.where(F.col("owner") == POOL).select("*", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
+    pooled = int(pool.agg(F.sum("words")).first()[0] or 0)
+    own = aims.where(F.col("owner") != POOL).select("*", F.lit(0).cast("long").alias("base"))
+    known = pool.unionByName(own).join(mine, "owner", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    # A pool without a slot gets one behind all others.
+    behind = sources.sparkSession.range(1).select(F.lit(slots).cast("long").alias("slot"), F.lit(POOL).cast("long").alias("sid"), F.lit(0).cast("long").alias("nth"))
+    places = slot.select("slot", "sid", "nth")
+    if pooled and slot.where(F.col("sid") == POOL).isEmpty():
+        places = places.unionByName(behind)
+    length = F.when(F.col("owner") == POOL, F.expr(f"({pooled} + n - 1) div n")).otherwise(F.lit(block))
+    ends = known.select(
+        "unnamed", "name", "source_size", "words", F.col("owner").alias("sid"), "base", length.cast("long").alias("block"),
+        (F.col("n") - 1).alias("last"),
+    )
+    ends = stored(ends, "ends")
 
     # Where a document's words begin: its bucket, then its place inside the bucket; equal ones are one interval.
     sums = sizes.groupBy("unnamed", "name", "bucket").agg(F.sum("size").alias("words_in"))
@@ -157,11 +181,13 @@ def _pieces(rows: DataFrame, how: Mix) -> tuple[DataFrame, DataFrame]:
     rounds = placed.select("*", F.explode(F.expr("sequence(0L, (words - 1) div source_size)")).alias("round"))
     rounds = rounds.select("*", (F.col("round") * F.col("source_size") + F.col("start") + F.col("inside")).alias("a"))
     rounds = rounds.select("*", F.least(F.col("a") + F.col("m") * F.col("size"), F.col("words")).alias("b")).where("a < b")
-    cut = rounds.select("*", F.explode(F.expr(f"sequence(a div {block}, (b - 1) div {block})")).alias("nth"))
-    met = cut.join(slot, ["sid", "nth"]).select(
-        "slot", "unnamed", "name", "h", "size", "m", "doc_id", "round", "a",
-        F.greatest("a", "first_word").alias("begin"), F.least("b", F.col("first_word") + block).alias("end"),
-    )
+    numbers = "sequence(least((base + a) div block, last), least((base + b - 1) div block, last))"
+    cut = rounds.select("*", F.explode(F.expr(numbers)).alias("nth"))
+    first = F.col("nth") * F.col("block") - F.col("base")
+    upto = F.when(F.col("nth") == F.col("last"), F.col("b")).otherwise(F.least("b", first + F.col("block")))
+    met = cut.join(places, ["sid", "nth"]).select(
+        "slot", "unnamed", "name", "h", "size", "m", "doc_id", "round", "a", F.greatest("a", first).alias("begin"), upto.alias("end")
+    )
     return stored(met, "mixed"), sources
 
 
@@ -169,7 +195,7 @@ def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     """``(slot, place, doc_id, source, round, copy, first, last)``: the mixed stream of ``docs(doc_id, text, source)``.
 
     A row says that the slot holds the document's words from number ``first`` up to
-    ``last``, exclusively; ordered by slot and place (the number of the word in
+    ``last``, exclusively; ordered by slot, source and place (the number of the word in
     its source's endless stream) the rows are the whole mix.  ``round`` counts how
     often the source's stream was gone through before, ``copy`` tells rows that
     repeat apart.  A null source stays null; documents without words are in no slot.

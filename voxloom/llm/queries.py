@@ -235,8 +235,6 @@ WITH docs AS (
   FROM documents
 ), total AS (
   SELECT CAST(sum(size) AS BIGINT) AS s FROM docs
-), plan AS (
-  SELECT s, greatest(64, (s + 4194303) // 4194304) AS block FROM total
 ), names AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM docs GROUP BY source
@@ -249,19 +247,8 @@ WITH docs AS (
 ), aimed AS (
   SELECT *, CASE WHEN stops THEN cap ELSE w * (s - coalesce(sum(CASE WHEN stops THEN cap END) OVER (), 0))
     / sum(CASE WHEN NOT stops THEN w END) OVER () END AS target FROM judged
-), bounds AS (
-  SELECT *, least(CAST(floor(sum(target) OVER (ORDER BY sid) / s * 4294967296) AS BIGINT), 4294967296) AS hi FROM aimed
-), parts AS (
-  SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo FROM bounds
-), slots AS (
-  SELECT k, ((k + 1) * 2654435769) % 4294967296 AS u FROM plan, LATERAL (SELECT unnest(range(0, (s + block - 1) // block)) AS k)
-), owned AS (
-  SELECT sid, count(*) AS n, max(k) AS top FROM slots JOIN parts ON lo <= u AND u < hi GROUP BY sid
 ), ends AS (
-  SELECT parts.source, source_size, target,
-    least(coalesce(n, 0) * block - CASE WHEN top = (plan.s + block - 1) // block - 1
-      THEN block * ((plan.s + block - 1) // block) - plan.s ELSE 0 END, 3 * source_size) AS words
-  FROM parts LEFT JOIN owned USING (sid), plan
+  SELECT source, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS words FROM aimed
 ), grouped AS (
   SELECT source, h, size, count(*) AS m FROM docs GROUP BY ALL
 ), placed AS (
