@@ -118,3 +118,25 @@ def test_the_library_works_without_the_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'build_training_set' in q and 'pipeline' not in q; print(len(q), len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_near_duplicates_without_ids_or_broadcasts(spark, documents, monkeypatch):
+    from collections import Counter
+
+    import corpus_pipeline as cp
+    from llm_texts import prose
+
+    texts = [prose(i % 7, 80 + i % 7) for i in range(28)] + ["", None, ""]
+    docs = documents(texts, [None if i % 3 == 0 else i for i in range(31)])
+    docs = docs.unionByName(docs.where("doc_id in (1, 2)"))
+
+    def kept():
+        return Counter((r.doc_id, r.text) for r in cp.remove_near_duplicates(spark, docs, "").collect())
+
+    want = kept()
+    # Of each text the smallest id stays, and one row without any.
+    assert all(n == 1 for n in want.values())
+    assert {t for _, t in want} == set(texts)
+    pick = cp.pick_rows
+    monkeypatch.setattr(cp, "pick_rows", lambda *a, **k: pick(*a, **k, bound=0))
+    assert kept() == want

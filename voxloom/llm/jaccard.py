@@ -373,8 +373,11 @@ def class_links(docs: DataFrame, classes: DataFrame, how: JaccardJoin) -> DataFr
             tokens = pa.array([s.tobytes() for s, k in zip(sets, same) if k], pa.binary())
             yield pa.RecordBatch.from_arrays([*columns, tokens], names=["vid", "n", "m", "cluster", "all", "chunk", "tokens"])
 
-    texts = pick_rows(docs.select("doc_id", "text"), placed, F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = map_arrow(texts.drop("doc_id", "rep"), with_sets, "vid long, n long, m long, cluster long, all long, chunk long, tokens binary")
+    named = placed.where("rep is not null")
+    texts = pick_rows(docs.select("doc_id", "text"), named, F.col("doc_id") == F.col("rep")).drop("doc_id", "rep")
+    if not placed.where("rep is null").isEmpty():
+        texts = texts.unionByName(_texts_without_id(docs, placed.where("rep is null").drop("rep"), width))
+    sets = map_arrow(texts, with_sets, "vid long, n long, m long, cluster long, all long, chunk long, tokens binary")
     sets = stored(sets.dropDuplicates(["vid"]), "sets")
 
     # Small clusters share units; each larger one has a unit per pair of chunks that can match.
@@ -403,6 +406,22 @@ def class_links(docs: DataFrame, classes: DataFrame, how: JaccardJoin) -> DataFr
     return small.unionByName(large).groupBy("u1", "u2", "u3").applyInArrow(lambda t: _search_unit(t, how), _LINKED)
 
 
+def _texts_without_id(docs: DataFrame, placed: DataFrame, width: int) -> DataFrame:
+    """One text of every placed class whose rows all have no id: found by the digest of its set, as ids of
+    null would all meet in one task, and each with every class."""
+
+    def digest(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for part in blocks(batch, "text", BLOCK_BYTES):
+            digests = [xxhash.xxh3_128_hexdigest(shingle_set(t.as_py(), width).tobytes()) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), part.column("text")], names=["digest", "text"])
+
+    rows = docs.where("doc_id is null and text is not null").select("text")
+    found = map_arrow(rows, digest, "digest string, text string").dropDuplicates(["digest"])
+    return pick_rows(found, placed, F.col("digest") == F.col("of")).drop("digest")
+
+
 def jaccard_classes(docs: DataFrame, how: JaccardJoin = JaccardJoin()) -> DataFrame:
     """``(doc_id, n_shingles, class_id, component_id, n_links)`` for every row of ``(doc_id, text)``.
 
