@@ -42,9 +42,11 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     marks = later.join(often.select("gone", F.lit(True).alias("is_often")), "gone", "full_outer")
     marks = stored(marks, "marks")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("tid"))
-    both = pick_rows(rows, marks, F.col("doc_id") == F.col("gone"), how="left").where("is_later is null")
-    again = F.col("is_often").isNotNull() | F.col("doc_id").isNull()
-    once = both.where(again).dropDuplicates(["doc_id", "tid"]).select("row")
+    # Rows without an id have no marks; joined, they would all meet in one task.
+    both = pick_rows(rows.where("doc_id is not null"), marks, F.col("doc_id") == F.col("gone"), how="left").where("is_later is null")
+    again = F.col("is_often").isNotNull()
+    lost = rows.where("doc_id is null")
+    once = both.where(again).select(*rows.columns).unionByName(lost).dropDuplicates(["doc_id", "tid"]).select("row")
     return both.where(~again).select("row").unionByName(once).select("row.*")
 
 
