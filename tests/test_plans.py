@@ -102,7 +102,7 @@ def test_pushed_filter_does_not_make_frames_quadratic(spark):
 STORED = {
     "load_encoded", "requested_training_set", "requested_batches", "batch_stored_set", "build_report", "merged_json",
     "load_raw_audio", "publish_prepared", "evaluation_results", "streamed_training_rows",
-    "streamed_batches", "streamed_summary", "streamed_counters", "streamed_sample", "judged_build",
+    "streamed_batches", "streamed_summary", "streamed_counters", "streamed_sample", "judged_build", "live_preparation",
 }
 
 

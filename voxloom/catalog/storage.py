@@ -57,6 +57,7 @@ from voxloom.sources.clustered import ClusteredTable
 from voxloom.specs import BuildRequest, CategoricalFilter, EncodedSource, PrepareRequest, merged_name
 from voxloom.streaming.batches import StreamBatches
 from voxloom.streaming.build import stream_rejects, stream_training_rows, write_available
+from voxloom.streaming.status import RunStatus
 from voxloom.streaming.totals import StreamSample, counter_totals, summary_totals
 from voxloom.streaming.totals import streamed_counters as streamed_counters_of
 from voxloom.streaming.totals import streamed_summary as streamed_summary_of
@@ -323,6 +324,32 @@ def run_preparation(spark, sf):
     return rows("merged", merged, none).unionByName(rejects).unionByName(rows("published", published, none)).unionByName(counters)
 
 
+@register(
+    "live_preparation",
+    f"""WITH {PREPARED_SQL}, done AS (
+      SELECT count(*) FILTER (source = '{SPOKEN.dataset_name}') AS first_total,
+             count(*) FILTER (source = '{SPOKEN.dataset_name}' AND error IS NOT NULL) AS first_failed,
+             count(*) AS total, count(*) FILTER (error IS NOT NULL) AS failed
+      FROM prepared WHERE source <> '{CHAT.dataset_name}')
+    SELECT 'starting' AS status, 0 AS datasets_done, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS processed,
+           CAST(0 AS BIGINT) AS failed_samples
+    UNION ALL SELECT 'running', 0, first_total, first_total - first_failed, first_failed FROM done
+    UNION ALL SELECT 'running', 1, total, total - failed, failed FROM done
+    UNION ALL SELECT 'completed', 2, total, total - failed, failed FROM done""",
+)
+def live_preparation(spark, sf):
+    """The status that a run over two stored sources leaves, the last row of each of its parts."""
+    root = scratch_path(spark, "live-preparation")
+    writers.publish_encoded(spoken(spark, sf).repartition(3), root, SPOKEN.dataset_name, "train")
+    writers.publish_encoded(decoded(spark, sf).repartition(2), root, DECODED.dataset_name, "train")
+    request = PrepareRequest([SPOKEN, DECODED], f"{root}/out", "speech/all")
+    preparation.prepare_live(spark, request, root, load_sum_encoder, f"{root}/live", files_per_step=2, loader=LOADER)
+    rows = RunStatus(spark, f"{root}/live/status").read()
+    values = F.struct("number", "total", "processed", "failed_samples")
+    last = rows.groupBy("status", "datasets_done").agg(F.max(values).alias("last"))
+    return last.select("status", "datasets_done", "last.total", "last.processed", "last.failed_samples")
+
+
 @register(
     "prepare_audio_files",
     f"""WITH {PREPARED_SQL}

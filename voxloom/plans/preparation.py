@@ -12,10 +12,12 @@ from voxloom.operators.encode import BatchEncoder, Encoder, encode_audio
 from voxloom.operators.isolation import Isolation
 from voxloom.operators.report import observed, prep_counters, run_report, split_rejects
 from voxloom.operators.rows import attach_text, resolve_speaker, union_sources
-from voxloom.session import remove_table, scratch_path
-from voxloom.sources.readers import load_raw_audio
+from voxloom.session import folder_names, remove_table, scratch_path
+from voxloom.sources.readers import dataset_path, load_raw_audio
 from voxloom.sources.writers import publish_encoded, write_merged_json
 from voxloom.specs import PrepareRequest, RawSource, merged_name
+from voxloom.streaming.state import MicroState, run_available
+from voxloom.streaming.status import RunStatus
 
 
 def prepare_source(
@@ -136,7 +138,14 @@ def run_preparation(
     stage = staging or scratch_path(spark, "prepare")
     encoded.write.mode("overwrite").parquet(stage)
 
-    staged = spark.read.parquet(stage)
+    report = _write_prepared(spark, spark.read.parquet(stage), request)
+    if staging is None:
+        remove_table(spark, stage)
+    return report
+
+
+def _write_prepared(spark: SparkSession, staged: DataFrame, request: PrepareRequest) -> DataFrame:
+    """Merged JSON, published dataset, rejects and counters of stored rows; returns the one-row report."""
     sound, rejects = split_rejects(staged)
     names = [s.dataset_name for s in request.datasets]
     path = write_merged_json(sound, request.output_dir, names, request.hub_repo)
@@ -148,8 +157,79 @@ def run_preparation(
     # Counters per source, with a total, beside the rejects.
     folder, name = request.output_dir.rstrip("/"), merged_name(names, request.hub_repo)
     prep_counters(staged).coalesce(1).write.mode("overwrite").parquet(f"{folder}/counters/{name}")
-    done = run_report(staged, datasets_total=len(sources), output_path=path, hub_repo=request.hub_repo)
-    report = spark.createDataFrame(done.collect(), done.schema)  # one row
-    if staging is None:
-        remove_table(spark, stage)
+    done = run_report(staged, datasets_total=len(names), output_path=path, hub_repo=request.hub_repo)
+    return spark.createDataFrame(done.collect(), done.schema)  # one row
+
+
+def prepare_live(
+    spark: SparkSession,
+    request: PrepareRequest,
+    root: str,
+    load_encoder: Callable[[], Encoder] | Callable[[], BatchEncoder],
+    place: str,
+    *,
+    files_per_step: int = 1000,
+    loader: AudioLoader = AudioLoader(),
+    batch_rows: int = 1,
+    isolation: Isolation | None = None,
+) -> DataFrame:
+    """``run_preparation`` that tells how far it is and goes on where it was ended.
+
+    The sources are read one after the other as streams, ``files_per_step`` files at
+    a time.  Each step's rows are stored below ``place``, a shared folder, and its
+    counts added to the ``RunStatus`` in ``place/status``: ``starting``, ``running``
+    after every step, then ``completed``, or ``failed`` with the error, which is raised.
+    Called again with the same ``place`` the run repeats no step that was stored.
+    """
+    place = place.rstrip("/")
+    status = RunStatus(spark, f"{place}/status")
+    known = {"datasets_total": len(request.datasets), "hub_repo": request.hub_repo}
+    counts = {"total": 0, "processed": 0, "failed_samples": 0}
+    done, current = 0, None
+    status.note("starting", datasets_done=0, **counts, **known)
+    try:
+        for done, source in enumerate(request.datasets):
+            current = source.dataset_name
+            before = dict(counts)
+            state = MicroState(f"{place}/state/{done}")
+
+            def tell(micro: int | None) -> None:
+                mark = None if micro is None else state.mark(spark, micro).asDict()
+                counts.update({c: before[c] + (mark[c] if mark else 0) for c in counts})
+                status.note("running", current_dataset=current, datasets_done=done, **counts, **known)
+
+            def step(rows: DataFrame, micro: int) -> None:
+                due, last = state.due(spark, micro)
+                if due:
+                    path = f"{place}/encoded/{done}/step={micro}"
+                    encoded = prepare_source(rows, source, load_encoder, loader=loader, batch_rows=batch_rows, isolation=isolation)
+                    encoded.write.mode("overwrite").parquet(path)
+                    failed = F.count_if(F.col("error").isNotNull())
+                    n, bad = spark.read.schema(encoded.schema).parquet(path).agg(F.count(F.lit(1)), failed).first()
+                    old = {"total": 0, "processed": 0, "failed_samples": 0} if last is None else state.mark(spark, last).asDict()
+                    state.finish(
+                        spark, micro, total=old["total"] + n, processed=old["processed"] + n - bad, failed_samples=old["failed_samples"] + bad
+                    )
+                tell(micro)
+
+            stored = load_raw_audio(spark, root, current, split=source.split)
+            stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files_per_step)
+            stream = stream.parquet(dataset_path(root, current, None, source.split))
+            tell(state.committed(spark))
+            run_available(stream, step, f"{place}/checkpoint/{done}").awaitTermination()
+            tell(state.committed(spark))
+        done, current = len(request.datasets), None
+        schema = prepare_source(stored, source, load_encoder, loader=loader, batch_rows=batch_rows, isolation=isolation).schema
+        steps = [
+            f"{place}/encoded/{k}/{name}"
+            for k in range(done)
+            for name in folder_names(spark, f"{place}/encoded/{k}")
+            if name.startswith("step=")
+        ]
+        rows = spark.read.schema(schema).parquet(*steps) if steps else spark.createDataFrame([], schema)
+        report = _write_prepared(spark, rows, request)
+    except Exception as failure:
+        status.note("failed", current_dataset=current, datasets_done=done, error=str(failure), **counts, **known)
+        raise
+    status.note("completed", datasets_done=done, output_path=report.first().output_path, **counts, **known)
     return report
