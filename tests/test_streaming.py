@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxloom.plans.training import build_rows, sound_rows
@@ -40,3 +41,19 @@ def test_scratch_paths_lie_in_the_shared_folder(spark):
 
     a, b = scratch_path(spark, "t"), scratch_path(spark, "t")
     assert a != b and a.startswith(shared_dir(spark))
+
+
+def test_a_cluster_may_name_its_shared_folder_without_a_scheme(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from voxloom.session import shared_dir
+
+    def session(**conf):
+        context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=conf, sparkContext=context, _jvm=spark._jvm, _jsc=spark._jsc)
+
+    named = {"spark.checkpoint.dir": f"{tmp_path}/shared/"}
+    assert shared_dir(session(**named)) == f"file:{tmp_path}/shared"
+    assert shared_dir(session(**{"spark.checkpoint.dir": "hdfs://store/shared"})) == "hdfs://store/shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session())
