@@ -162,3 +162,12 @@ def test_the_sample_reads_contents_of_tied_rows_only(spark, tmp_path):
         for r in found:
             by_key[r.k] = by_key.get(r.k, 0) + 1
         assert sorted(by_key.values())[:-1] == [75] * (len(by_key) - 1) or sorted(by_key.values(), reverse=True)[:-1] == [75] * (len(by_key) - 1)
+
+
+def test_the_query_of_equal_keys_returns_every_document(spark, small):
+    from voxloom.catalog.sampling import assign_batches_equal_keys
+
+    n = spark.read.parquet(f"{small}/documents.parquet").count()
+    got = assign_batches_equal_keys(spark, small).collect()
+    assert len({r.doc_id for r in got}) == len(got) == n
+    assert {(r.n, r.n_batches, r.in_full_batches) for r in got} == {(n, -(-n // 8), n - n % 8)}
