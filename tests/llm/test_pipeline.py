@@ -140,3 +140,29 @@ def test_near_duplicates_without_ids_or_broadcasts(spark, documents, monkeypatch
     pick = cp.pick_rows
     monkeypatch.setattr(cp, "pick_rows", lambda *a, **k: pick(*a, **k, bound=0))
     assert kept() == want
+
+
+def test_blocks_of_text_take_little_memory():
+    """A worker of the first and of the last stage holds one block's arrays at a time."""
+    import tracemalloc
+
+    import numpy as np
+
+    from voxloom.llm import pieces, toxicity
+    from voxloom.llm.queries import PIECE_MODEL
+
+    model = pieces.Pieces(PIECE_MODEL)
+    weights = toxicity.start_weights(toxicity.ToxicityModel()) | {"calibration": np.zeros(3)}
+    line = " ".join(f"word{i % 997} of{i % 89}" for i in range(200))
+
+    def peak(job, block):
+        texts = [line] * (1 + block // len(line))
+        job(texts[:2])
+        tracemalloc.start()
+        job(texts)
+        found = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found
+
+    assert peak(lambda t: pieces.encode_texts(model, t, np.arange(len(t), dtype=np.uint64), 0.1), pieces.BLOCK_BYTES) < 25_000_000
+    assert peak(lambda t: toxicity.score_texts(weights, t), toxicity.BLOCK_BYTES) < 8_000_000

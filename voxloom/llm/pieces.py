@@ -27,7 +27,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from voxloom.llm.common import blocks, map_arrow, row_and, with_fields
 
 SPACE = "▁"
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 250_000  # text whose arrays a worker holds at once
 LONG_WORD = 64
 SLICE = 120_000
 _LAST = np.int64(1) << 62  # agenda entries of no piece begin here

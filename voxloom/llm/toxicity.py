@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from voxloom.llm.common import blocks, labelled_sample, logistic_fit, map_arrow, row_and, whole_rows, with_fields
 
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 250_000  # text whose arrays a worker holds at once
 # Punctuation and white space part words; A-Z are lower-cased; bytes from 128 on are letters.
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256)
