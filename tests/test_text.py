@@ -36,3 +36,9 @@ def test_a_detokenizer_isolates_rows(spark):
     df = spark.createDataFrame([(0, [1, 2]), (1, [7]), (2, None), (3, [])], "i int, ids array<int>").coalesce(1)
     got = {r.i: r.t for r in df.select("i", arrow_detokenizer(load)(F.col("ids")).alias("t")).collect()}
     assert got == {0: "1-2", 1: None, 2: None, 3: ""}
+
+
+def test_texts_are_spelled_by_batch_and_not_by_character(spark):
+    df = spark.createDataFrame([([100],)], "ids array<int>").select(chars_from_ids("ids"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan

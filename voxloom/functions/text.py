@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.functions.arrays import as_column, empty_ints, int_array
+from voxloom.functions.arrays import INT_ARRAY, as_column, empty_ints, int_array
 from voxloom.vocab import DEFAULT_LAYOUT, TokenLayout
 
 Tokenizer = Callable[[Column], Column]
@@ -76,59 +77,38 @@ def char_tokenizer(*, add_start: bool = True, layout: TokenLayout = DEFAULT_LAYO
     return tokenize
 
 
-def _written(points: Column) -> Column:
-    """Code points as UTF-32 hex, decoded in one go."""
-    return F.decode(F.unhex(F.array_join(F.transform(points, lambda x: F.lpad(F.hex(x), 8, "0")), "")), "UTF-32")
+def _points(ids: np.ndarray) -> np.ndarray | None:
+    """Code points of ids; ``None`` if they spell no text."""
+    values = ids.astype(np.int64) - CHAR_BASE
+    if not len(values) or (values.min() >= 0 and values.max() < CHAR_PAIRS):
+        return values
+    plain = (values >= 0) & (values < CHAR_PAIRS)
+    high = (values >= CHAR_PAIRS) & (values <= CHAR_PAIRS + (CHAR_TOP >> 10))
+    low = (values >= CHAR_LOW) & (values < CHAR_LOW + 1024)
+    # Every first half is followed by a second one, and no second one stands alone.
+    if not (plain | high | low).all() or high[-1] or low[0] or (high[:-1] != low[1:]).any():
+        return None
+    at = np.flatnonzero(high)
+    values[at] = ((values[at] - CHAR_PAIRS) << 10) + values[at + 1] - CHAR_LOW
+    return None if (values[at] < CHAR_PAIRS + 0x800).any() else values[~low]
 
 
-def _paired_points(ids: Column) -> Column:
-    """Code points of ids that may hold pairs; null if they spell no text."""
-    values = F.transform(ids, lambda x: x - F.lit(CHAR_BASE))
-    high = CHAR_PAIRS + (CHAR_TOP >> 10)
+def _spelled(ids: pa.Scalar) -> str | None:
+    if not ids.is_valid or ids.values.null_count:
+        return None
+    points = _points(ids.values.to_numpy())
+    return None if points is None else points.astype("<u4").tobytes().decode("utf-32-le")
 
-    def is_high(x: Column) -> Column:
-        return (x >= CHAR_PAIRS) & (x <= high)
 
-    def is_low(x: Column) -> Column:
-        return (x >= CHAR_LOW) & (x < CHAR_LOW + 1024)
-
-    def point(x: Column, then: Column) -> Column:
-        """The code point that begins at an id; -1 inside a pair, -2 for an id that begins none."""
-        pair = F.shiftleft(x - CHAR_PAIRS, 10) + (then - CHAR_LOW)
-        return (
-            F.when((x >= 0) & (x < CHAR_PAIRS), x)
-            .when(is_high(x) & F.coalesce(is_low(then), F.lit(False)), F.when(pair >= CHAR_PAIRS + 0x800, pair).otherwise(-2))
-            .when(is_low(x), -1)
-            .otherwise(-2)
-        )
-
-    following = F.slice(values, F.lit(2), F.greatest(F.array_size(values), F.lit(1)))
-    points = F.zip_with(values, following, lambda x, y: F.when(x.isNotNull(), point(x, y)))
-    pairs = F.array_size(F.filter(values, is_high)) == F.array_size(F.filter(values, is_low))
-    sound = pairs & ~F.exists(points, lambda x: x == -2) & ~F.exists(values, lambda x: x.isNull())
-    return F.when(sound, F.filter(points, lambda x: x >= 0))
+def chars_from_ids(ids: Column | str) -> Column:
+    """Inverse of ``char_ids``; null for ids that spell no text.  Runs in Python on Arrow batches."""
 
+    @F.arrow_udf(T.StringType())
+    def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([_spelled(x) for x in batch], pa.string())
 
-def chars_from_ids(ids: Column | str) -> Column:
-    """Inverse of ``char_ids``; null for ids that spell no text."""
-    first, last = CHAR_BASE, CHAR_BASE + CHAR_PAIRS
-
-    def text(v: Column) -> Column:
-        plain = (F.array_min(v) >= first) & (F.array_max(v) < last)
-        simple = F.when(plain, _written(F.transform(v, lambda x: x - F.lit(CHAR_BASE))))
-        # Nulls among the ids leave the text too short.
-        return F.element_at(
-            F.transform(
-                F.array(simple),
-                lambda t: F.when(F.array_size(v) == 0, F.lit(""))
-                .when(F.length(t) == F.array_size(v), t)
-                .otherwise(_written(_paired_points(v))),
-            ),
-            1,
-        )
-
-    # The lambda's argument is made once, however often the cases look at it.
-    return F.element_at(F.transform(F.array(as_column(ids)), text), 1)
+    return spell(as_column(ids).cast(INT_ARRAY))
 
 
 def char_detokenizer() -> Detokenizer:
