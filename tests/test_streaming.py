@@ -57,3 +57,12 @@ def test_a_cluster_may_name_its_shared_folder_without_a_scheme(spark, tmp_path):
     assert shared_dir(session(**{"spark.checkpoint.dir": "hdfs://store/shared"})) == "hdfs://store/shared"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session())
+
+
+def test_a_stream_reads_a_table_of_several_files(spark, small, tmp_path):
+    from voxloom.catalog import QUERIES
+
+    spark.read.parquet(f"{small}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("streamed_rejects", "streamed_training_rows"):
+        expected = QUERIES[name](spark, small).collect()
+        assert sorted(QUERIES[name](spark, str(tmp_path)).collect()) == sorted(expected)

@@ -437,12 +437,9 @@ def evaluation_results(spark, sf):
 
 
 def _document_stream(spark, sf):
-    """The documents as they arrive, as encoded rows."""
-    stream = (
-        spark.readStream.schema(table(spark, sf, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-    )
+    """The documents as they arrive, as encoded rows; the table is one file or a folder of files."""
+    # A pattern, because a stream takes a plain path for a folder.
+    stream = spark.readStream.schema(table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parque[t]")
     return derived_layers(speakers(stream))
 
 
