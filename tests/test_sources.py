@@ -235,3 +235,18 @@ def test_wide_integers_and_extra_columns(spark, tmp_path, fmt):
     assert dict(built.dtypes)["input_ids"] == "array<int>" and built.count() == 6
     if fmt == "parquet":
         assert "LessThanOrEqual(encoded_len,375)" in built._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_rows_come_in_row_groups_that_a_reader_can_hold(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(1000).select("id", F.array_repeat(F.col("id").cast("int"), 50).alias("input_ids")).coalesce(1)
+    judged = rows.withColumn("error", F.lit(None).cast("string"))
+    writers.write_judged_set(judged, f"{tmp_path}/judged")
+    writers.write_training_set(rows, f"{tmp_path}/train")
+    writers.publish_encoded(rows, f"{tmp_path}/published", "org/set")
+    for path in (tmp_path / "judged" / "train", tmp_path / "train", tmp_path / "published" / "org" / "set" / "train"):
+        (file,) = path.glob("part-*.parquet")
+        stored = pq.ParquetFile(file).metadata
+        groups = [stored.row_group(i).num_rows for i in range(stored.num_row_groups)]
+        assert sum(groups) == 1000 and max(groups) <= 128

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from voxloom.functions.text import Tokenizer
 from voxloom.plans.training import build_rows, rejected_rows, sound_rows
+from voxloom.session import LONG_ROWS
 from voxloom.vocab import DEFAULT_LAYOUT, TokenLayout
 
 
@@ -40,6 +41,7 @@ def write_available(rows: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return (
         rows.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
+        .options(**LONG_ROWS)
         .trigger(availableNow=True)
         .outputMode("append")
         .start(path)
