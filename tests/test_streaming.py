@@ -66,3 +66,19 @@ def test_a_stream_reads_a_table_of_several_files(spark, small, tmp_path):
     for name in ("streamed_rejects", "streamed_training_rows"):
         expected = QUERIES[name](spark, small).collect()
         assert sorted(QUERIES[name](spark, str(tmp_path)).collect()) == sorted(expected)
+
+
+def test_a_stream_writes_row_groups_that_a_reader_can_hold(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from voxloom.session import LONG_ROWS
+
+    rows = spark.range(1000).select("id", F.array_repeat(F.col("id").cast("int"), 50).alias("input_ids"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    write_available(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    (file,) = (tmp_path / "out").glob("part-*.parquet")
+    stored = pq.ParquetFile(file).metadata
+    groups = [stored.row_group(i).num_rows for i in range(stored.num_row_groups)]
+    assert sum(groups) == 1000 and max(groups) <= 128
+    assert all(spark.conf.get(key, None) is None for key in LONG_ROWS)

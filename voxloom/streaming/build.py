@@ -38,11 +38,14 @@ def write_available(rows: DataFrame, path: str, checkpoint: str) -> StreamingQue
     The checkpoint makes a restart continue where the last run ended, and the
     file sink commits each batch exactly once.
     """
-    return (
-        rows.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .options(**LONG_ROWS)
-        .trigger(availableNow=True)
-        .outputMode("append")
-        .start(path)
-    )
+    spark = rows.sparkSession
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+    # The file sink takes Parquet's settings from the session, when it starts, and not from its options.
+    before = {key: spark.conf.get(key, None) for key in LONG_ROWS}
+    try:
+        for key, value in LONG_ROWS.items():
+            spark.conf.set(key, value)
+        return writer.trigger(availableNow=True).outputMode("append").start(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
