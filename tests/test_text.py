@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from voxloom.functions.text import arrow_detokenizer, char_ids, chars_from_ids
+from voxloom.functions.text import (
+    _point_lists,
+    arrow_detokenizer,
+    batch_char_tokenizer,
+    char_ids,
+    char_tokenizer,
+    chars_from_ids,
+    text_ids,
+)
 
 TEXTS = ["", "plain", "é漢", "퟿", "", "😀 and 𐍈", "\U0010ffff", "a\x00b", "豈"]
 
@@ -42,3 +52,17 @@ def test_texts_are_spelled_by_batch_and_not_by_character(spark):
     df = spark.createDataFrame([([100],)], "ids array<int>").select(chars_from_ids("ids"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "lambda" not in plan
+
+
+def test_ids_by_batch_are_the_ids_of_the_char_tokenizer(spark, monkeypatch):
+    texts = [*TEXTS, None, "x" * 5000, "😀" * 700, "ab豈c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    for add_start in (True, False):
+        one, many = char_tokenizer(add_start=add_start), batch_char_tokenizer(add_start=add_start)
+        got = df.select("t", one(F.col("t")).alias("a"), many(F.col("t")).alias("b"))
+        assert all(r.a == r.b for r in got.collect())
+        assert got.schema["a"].dataType.elementType == got.schema["b"].dataType.elementType
+    monkeypatch.setattr("voxloom.functions.text.PART_CHARS", 3)  # lists leave in parts, in order
+    batch = pa.array([t for t in texts], pa.string())
+    parts = [x for part in _point_lists(batch, text_ids, pa.int32()) for x in part.to_pylist()]
+    assert [None if x is None else len(x) for x in parts] == [None if t is None else len(text_ids(np.frombuffer(t.encode("utf-32-le"), "<i4"))) for t in texts]
