@@ -119,6 +119,43 @@ def test_hot_groups_are_aggregated_before_the_shuffle(spark, small):
         assert partial in text, name
 
 
+def exchanged(df) -> list[str]:
+    """The columns that each exchange of a plan moves."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    found = df._jdf.queryExecution().executedPlan()
+    nodes, out = [found], []
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            nodes.append(node.initialPlan())
+            continue
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            out.append(node.output().mkString(" "))
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert out, text
+    return out
+
+
+def test_batch_lengths_move_no_sequence(spark, small):
+    assert not any("input_ids" in moved for moved in exchanged(QUERIES["max_batch_length"](spark, small)))
+
+
+def test_padding_moves_encoded_rows_and_no_built_column(spark, small):
+    moved = exchanged(QUERIES["pad_batch"](spark, small))
+    assert any("nano_layer_1" in m for m in moved)
+    assert not any(c in m for m in moved for c in ("input_ids", "position_ids", "labels", "attention_mask", "text_tokens"))
+
+
+def test_codes_are_made_once_where_empty_ones_are_dropped(spark, small):
+    optimized = QUERIES["drop_empty_codes"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("filter(arrays_zip(") == 1
+
+
+def test_decoded_samples_are_made_by_batch(spark, small):
+    for name in ("prep_counters", "prepare_rejects"):
+        assert "lambda" not in QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_results_do_not_depend_on_ansi_mode(spark):
     from voxloom.operators.sequences import rebuild_positions
 
