@@ -250,3 +250,20 @@ def test_stored_rows_come_in_row_groups_that_a_reader_can_hold(spark, tmp_path):
         stored = pq.ParquetFile(file).metadata
         groups = [stored.row_group(i).num_rows for i in range(stored.num_row_groups)]
         assert sum(groups) == 1000 and max(groups) <= 128
+
+
+def test_every_core_writes_audio_files_of_a_table_of_one_file(spark, small):
+    """Part files are named by the task that wrote them; folders of documents lie on shelves."""
+    from voxloom.catalog.registry import QUERIES
+    from voxloom.session import folder_names, shared_dir
+
+    def runs():
+        return {n for n in folder_names(spark, f"{shared_dir(spark)}/voxloom") if n.startswith("files-")}
+
+    before = runs()
+    QUERIES["prepare_audio_files"](spark, small)
+    (run,) = runs() - before
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{shared_dir(spark)}/voxloom/{run}/audio")
+    paths = [r.path for r in found.select("path").collect()]
+    assert all("/shelf=" in p and "/doc_id=" in p for p in paths)
+    assert len({p.rsplit("/part-", 1)[1].split("-")[0] for p in paths}) == 4
