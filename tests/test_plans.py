@@ -151,6 +151,12 @@ def test_codes_are_made_once_where_empty_ones_are_dropped(spark, small):
     assert optimized.count("filter(arrays_zip(") == 1
 
 
+@pytest.mark.parametrize("name", ["extract_text_span", "decode_sequences", "decode_sequences_detokenizer", "decode_sequences_odd_ids"])
+def test_no_step_is_repeated_in_the_argument_of_a_detokenizer(spark, small, name):
+    optimized = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(optimized) < 50_000
+
+
 def test_decoded_samples_are_made_by_batch(spark, small):
     for name in ("prep_counters", "prepare_rejects"):
         assert "lambda" not in QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()

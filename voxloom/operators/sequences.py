@@ -138,8 +138,13 @@ def extract_text_span(
 
     ``detokenizer`` belongs to the tokenizer that made the sequences; without one
     ids are characters.  Ids that spell no text give null and leave other rows alone.
+
+    The span comes out of a one-element ``inline``: the optimizer moves whatever a Python
+    function needs into its argument, and all steps that make the ids would be repeated there.
     """
-    spanned = df.withColumn(into, sx.text_span(ids, layout))
+    span = F.inline(F.array(F.struct(sx.text_span(ids, layout).alias(into))))
+    columns = df.columns if into in df.columns else [*df.columns, into]
+    spanned = df.select(*[c for c in df.columns if c != into], span).select(*columns)
     if decode_into is None:
         return spanned
     inner = F.array_remove(F.array_remove(F.col(into), layout.start_of_text), layout.end_of_text)
