@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxloom.functions.text import (
+    PART_CHARS,
     _point_lists,
     arrow_detokenizer,
     batch_char_tokenizer,
@@ -48,6 +49,19 @@ def test_a_detokenizer_isolates_rows(spark):
     assert got == {0: "1-2", 1: None, 2: None, 3: ""}
 
 
+def test_a_detokenizer_gets_a_bounded_number_of_ids_at_once(spark):
+    long = PART_CHARS // 2 + 1
+
+    def load():
+        return lambda lists: [str(sum(map(len, lists))) for _ in lists]
+
+    sizes = [long, long, 5, None, 3 * long, 0]
+    rows = [(i, None if n is None else [9] * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "i int, ids array<int>").coalesce(1)
+    got = {r.i: r.t for r in df.select("i", arrow_detokenizer(load)(F.col("ids")).alias("t")).collect()}
+    assert got == {0: str(long), 1: str(long + 5), 2: str(long + 5), 3: None, 4: str(3 * long), 5: "0"}
+
+
 def test_texts_are_spelled_by_batch_and_not_by_character(spark):
     df = spark.createDataFrame([([100],)], "ids array<int>").select(chars_from_ids("ids"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,12 +177,24 @@ def char_detokenizer() -> Detokenizer:
     return chars_from_ids
 
 
+def _parts(batch: pa.Array) -> Iterator[pa.Array]:
+    """A batch of lists, cut where they reach ``PART_CHARS`` items; a longer list stays whole."""
+    start, held = 0, 0
+    for i, size in enumerate(pc.list_value_length(batch).fill_null(0).to_pylist()):
+        if i > start and held + size > PART_CHARS:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    yield batch.slice(start)
+
+
 def arrow_detokenizer(load: Callable[[], Callable[[list[list[int]]], Sequence[str | None]]]) -> Detokenizer:
     """A detokenizer that runs in Python on Arrow batches.
 
     ``load`` is called once per task and returns a function from a list of id
-    lists to a list of texts.  A list that fails is tried again one by one; what
-    still fails has no text.
+    lists to a list of texts.  Lists of at most ``PART_CHARS`` ids together, or one
+    longer list, are passed at once; if they fail they are tried again one by one, and
+    what still fails has no text.
     """
 
     @F.arrow_udf(T.StringType())
@@ -195,15 +208,16 @@ def arrow_detokenizer(load: Callable[[], Callable[[list[list[int]]], Sequence[st
                 return None
 
         for batch in batches:
-            lists = [x for x in batch.to_pylist() if x is not None]
-            try:
-                texts = list(decode_ids(lists))
-                if len(texts) != len(lists):
-                    raise ValueError("wrong number of texts")
-            except Exception:
-                texts = [one(ids) for ids in lists]
-            found = iter(texts)
-            yield pa.array([next(found) if ok else None for ok in batch.is_valid().to_pylist()], pa.string())
+            for part in _parts(batch):
+                lists = [x for x in part.to_pylist() if x is not None]
+                try:
+                    texts = list(decode_ids(lists))
+                    if len(texts) != len(lists):
+                        raise ValueError("wrong number of texts")
+                except Exception:
+                    texts = [one(ids) for ids in lists]
+                found = iter(texts)
+                yield pa.array([next(found) if ok else None for ok in part.is_valid().to_pylist()], pa.string())
 
     return lambda ids: decode(ids)
 
