@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from voxloom.llm.common import perhaps_in, salted_join
 from voxloom.llm.templates import TemplateTree, drop_recurring_lines, line_tokens
 
 LICENSE = "This work is licensed under the GNU General Public License, version 3."
@@ -72,3 +75,36 @@ def test_rows_of_numbers_are_no_copies(documents):
     assert [t for _, t, *_ in sorted(kept(documents, texts))] == [*texts[:4], ""]
     many = [" ".join(str(100 * i + k) for k in range(8)) for i in range(9)]
     assert [t for _, t, *_ in sorted(kept(documents, many))] == many
+
+
+def test_what_is_broadcast_does_not_grow_with_the_lines(spark, documents, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(F, "broadcast", lambda df, real=F.broadcast: (sizes.append(df.count()), real(df))[1])
+    names = [a + b + c for a in "abcdefghijklmnopqrst" for b in "klmnopqrstuvwxyz" for c in "uvwxyz"]
+    lines = [f"the nightly backup of server {n} finished without errors today" for n in names]
+    texts = ["\n".join(lines[k : k + 4]) for k in range(0, len(lines), 4)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(kept(documents, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # All lines are wanted, and one template; the first document keeps its lines.
+    assert [t for _, t, *_ in got] == [texts[0], *[""] * (len(texts) - 1)]
+    assert max(sizes) < 1000 < len(lines)
+
+
+def test_a_filter_of_keys_loses_none(spark):
+    keys = spark.range(0, 40_000, 7).select((F.xxhash64("id")).alias("k"))
+    rows = spark.range(40_000).withColumn("h", F.xxhash64("id"))
+    kept_ids = {r.id for r in perhaps_in(rows, F.col("h"), keys, "k").select("id").collect()}
+    assert kept_ids >= set(range(0, 40_000, 7)) and len(kept_ids) < 6_000
+    assert perhaps_in(rows, F.col("h"), keys.limit(0), "k").count() == 0
+
+
+def test_salted_copies_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    small, large = spark.read.parquet(str(tmp_path / "t")), spark.range(1000)
+    joined = salted_join(large, small, "id", "inner", spread=F.xxhash64("id"), merge=True)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 100

@@ -16,6 +16,9 @@ from voxloom.session import scratch_path
 BROADCAST_ROWS = 500_000
 # Narrow rows of one file of a table whose size is known.
 FILE_ROWS = 250_000
+# Bits of a key filter, and of one of its rows: it is broadcast, and no larger for more keys.
+FILTER_BITS = 1 << 24
+ROW_BITS = 32_768
 # Copies of the small side of a join whose large side may hold one key in a third of its rows.
 SALTS = 32
 
@@ -31,16 +34,17 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 
 
 def salted_join(
-    large: DataFrame, small: DataFrame, on: str | Sequence[str], how: str, *, spread: Column, salts: int = SALTS
+    large: DataFrame, small: DataFrame, on: str | Sequence[str], how: str, *, spread: Column, salts: int = SALTS, merge: bool = False
 ) -> DataFrame:
     """Join whose ``small`` side is copied per salt, so that no key of ``large`` meets in one task.
 
-    ``spread`` is a hash of what tells the rows of one key apart.
+    ``spread`` is a hash of what tells the rows of one key apart.  With ``merge`` the
+    copies are never broadcast: Spark takes them for as small as the file that they come from.
     """
     keys = [on] if isinstance(on, str) else list(on)
     left = large.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+    return left.join(right.hint("merge") if merge else right, [*keys, "__salt"], how).drop("__salt")
 
 
 def heat_join(large: DataFrame, small: DataFrame, on: Sequence[str], *, weight: str, total: int, share: int = 1000) -> DataFrame:
@@ -63,6 +67,21 @@ def pick_rows(
     return df.join(F.broadcast(keys) if keys.count() <= bound else keys.hint("merge"), condition, how)
 
 
+def perhaps_in(df: DataFrame, key: Column, keys: DataFrame, column: str) -> DataFrame:
+    """All rows of ``df`` whose ``key``, a long hash, is in ``keys[column]``, and a few others.
+
+    What is broadcast is a table of bits, at most ``FILTER_BITS`` of them for any number of keys.
+    """
+    n = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    bits = keys.select(n.alias("n")).groupBy(F.floor(F.col("n") / ROW_BITS).alias("__row"))
+    bits = bits.agg(F.bitmap_construct_agg(F.col("n") % ROW_BITS).alias("__bits"))
+    at = F.pmod(key, F.lit(FILTER_BITS))
+    rows = df.withColumn("__row", F.floor(at / ROW_BITS)).withColumn("__bit", (at % ROW_BITS).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, __bit div 8 + 1, 1)")), 16, 10).cast("int")
+    found = rows.join(F.broadcast(bits), "__row").withColumn("__byte", byte)
+    return found.where("shiftright(__byte, __bit % 8) & 1 = 1").select(*df.columns)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels are never learned from: crc32(id as text) mod 5 = 0, and rows without an id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

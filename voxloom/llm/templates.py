@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from voxloom.llm.common import blocks, heat_join, map_arrow, pick_rows, salted_join, stored
+from voxloom.llm.common import blocks, heat_join, map_arrow, perhaps_in, salted_join, stored
 
 VARIABLE = "<*>"
 SHORT = 0
@@ -115,21 +115,23 @@ def recurring_lines(docs: DataFrame, how: TemplateTree = TemplateTree()) -> Data
     # Leaves that several different lines of enough documents reach.
     leaves = long.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds"))
     leaves = leaves.where((F.col("all") >= how.min_template_docs) & (F.col("kinds") > 1)).select("leaf")
-    open_lines = salted_join(long, leaves, "leaf", "left_semi", spread=F.col("e1"), salts=8)
+    open_lines = salted_join(long, leaves, "leaf", "left_semi", spread=F.col("e1"), salts=8, merge=True)
     wanted = stored(
         open_lines.select(*line, "docs", F.xxhash64("at.doc").alias("at"), F.col("at.pos").alias("at_pos")), "wanted"
     )
-    split = texts.select(doc, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # Only documents that may show a line are split; the wanted lines, which grow with the corpus, are never broadcast.
+    showing = perhaps_in(texts.select(doc, "text"), F.xxhash64("doc"), wanted, "at")
+    split = showing.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     here = (F.xxhash64("doc") == F.col("at")) & (F.col("pos") == F.col("at_pos"))
     # Rows that repeat show their lines again: one counts.
-    shown = pick_rows(split, wanted, here).select(*line, "docs", _shown("line").alias("toks")).dropDuplicates(line)
+    shown = split.join(wanted.hint("merge"), here).select(*line, "docs", _shown("line").alias("toks")).dropDuplicates(line)
     fields = stored(shown.select(*line, "docs", F.posexplode("toks").alias("i", "tok")), "fields")
     place = ["leaf", "i", "tok"]
     constants = (
         fields.groupBy(*place).agg(F.sum("docs").alias("m")).where(F.col("m") >= how.min_template_docs).drop("m")
     )
     marked = salted_join(
-        fields.where(F.col("tok") != VARIABLE), constants, place, "inner", spread=F.col("e1"), salts=8
+        fields.where(F.col("tok") != VARIABLE), constants, place, "inner", spread=F.col("e1"), salts=8, merge=True
     )
     known = marked.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("i", "tok"))).alias("kept"))
     lengths = fields.groupBy(*line).agg(F.count("*").alias("n"))
@@ -139,14 +141,14 @@ def recurring_lines(docs: DataFrame, how: TemplateTree = TemplateTree()) -> Data
         .select(*line, F.xxhash64("leaf", "kept").alias("t1"), F.hash("kept").alias("t2"))
     )
     template = stored(template, "templates")
-    members = salted_join(per_doc, template, line, "inner", spread=F.xxhash64("doc"))
+    members = salted_join(per_doc, template, line, "inner", spread=F.xxhash64("doc"), merge=True)
     by_doc = members.select("t1", "t2", "doc").distinct()
     spread_out = (
         by_doc.groupBy("t1", "t2")
         .agg(F.count("*").alias("m"), F.min("doc").alias("first"))
         .where(F.col("m") >= how.min_template_docs)
     )
-    general = salted_join(template, spread_out.drop("m"), ["t1", "t2"], "inner", spread=F.col("e1"), salts=8)
+    general = salted_join(template, spread_out.drop("m"), ["t1", "t2"], "inner", spread=F.col("e1"), salts=8, merge=True)
     general = general.select(*line, F.col("first").alias("first_t"))
 
     enough = F.when(F.col("leaf") == SHORT, how.min_template_docs).otherwise(how.min_docs)
@@ -178,7 +180,7 @@ def drop_recurring_lines(docs: DataFrame, how: TemplateTree = TemplateTree()) ->
     rows = rows.withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
     left = rows.select("row", "body", "spread", F.col("doc.none"), F.coalesce("doc.id", F.lit(0)).alias("id"), F.col("doc.tid"))
     right = drops.select("drops", F.col("doc.none"), F.coalesce("doc.id", F.lit(0)).alias("id"), F.col("doc.tid"))
-    both = salted_join(left, right, ["none", "id", "tid"], "left", spread=F.col("spread"), salts=4)
+    both = salted_join(left, right, ["none", "id", "tid"], "left", spread=F.col("spread"), salts=4, merge=True)
     # The lambda's argument holds both arrays, so each is made once per row.
     kept = F.expr(
         """array_join(element_at(transform(
