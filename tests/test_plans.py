@@ -146,6 +146,52 @@ def test_padding_moves_encoded_rows_and_no_built_column(spark, small):
     assert not any(c in m for m in moved for c in ("input_ids", "position_ids", "labels", "attention_mask", "text_tokens"))
 
 
+def test_batches_of_a_stored_set_move_packed_tokens(spark, tmp_path):
+    from voxloom.plans.training import batch_training_set
+
+    ids = "transform(sequence(0, cast(id % 9 as int)), x -> 80000 - x)"
+    rows = spark.range(60).selectExpr(
+        "0 as source_idx", "cast(id as string) as row_key", f"{ids} as input_ids", "sequence(0, cast(id % 9 as int)) as position_ids"
+    )
+    made = batch_training_set(rows, batch_size=4)
+    moved = exchanged(made)
+    assert any("_ids" in m for m in moved)
+    assert not any(c in m for m in moved for c in ("input_ids", "position_ids"))
+    for r in made.collect():
+        n = int(r.row_key) % 9 + 1
+        assert r.input_ids[:n] == [80000 - x for x in range(n)] and r.position_ids[:n] == list(range(n))
+        assert sum(r.attention_mask) == n and len(r.input_ids) == len(r.position_ids) == len(r.labels)
+
+
+def test_packed_arrays_come_back(spark):
+    from voxloom.functions.packing import PART_VALUES, packed, unpacked
+
+    values = [[], None, [0], [3, -1, 2**31 - 1, -(2**31)], [5, None, 7], [None], list(range(5000)), [9] * (PART_VALUES // 2 + 1)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*values, values[-1]])], "i int, v array<int>").coalesce(1)
+    for rising in (False, True):
+        small = df.select("i", "v", packed("v", rising=rising).alias("p"))
+        got = small.select("i", "v", F.length("p").alias("n"), unpacked("p").alias("back")).collect()
+        assert all(r.v == r.back for r in got)
+        assert max(r.n or 0 for r in got if r.i > 6) < 1000
+    assert {r.i: r.n for r in got}[6] < 200  # as differences
+
+
+def test_long_tables_are_small_on_disk(spark, tmp_path):
+    import os
+
+    import pyarrow.parquet as pq
+
+    from voxloom.sources.writers import write_training_set
+
+    rows = spark.range(4).selectExpr("id", "sequence(0, 20000 + cast(id as int)) as position_ids").coalesce(1)
+    path = write_training_set(rows, str(tmp_path / "train"))
+    files = [f"{path}/{f}" for f in os.listdir(path) if f.endswith(".parquet")]
+    assert sum(os.path.getsize(f) for f in files) < 8_000
+    column = pq.ParquetFile(files[0]).metadata.row_group(0).column(1)
+    assert column.compression == "ZSTD" and "DELTA_BINARY_PACKED" in column.encodings
+    assert [r.position_ids for r in spark.read.parquet(path).orderBy("id").collect()] == [list(range(20001 + k)) for k in range(4)]
+
+
 def test_codes_are_made_once_where_empty_ones_are_dropped(spark, small):
     optimized = QUERIES["drop_empty_codes"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.count("filter(arrays_zip(") == 1
